@@ -72,7 +72,7 @@ def main(sf="0.01", *wanted):
 
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
-        master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, oracles, bad = connect(sf_dir), entry.oracle_sql(), []
