@@ -1 +1,305 @@
-"""Placeholder."""
+"""ML1-ML10, RC1-RC11, IO8, JN7, AG14: model inputs, recommendations and their metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clickgrain.catalog.base import parked_clean, query, r, rounded, with_log
+from clickgrain.catalog.features import RECENCY_SQL, WEIGHT, hot_keys
+from clickgrain.catalog.store import parked_features
+from clickgrain.catalog.visits import split_sql
+from clickgrain.operators import attach, ranking
+from clickgrain.operators.splits import split_history, split_parts
+from clickgrain.plans import mlprep, recommend
+from clickgrain.session import park, new_folder
+
+EVENT = ["user_id", "product_id", "event_timestamp"]
+TOP = 10
+
+
+def feature_parts(spark, sf_dir):
+    """Train and test part of the feature table, written once."""
+    split = park(split_history(parked_features(spark, sf_dir), time="event_timestamp"), "split")
+    return split_parts(split)
+
+
+def rfm_rows(spark, sf_dir):
+    return parked_features(spark, sf_dir).select("user_id", *mlprep.RFM_COLUMNS)
+
+
+def index_query(key: str, column: str):
+    sql = f"""SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS index
+FROM (SELECT {column} AS label, count(*) AS n FROM clean GROUP BY {column})"""
+
+    @query(key, with_log(sql))
+    def run(spark, sf_dir):
+        return mlprep.frequency_index(parked_clean(spark, sf_dir), column)
+
+
+index_query("ml1_index_of_user_id", "user_id")
+index_query("ml1_index_of_product_id", "product_id")
+index_query("ml1_index_of_user_session", "user_session")
+
+
+@query(
+    "ml1_indexed_rows",
+    with_log(
+        """SELECT c.user_id, c.product_id, c.event_time, c.event_type, coalesce(i.index, (SELECT count(*) FROM idx)::DOUBLE) AS user_session_index
+FROM clean_all_abs c LEFT JOIN idx i ON c.user_session = i.label""",
+        """idx AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS index
+FROM (SELECT user_session AS label, count(*) AS n FROM clean WHERE event_type = 'purchase' GROUP BY user_session))""",
+    ),
+)
+def ml1_rows(spark, sf_dir):
+    rows = parked_clean(spark, sf_dir, removals=True)
+    labels = park(mlprep.frequency_index(rows.filter("event_type = 'purchase'"), "user_session"), "labels")
+    indexed = mlprep.with_index(rows, labels, "user_session")
+    return indexed.select("user_id", "product_id", "event_time", "event_type", "user_session_index")
+
+
+@query("ml2_hashed_categories")
+def ml2(spark, sf_dir):
+    hashed = mlprep.hasher().transform(parked_features(spark, sf_dir))
+    return hashed.select(*EVENT, F.col("categorical_hash_values").cast("string").alias("categorical_hash_values"))
+
+
+@query("ml3_hash_per_column")
+def ml3(spark, sf_dir):
+    hashed = mlprep.hash_per_column(parked_features(spark, sf_dir))
+    return hashed.select(*EVENT, F.col("Assembled_hashed_features").cast("string").alias("hashed_features"))
+
+
+@query("ml4_assembled_rfm")
+def ml4(spark, sf_dir):
+    rows = mlprep.assemble_rfm(rfm_rows(spark, sf_dir))
+    return rows.select("user_id", F.col("unscaled_features").cast("string").alias("unscaled_features"))
+
+
+RFM_SQL = """
+rfm AS (SELECT user_id, count(*) AS events, any_value(Recency) AS Recency, count(*) FILTER (event_type = 'purchase') AS Frequency,
+        coalesce(sum(price) FILTER (event_type = 'purchase'), 0) AS Monetary FROM clean JOIN recency USING (user_id) GROUP BY user_id),
+rfm_rows AS (SELECT c.user_id, r.Recency, r.Frequency, r.Monetary FROM clean c JOIN rfm r USING (user_id))"""
+
+
+def scaled_sql() -> str:
+    scores = ", ".join(f"{r(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()', 6)} AS {c}_scaled" for c in mlprep.RFM_COLUMNS)
+    return f"SELECT user_id, {scores} FROM rfm_rows"
+
+
+@query("ml5_standard_scores", with_log(scaled_sql(), RECENCY_SQL, RFM_SQL))
+def ml5(spark, sf_dir):
+    rows = mlprep.scale_rfm(rfm_rows(spark, sf_dir))
+    return rounded(rows.select("user_id", *[f"{c}_scaled" for c in mlprep.RFM_COLUMNS]), 6)
+
+
+@query("ml6_rfm_clusters")
+def ml6(spark, sf_dir):
+    parts = feature_parts(spark, sf_dir)
+    fitted = mlprep.FeatureTransform.fit(parts["train"])
+    return fitted.transform(parts["train"]).select(*EVENT, *mlprep.RFM_COLUMNS, "RFM_user_cluster")
+
+
+@query("ml7_elbow")
+def ml7(spark, sf_dir):
+    return mlprep.elbow(rfm_rows(spark, sf_dir))
+
+
+@query("ml8_cluster_profile")
+def ml8(spark, sf_dir):
+    train = feature_parts(spark, sf_dir)["train"]
+    return rounded(mlprep.cluster_profile(mlprep.FeatureTransform.fit(train).transform(train)))
+
+
+def plain_vectors(df):
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) if k == "vector" else f"`{c}`" for c, k in df.dtypes])
+
+
+@query("ml9_transformed_rows")
+def ml9(spark, sf_dir):
+    parts = feature_parts(spark, sf_dir)
+    fitted = mlprep.FeatureTransform.fit(parts["train"])
+    both = fitted.training_rows(parts["train"]).unionByName(fitted.training_rows(parts["test"]))
+    return plain_vectors(both)
+
+
+def saved_transform(spark, train):
+    folder = new_folder(spark, "transform")
+    mlprep.FeatureTransform.fit(train).save(folder)
+    return mlprep.FeatureTransform.load(spark, folder)
+
+
+@query("ml10_inference_rows")
+def ml10(spark, sf_dir):
+    parts = feature_parts(spark, sf_dir)
+    return plain_vectors(saved_transform(spark, parts["train"]).inference_rows(parts["test"]))
+
+
+@query("io8_saved_transform")
+def io8(spark, sf_dir):
+    parts = feature_parts(spark, sf_dir)
+    return saved_transform(spark, parts["train"]).transform(parts["test"]).select(
+        *EVENT, "user_id_index", "product_id_index", "RFM_user_cluster"
+    )
+
+
+# Recommendations --------------------------------------------------------------------------------
+
+
+def scored_parts(spark, sf_dir):
+    cleaned = parked_clean(spark, sf_dir)
+    scored = attach.with_interaction_score(cleaned, hot=hot_keys(cleaned, "user_id", "product_id"))
+    return split_parts(park(split_history(scored), "scored"))
+
+
+def ratings(spark, sf_dir):
+    """Train and test interactions on indexed ids."""
+    parts = scored_parts(spark, sf_dir)
+    for column in mlprep.INDEXED_COLUMNS:
+        labels = park(mlprep.frequency_index(parts["train"], column), "labels")
+        parts = {name: mlprep.with_index(rows, labels, column) for name, rows in parts.items()}
+    return {
+        name: park(rows.select(recommend.USER, recommend.ITEM, recommend.SCORE), f"ratings-{name}")
+        for name, rows in parts.items()
+    }
+
+
+SMALL = {"rank": 8, "maxIter": 5, "alpha": 40.0, "regParam": 0.1}
+
+
+@query("rc1_predicted_scores")
+def rc1(spark, sf_dir):
+    parts = ratings(spark, sf_dir)
+    return recommend.fit(parts["train"], **SMALL).transform(parts["test"])
+
+
+@query("rc2_top_100_per_user")
+def rc2(spark, sf_dir):
+    return recommend.recommended_places(recommend.fit(ratings(spark, sf_dir)["train"], **SMALL), 100)
+
+
+SCORED_SQL = f"scored AS (SELECT *, ({WEIGHT}) * count(*) OVER (PARTITION BY user_id, product_id) AS score FROM clean)"
+PARTS_SQL = split_sql("scored", [("train", 0.8)], 10, "user_id, product_id, score")
+PREDICTED_SQL = f"""
+best AS (SELECT user_id, product_id, max(score) AS score FROM parts WHERE split = 'train' GROUP BY ALL),
+predicted AS (SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) AS place
+  FROM best QUALIFY place <= {TOP})"""
+TRUTH_SQL = "truth AS (SELECT user_id, product_id, count(*) AS times FROM parts WHERE split = 'test' GROUP BY ALL)"
+RC_CTES = [SCORED_SQL, PARTS_SQL, PREDICTED_SQL, TRUTH_SQL]
+
+
+def fixed_lists(spark, sf_dir):
+    """True (user, product, times) and, per user, the train products with the highest score."""
+    parts = scored_parts(spark, sf_dir)
+    predicted = ranking.top_items(parts["train"], "user_id", "product_id", "interaction_score", TOP)
+    return ranking.truth(parts["test"], "user_id", "product_id"), predicted
+
+
+@query(
+    "rc3_recommended_ids",
+    with_log(
+        "SELECT user_id, string_agg(product_id, ',' ORDER BY place) AS pred_items FROM predicted GROUP BY user_id",
+        *RC_CTES,
+    ),
+)
+def rc3(spark, sf_dir):
+    lists = ranking.as_lists(fixed_lists(spark, sf_dir)[1], "user_id", "product_id")
+    return lists.select("user_id", F.array_join("pred_items", ",").alias("pred_items"))
+
+
+@query("rc4_true_items_with_repeats", with_log("SELECT * FROM truth", *RC_CTES))
+def rc4_list(spark, sf_dir):
+    return fixed_lists(spark, sf_dir)[0]
+
+
+@query(
+    "rc4_true_item_sets",
+    with_log(
+        "SELECT user_id, string_agg(product_id, ',' ORDER BY product_id) AS true_items FROM truth GROUP BY user_id",
+        *RC_CTES,
+    ),
+)
+def rc4_set(spark, sf_dir):
+    sets = ranking.truth_sets(fixed_lists(spark, sf_dir)[0], "user_id", "product_id")
+    return sets.select("user_id", F.array_join("true_items", ",").alias("true_items"))
+
+
+def metrics_cte(repeats: bool, k: int = TOP) -> str:
+    count = "sum(times)" if repeats else "count(*)"
+    return f"""
+ideal AS (SELECT n, (SELECT sum(1.0::DOUBLE / log2(i + 1)) FROM range(1, {k} + 1) t(i) WHERE i <= n) AS best FROM range(1, {k} + 1) s(n)),
+counted AS (SELECT user_id, CAST({count} AS BIGINT) AS true_count FROM truth GROUP BY user_id),
+hit AS (SELECT user_id, count(*) AS hits, sum(1.0::DOUBLE / log2(place + 1)) AS gain FROM truth JOIN predicted USING (user_id, product_id)
+        WHERE place <= {k} GROUP BY user_id),
+metric AS (SELECT user_id, true_count, coalesce(hits, 0) AS hits, coalesce(hits, 0) / true_count::DOUBLE AS recall,
+           coalesce(hits, 0) / {k}::DOUBLE AS precision, coalesce(gain, 0) / best AS ndcg
+           FROM counted SEMI JOIN predicted USING (user_id) LEFT JOIN hit USING (user_id) JOIN ideal ON n = least(true_count, {k}))"""
+
+
+def metric_query(key: str, column: str, repeats: bool):
+    sql = f"SELECT user_id, true_count, hits, {r(column, 6)} AS {column} FROM metric"
+
+    @query(key, with_log(sql, *RC_CTES, metrics_cte(repeats)))
+    def run(spark, sf_dir):
+        metrics = ranking.user_metrics(*fixed_lists(spark, sf_dir), "user_id", "product_id", TOP, repeats)
+        return rounded(metrics.select("user_id", "true_count", "hits", column), 6)
+
+
+metric_query("rc5_recall_with_repeats", "recall", True)
+metric_query("rc5_recall_of_sets", "recall", False)
+metric_query("rc6_precision", "precision", True)
+metric_query("rc7_ndcg", "ndcg", True)
+
+
+def mean_query(key: str, repeats: bool):
+    sql = f"""SELECT {r('avg(recall)', 6)} AS avg_recall_at_k, {r('avg(precision)', 6)} AS avg_precision_at_k,
+{r('avg(ndcg)', 6)} AS avg_ndcg_at_k, count(*) AS users FROM metric"""
+
+    @query(key, with_log(sql, *RC_CTES, metrics_cte(repeats)))
+    def run(spark, sf_dir):
+        metrics = ranking.user_metrics(*fixed_lists(spark, sf_dir), "user_id", "product_id", TOP, repeats)
+        return rounded(ranking.mean_metrics(metrics), 6)
+
+
+mean_query("rc8_mean_metrics", False)
+mean_query("ag14_mean_of_metrics", True)
+
+
+@query(
+    "rc9_equal_lists",
+    with_log(
+        """SELECT user_id, string_agg(product_id, ',' ORDER BY product_id) AS true_items FROM (SELECT user_id, product_id, range(times) AS rep FROM truth) t,
+unnest(rep) GROUP BY user_id INTERSECT SELECT user_id, string_agg(product_id, ',' ORDER BY place) FROM predicted GROUP BY user_id""",
+        *RC_CTES,
+    ),
+)
+def rc9(spark, sf_dir):
+    same = ranking.equal_lists(*fixed_lists(spark, sf_dir), "user_id", "product_id")
+    return same.select("user_id", F.array_join("true_items", ",").alias("true_items"))
+
+
+@query("rc10_evaluator")
+def rc10(spark, sf_dir):
+    parts = ratings(spark, sf_dir)
+    return recommend.evaluate(parts["test"], recommend.fit(parts["train"], **SMALL), k=20)
+
+
+@query("rc11_grid_search")
+def rc11(spark, sf_dir):
+    parts = ratings(spark, sf_dir)
+    grid = {"rank": (4, 8), "maxIter": (3,), "regParam": (0.1,), "alpha": (40.0, 100.0)}
+    return recommend.grid_search(parts["train"], parts["test"], grid, k=20)
+
+
+@query(
+    "jn7_true_with_predicted",
+    with_log(
+        """SELECT user_id, count(DISTINCT t.product_id) AS true_items, count(DISTINCT p.product_id) AS pred_items
+FROM truth t JOIN predicted p USING (user_id) GROUP BY user_id""",
+        *RC_CTES,
+    ),
+)
+def jn7(spark, sf_dir):
+    truth_rows, predicted = fixed_lists(spark, sf_dir)
+    true_counts = truth_rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("true_items"))
+    pred_counts = predicted.groupBy("user_id").agg(F.count(F.lit(1)).alias("pred_items"))
+    return true_counts.join(pred_counts, "user_id")

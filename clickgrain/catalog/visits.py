@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from clickgrain.operators import attach, grains, profile, splits, visits
 from clickgrain.operators.ordered import Running, running
 from clickgrain.operators.ranking import truth, truth_sets
 from clickgrain.operators.skew import find_hot, left_join
-from clickgrain.session import park, work_folder
+from clickgrain.session import park, new_folder
 from clickgrain.sources.testlog import event_log
 
 EVENT = ["user_id", "product_id", "event_time", "event_type"]
@@ -659,7 +658,7 @@ def sp2(spark, sf_dir):
 def sp3(spark, sf_dir):
     log = park(event_log(spark, sf_dir).filter("event_type <> 'remove_from_cart'"), "log")
     split = splits.split_history(log, [("train", 0.7), ("val", 0.85)], above=2)
-    folder = f"{work_folder(spark)}/clickgrain/parts-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "parts")
     splits.write_parts(split, folder)
     return spark.read.parquet(folder).select(*EVENT, "interaction_rank", "split")
 

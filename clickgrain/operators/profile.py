@@ -14,28 +14,30 @@ from clickgrain.session import park
 def describe_column(df: DataFrame, column: str, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, deviation, extremes and exact interpolated quantiles of a numeric column.
 
-    Quantiles are read off running counts of the distinct values, so neither all values nor all
-    distinct values meet in one task.
+    The column is read once, into distinct values with their counts. Quantiles are read off running
+    counts, so neither all values nor all distinct values meet in one task.
     """
     values = df.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
-    basics = values.agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
     counted = park(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")), "values")
+    rows = F.sum("n")
+    whole = counted.agg(F.struct((rows - 1).alias("last"), (F.sum(F.col("value") * F.col("n")) / rows).alias("mean"))).scalar()
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     summed = in_slices(counted, [], [F.col("value")], [Running("upto", "sum", "n")], slices)
-    last = counted.agg(F.sum("n") - 1).scalar()
-    picks = {}
+    summed = summed.withColumns({"last": whole["last"], "mean": whole["mean"]})
+    squares = F.sum(F.col("n") * F.pow(F.col("value") - F.col("mean"), 2))
+    quarters = []
     for q in quantiles:
-        place = last * q
+        place = F.col("last") * q
         low, high = (F.min(F.when(F.col("upto") > at, F.col("value"))) for at in (F.floor(place), F.ceil(place)))
-        picks[f"p{math.floor(q * 100)}"] = low + (high - low) * (place - F.floor(place))
-    found = summed.agg(F.struct(*[pick.alias(name) for name, pick in picks.items()])).scalar()
-    return basics.select("*", *[found[name].alias(name) for name in picks])
+        quarters.append((low + (high - low) * F.max(place - F.floor(place))).alias(f"p{math.floor(q * 100)}"))
+    return summed.agg(
+        F.coalesce(rows, F.lit(0)).alias("count"),
+        F.max("mean").alias("mean"),
+        F.sqrt(F.try_divide(squares, rows - 1)).alias("std"),
+        F.min("value").alias("min"),
+        *quarters,
+        F.max("value").alias("max"),
+    )
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

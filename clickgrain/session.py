@@ -50,11 +50,26 @@ def park(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     This cuts the lineage at a file every executor can reach, so a lost executor costs one re-read
     and not the whole history; later steps also prune columns in the scan.
     """
-    target = path or f"{work_folder(df.sparkSession)}/clickgrain/{label}-{uuid.uuid4().hex}"
+    target = path or new_folder(df.sparkSession, label)
     df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own below the work folder, under the name of the application."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def run_folder(spark: SparkSession) -> str:
+    return f"{work_folder(spark)}/clickgrain/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete everything this application has parked. Call it when no result is read any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Ask the file system that owns ``path`` (local, HDFS, object store) whether it exists."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
