@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clickgrain.catalog.base import query, r, with_log
 from clickgrain.functions import EVENT_TYPES
 from clickgrain.operators import quality
-from clickgrain.session import park, new_folder
+from clickgrain.session import new_folder, park
 from clickgrain.sources import write_result_json
 from clickgrain.sources.testlog import event_log
 

@@ -299,7 +299,9 @@ popularity AS (SELECT DISTINCT c.product_id, c.category_id, p.views AS total_vie
     ),
 )
 def ft18(spark, sf_dir):
-    return rounded(attach.product_popularity(clean_log(spark, sf_dir)).drop("max_view_category"), 6)
+    cleaned = parked_clean(spark, sf_dir)
+    rows = attach.product_popularity(cleaned, hot_keys(cleaned, "category_id"))
+    return rounded(rows.drop("max_view_category"), 6)
 
 
 @query(
@@ -453,8 +455,13 @@ FEATURE_LIST = ", ".join(f'"{c}"' for c in FEATURE_COLUMNS)
 
 
 def shown(table):
-    """The feature table as it is compared: sums to 4 digits, ratios of whole numbers to 6."""
-    return rounded(rounded(table, 6).withColumn("Monetary", F.round("Monetary", 4)), 6)
+    """Feature columns as they are compared: sums to 4 digits, ratios and angles to 6."""
+    return table.select(
+        *[
+            F.round(F.col(f"`{name}`"), 4 if name == "Monetary" else 6).alias(name) if kind == "double" else f"`{name}`"
+            for name, kind in table.dtypes
+        ]
+    )
 
 
 @query("ft29_feature_table", with_log(f"SELECT {FEATURE_LIST} FROM features", *feature_ctes()))

@@ -11,7 +11,7 @@ from clickgrain.catalog.visits import split_sql
 from clickgrain.operators import attach, ranking
 from clickgrain.operators.splits import split_history, split_parts
 from clickgrain.plans import mlprep, recommend
-from clickgrain.session import park, new_folder
+from clickgrain.session import new_folder, park
 
 EVENT = ["user_id", "product_id", "event_timestamp"]
 TOP = 10

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from clickgrain.catalog.base import parked_clean, query, r, with_log
+from clickgrain.catalog.base import parked_clean, query, with_log
 from clickgrain.catalog.features import feature_ctes, shown
 from clickgrain.functions import PURCHASE, VIEW, is_event
+from clickgrain.operators.skew import find_hot
 from clickgrain.operators.splits import split_history
 from clickgrain.plans import mlprep, store
 from clickgrain.plans.features import feature_table_of_log
-from clickgrain.session import park, new_folder
+from clickgrain.session import new_folder, park
 from clickgrain.sources.testlog import event_log
 
 ENTITY = ["event_timestamp", "user_id", "product_id", "user_session", "category_id"]
@@ -25,10 +26,6 @@ def parked_features(spark, sf_dir):
     return park(features_of(spark, sf_dir), "features")
 
 
-def compared(df):
-    return shown(df) if "Monetary" in df.columns else shown(df.withColumn("Monetary", F.lit(0.0))).drop("Monetary")
-
-
 def field_sql(name: str, kind: str, prefix: str = "") -> str:
     cast = {"float": "FLOAT", "int": "INTEGER", "bigint": "BIGINT"}.get(kind)
     column = f'{prefix}"{name}"'
@@ -61,14 +58,14 @@ def view_queries(view: store.FeatureView):
         with_log(f"SELECT {keys}, event_timestamp, {fields_sql(view)} FROM features", *feature_ctes()),
     )
     def projected(spark, sf_dir):
-        return compared(store.project(view, features_of(spark, sf_dir)))
+        return shown(store.project(view, features_of(spark, sf_dir)))
 
     @query(
         f"fv3_latest_{short(view)}",
         with_log(f"SELECT * FROM newest_{short(view)}", *feature_ctes(), latest_cte(view)),
     )
     def newest(spark, sf_dir):
-        return compared(store.latest(parked_features(spark, sf_dir), view))
+        return shown(store.latest(parked_features(spark, sf_dir), view))
 
 
 for each in store.VIEWS:
@@ -104,7 +101,7 @@ def point_in_time_query(key: str, hours: int):
     def run(spark, sf_dir):
         table = parked_features(spark, sf_dir)
         later = F.col("event_timestamp") + F.make_dt_interval(F.lit(0), F.lit(hours))
-        return compared(store.point_in_time(table.select(*ENTITY).withColumn("event_timestamp", later), table))
+        return shown(store.point_in_time(table.select(*ENTITY).withColumn("event_timestamp", later), table))
 
 
 point_in_time_query("fv4_point_in_time", 0)
@@ -126,7 +123,9 @@ def fv5(spark, sf_dir):
     keys = [c for c in ENTITY if c != "event_timestamp"]
     last = table.groupBy("user_id").agg(F.max_by(F.struct(*keys[1:]), "event_timestamp").alias("last"))
     unknown = last.agg(*[F.lit(UNKNOWN[k]).alias(k) for k in keys])
-    return compared(store.lookup(last.select("user_id", "last.*").unionByName(unknown), tables))
+    asked = park(last.select("user_id", "last.*").unionByName(unknown), "asked")
+    hot = find_hot(asked, {view.name: view.keys for view in store.VIEWS})
+    return shown(store.lookup(asked, tables, hot=hot))
 
 
 @query("fv6_indexed_views")
@@ -147,7 +146,7 @@ def fv6(spark, sf_dir):
         counted = newest.agg(
             F.lit(view.name).alias("view"),
             F.count(F.lit(1)).alias("keys"),
-            *[F.max(view.keys[0]).alias("largest_index")],
+            F.max(view.keys[0]).alias("largest_index"),
             F.max("event_timestamp").alias("newest"),
         )
         found = counted if found is None else found.unionByName(counted)
@@ -185,4 +184,4 @@ def jn9(spark, sf_dir):
     newest = park(store.latest(parked_features(spark, sf_dir), view), "latest")
     asked = event_log(spark, sf_dir, signups=True).select("user_id").distinct()
     asked = asked.unionByName(asked.agg(F.lit("nobody").alias("user_id")))
-    return compared(store.lookup(asked, {view.name: newest}, [view]))
+    return shown(store.lookup(asked, {view.name: newest}, [view]))

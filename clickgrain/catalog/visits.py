@@ -11,10 +11,10 @@ from clickgrain.catalog.base import clean_log, parked_clean, query, r, rounded,
 from clickgrain.catalog.features import PAIR_TIME_SQL, PRODUCT_SQL, times
 from clickgrain.functions import CART, PURCHASE, VIEW, days_between, is_event, two_day_bucket
 from clickgrain.operators import attach, grains, profile, splits, visits
-from clickgrain.operators.ordered import Running, running
+from clickgrain.operators.ordered import Running, running, sort_rows
 from clickgrain.operators.ranking import truth, truth_sets
 from clickgrain.operators.skew import find_hot, left_join
-from clickgrain.session import park, new_folder
+from clickgrain.session import new_folder, park
 from clickgrain.sources.testlog import event_log
 
 EVENT = ["user_id", "product_id", "event_time", "event_type"]
@@ -352,7 +352,9 @@ FROM clean c JOIN product p USING (product_id)""",
     ),
 )
 def wn5(spark, sf_dir):
-    return attach.product_popularity(clean_log(spark, sf_dir)).select("product_id", "category_id", "max_view_category")
+    rows = parked_clean(spark, sf_dir)
+    shares = attach.product_popularity(rows, hot_keys(rows, "category_id"))
+    return shares.select("product_id", "category_id", "max_view_category")
 
 
 @query(
@@ -405,7 +407,7 @@ def wn8(spark, sf_dir):
 @query("sa1_rows_with_session_purchase", with_log("SELECT * FROM flagged", VISITS, FLAGGED))
 def sa1(spark, sf_dir):
     rows = visits.with_session_purchase(parked_visits(spark, sf_dir))
-    return rows.orderBy("user_id", "user_session", "event_time")
+    return sort_rows(rows, "user_id", "user_session", "event_time")
 
 
 BEFORE = """
@@ -513,12 +515,12 @@ def sa9_days(spark, sf_dir):
 
 @query("so1_sort_one_column", with_log("SELECT * FROM clean"))
 def so1(spark, sf_dir):
-    return clean_log(spark, sf_dir).orderBy("event_time")
+    return sort_rows(clean_log(spark, sf_dir), "event_time")
 
 
 @query("so2_sort_several_columns", with_log("SELECT * FROM visit", VISITS))
 def so2(spark, sf_dir):
-    return visit_rows(spark, sf_dir).orderBy("user_id", "user_session", "event_time")
+    return sort_rows(visit_rows(spark, sf_dir), "user_id", "user_session", "event_time")
 
 
 @query(

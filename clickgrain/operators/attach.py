@@ -23,13 +23,13 @@ def with_normalised_price(cleaned: DataFrame, hot: Hot | None = None) -> DataFra
     return joined.withColumn("normalised_price", F.try_divide("price", "avg_cat_price")).drop("avg_cat_price")
 
 
-def product_popularity(cleaned: DataFrame) -> DataFrame:
+def product_popularity(cleaned: DataFrame, hot: Hot | None = None) -> DataFrame:
     """Per (product, category): views of the product over the views of the category's best."""
     parents = grains.product_categories(grains.cube(cleaned))
     totals = grains.product_totals(parents).select("product_id", "total_view_of_product")
     best = grains.categories(parents, totals).select("category_id", "max_view_category")
     rows = left_join(parents.select("product_id", "category_id"), totals, ["product_id"])
-    rows = left_join(rows, best, ["category_id"], null_safe=True).na.fill({"total_view_of_product": 0})
+    rows = left_join(rows, best, ["category_id"], hot, null_safe=True).na.fill({"total_view_of_product": 0})
     share = F.col("total_view_of_product") / F.col("max_view_category")
     return rows.withColumn("popularity_percentile", F.when(F.col("max_view_category") > 0, share).otherwise(0.0))
 

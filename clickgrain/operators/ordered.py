@@ -131,3 +131,8 @@ def global_number(df: DataFrame, order: Sequence[Column], out: str, slices: int
     """Row number over the whole table without bringing it to one task."""
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return in_slices(df, [], order, [Running(out, "number")], slices=count)
+
+
+def sort_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Global sort. Rows with equal sort values may be divided between tasks, however many they are."""
+    return df.withColumn("sort_tie", F.monotonically_increasing_id()).orderBy(*columns, "sort_tie").drop("sort_tie")

@@ -1,8 +1,9 @@
 """Finding keys that hold too many rows for one task, and joining around them.
 
-``find_hot`` is one pass of a frequent-items sketch: no shuffle of keys, and a list whose length is
-bounded by ``slots``. An empty list (the usual case) leaves every plan as plain Spark would have it.
-The list only decides where rows go, never which rows there are.
+``find_hot`` counts key hashes in a thinned copy of the table: what it shuffles is bounded by
+``SAMPLE_ROWS`` and what it returns by ``slots``, however large the table is. An empty list (the
+usual case) leaves every plan as plain Spark would have it. The list only decides where rows go,
+never which rows there are, so thinning cannot change a result.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more rows than this, and more than 1/HOT_SLOTS of all rows.
+# A key is hot when it holds more rows than HOT_ROWS, and more than 1/HOT_SLOTS of all rows.
 HOT_ROWS = 2_000_000
-HOT_SLOTS = 4096
+HOT_SLOTS = 65_536
+# Rows looked at per key set: some 300 of a key that is just hot, in the largest tables.
+SAMPLE_ROWS = 20_000_000
 
 Hot = Mapping[int, int]
 
@@ -29,19 +32,29 @@ def find_hot(
 ) -> dict[str, dict[int, int]]:
     """Per key set: hash of each hot key and the number of tasks its rows should be spread over.
 
-    At most ``slots`` keys can hold more than 1/slots of the rows, so the lists are bounded whatever
-    the size of ``df``.
+    Pass a written table: its rows are counted from the file footers, and a table no larger than one
+    key may be ends the search there. All key sets share one narrow scan. At most ``slots`` keys can
+    hold more than 1/slots of the rows, so the lists have a fixed bound.
     """
-    sketches = [
-        F.expr(f"approx_top_k(xxhash64({', '.join(f'`{k}`' for k in keys)}), {slots}, {slots * 8})").alias(name)
-        for name, keys in keysets.items()
-    ]
-    found = df.agg(F.count(F.lit(1)).alias("rows"), *sketches).first()
-    limit = max(min_rows, found["rows"] / slots)
-    return {
-        name: {e["item"]: math.ceil(e["count"] / limit) for e in (found[name] or []) if e["count"] > limit}
-        for name in keysets
-    }
+    rows = df.count()
+    limit = max(min_rows, rows / slots)
+    found: dict[str, dict[int, int]] = {name: {} for name in keysets}
+    if rows <= limit:
+        return found
+    share = min(1.0, SAMPLE_ROWS / rows)
+    names = list(keysets)
+    columns = list(dict.fromkeys(k for keys in keysets.values() for k in keys))
+    thinned = df.select(*columns) if share == 1.0 else df.select(*columns).sample(share, seed=1)
+    hashes = [F.struct(F.lit(i).alias("place"), key_hash(keysets[n]).alias("hash")) for i, n in enumerate(names)]
+    counted = (
+        thinned.select(F.inline(F.array(*hashes)))
+        .groupBy("place", "hash")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > limit * share)
+    )
+    for place, hashed, n in counted.collect():
+        found[names[place]][hashed] = math.ceil(n / share / limit)
+    return found
 
 
 def hot_table(spark: SparkSession, hot: Hot) -> DataFrame:
@@ -65,6 +78,7 @@ def left_join(
     is copied to each of them. ``null_safe`` lets a null key meet a null key, as a window would.
     """
     keys = list(keys)
+    columns = [*facts.columns, *[c for c in side.columns if c not in keys]]
     if hot:
         side = mark_hot(side, keys, hot)
         side = side.withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("hot_parts", F.lit(1)) - 1)))
@@ -80,4 +94,4 @@ def left_join(
         renamed = side.withColumnsRenamed({k: f"side_{k}" for k in on})
         same = [F.col(k).eqNullSafe(F.col(f"side_{k}")) for k in on]
         joined = facts.join(renamed, same, "left").drop(*[f"side_{k}" for k in on])
-    return joined.drop("deal")
+    return joined.select(*columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickgrain.operators.ordered import Running, running
-from clickgrain.operators.skew import HOT_ROWS, find_hot, left_join
+from clickgrain.operators.skew import HOT_ROWS, Hot, find_hot, left_join
 
 TIME = "event_timestamp"
 
@@ -159,11 +159,19 @@ def materialise(table: DataFrame, path: str, views: Sequence[FeatureView] = VIEW
     return folders
 
 
-def lookup(keys: DataFrame, tables: Mapping[str, DataFrame], views: Sequence[FeatureView] = VIEWS) -> DataFrame:
-    """Latest features for each row of ``keys``; null where a key is unknown."""
+def lookup(
+    keys: DataFrame,
+    tables: Mapping[str, DataFrame],
+    views: Sequence[FeatureView] = VIEWS,
+    hot: Mapping[str, Hot] | None = None,
+) -> DataFrame:
+    """Latest features for each row of ``keys``; null where a key is unknown.
+
+    ``hot`` holds, per view, the keys asked for very often.
+    """
     found = keys
     for view in views:
-        found = left_join(found, tables[view.name].drop(view.time), view.keys)
+        found = left_join(found, tables[view.name].drop(view.time), view.keys, (hot or {}).get(view.name))
     return found
 
 
@@ -184,7 +192,7 @@ def lookup_rows(
         for key in view.keys:
             table = table.filter(F.col(key).isin(wanted[key]))
         narrowed[view.name] = table
-    return lookup(keys, narrowed, views)
+    return lookup(keys, narrowed, views)  # one row per dictionary of the caller: nothing to spread
 
 
 def as_of(
