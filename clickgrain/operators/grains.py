@@ -73,6 +73,25 @@ def pairs(cube_rows: DataFrame) -> DataFrame:
     )
 
 
+def with_pair_totals(cube_rows: DataFrame) -> DataFrame:
+    """Cube keys with the totals of the cell's (user, product); null where either is null.
+
+    A pair has one cell per category of its product, so the window holds a handful of rows.
+    """
+    pair = W.partitionBy("user_id", "product_id")
+    known = F.col("user_id").isNotNull() & F.col("product_id").isNotNull()
+    totals = {
+        "user_product_view": F.sum("views").over(pair),
+        "user_product_cart": F.sum("carts").over(pair),
+        "user_product_purchase": F.sum("purchases").over(pair),
+        "user_product_frm_cart": F.sum("removals").over(pair),
+        "view_to_purchase_time": days_between(
+            F.min("first_view").over(pair), F.min("first_purchase").over(pair)
+        ).cast("double"),
+    }
+    return cube_rows.select(*CUBE_KEYS, *[F.when(known, value).alias(name) for name, value in totals.items()])
+
+
 def log_span(clean: DataFrame) -> DataFrame:
     """One row: first and last event of the cleaned log."""
     return clean.agg(F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event"))

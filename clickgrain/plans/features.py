@@ -68,12 +68,7 @@ def enriched_cube(cube_rows: DataFrame, span: DataFrame, compat: bool = False, h
     hot = find_hot(
         cube_rows, {"user": ["user_id"], "product": ["product_id"], "category": ["category_id"]}, min_rows=hot_rows
     )
-    cells = cube_rows.select(*grains.CUBE_KEYS)
-    cells = left_join(
-        cells,
-        pair_rows.select("user_id", "product_id", *PAIR_COUNTS, "view_to_purchase_time"),
-        ["user_id", "product_id"],
-    )
+    cells = grains.with_pair_totals(cube_rows)
     cells = left_join(cells, user_rows, ["user_id"], hot["user"])
     cells = left_join(cells, product_rows, ["product_id"], hot["product"])
     cells = left_join(cells, category_rows, ["category_id"], hot["category"], null_safe=True)
@@ -103,7 +98,7 @@ def feature_table(
     """All features of a cleaned log.
 
     ``cleaned`` is read several times, so pass a written table (``feature_table_of_log`` does).
-    The events are shuffled three times: by cube cell, by session and by two-day bucket.
+    The events are shuffled three times: by two-day bucket, by session and by cube cell.
     """
     cube_rows = park(grains.cube(cleaned), "cube")
     hot = find_hot(
@@ -114,10 +109,11 @@ def feature_table(
     cells = enriched_cube(cube_rows, grains.log_span(cleaned), compat, hot_rows)
     session_rows = grains.sessions(cleaned).drop("num_session_frm_cart", "Avg_session_intent_prices")
 
+    # The widest table comes last: its columns never travel in a later shuffle of the events.
     rows = cleaned.withColumn("two_day", two_day_bucket(F.col("event_time")))
-    rows = left_join(rows, cells, grains.CUBE_KEYS, hot["cell"], null_safe=True)
-    rows = left_join(rows, session_rows, grains.SESSION_KEYS, hot["session"])
     rows = left_join(rows, grains.two_day_purchases(cleaned), ["user_id", "two_day"], hot["two_day"])
+    rows = left_join(rows, session_rows, grains.SESSION_KEYS, hot["session"])
+    rows = left_join(rows, cells, grains.CUBE_KEYS, hot["cell"], null_safe=True)
 
     pair_total = sum((F.col(c) for c in PAIR_COUNTS[1:]), F.col(PAIR_COUNTS[0]))
     rows = rows.withColumns(
