@@ -168,10 +168,12 @@ def cl19(spark, sf_dir):
 @query(
     "cl20_row_lookup",
     with_log(
-        """SELECT c.* FROM clean c WHERE c.product_id = '69' AND c.price = (SELECT max(price) FROM clean WHERE product_id = '69')"""
+        """SELECT c.* FROM clean c JOIN (SELECT product_id, price FROM clean ORDER BY price DESC, product_id DESC LIMIT 1) d
+ON c.product_id = d.product_id AND c.price = d.price"""
     ),
 )
 def cl20(spark, sf_dir):
-    rows = clean_log(spark, sf_dir)
-    of_product = rows.filter(F.col("product_id") == "69")
-    return of_product.filter(F.col("price") == of_product.agg(F.max("price")).scalar())
+    """Rows of one product at one price: those of the dearest event."""
+    rows = park(clean_log(spark, sf_dir), "clean")
+    dearest = rows.agg(F.max(F.struct("price", "product_id"))).scalar()
+    return rows.filter((F.col("product_id") == dearest["product_id"]) & (F.col("price") == dearest["price"]))

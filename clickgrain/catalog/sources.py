@@ -80,7 +80,7 @@ def io4(spark, sf_dir):
 @query("io5_normalised_parquet", with_log(f"{TYPED} WHERE event_type <> 'remove_from_cart'"))
 def io5(spark, sf_dir):
     target = new_folder(spark, "normalised")
-    sources.normalise_to_parquet(spark, f"{csv_months(spark, sf_dir)}/*", target)
+    sources.normalise_to_parquet(spark, f"{csv_months(spark, sf_dir)}/*", target, gather=True)
     return to_cents(sources.read_parquet_log(spark, target).drop("event_date"))
 
 

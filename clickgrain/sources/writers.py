@@ -14,25 +14,35 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_by_day(log: DataFrame, path: str) -> None:
+def write_by_day(log: DataFrame, path: str, gather: bool = False) -> None:
     """One folder per event date, rows in time order within each file.
 
-    Rows are not moved to gather a day: a hot day stays on as many tasks as wrote it.
+    Rows stay on the task that read them, which suits files that arrive in time order and spares the
+    shuffle. ``gather`` brings rows of like times together first; it cuts ranges of time, not days,
+    so a busy day is still written by many tasks.
     """
+    dated = log.withColumn("event_date", F.to_date("event_time"))
+    if gather:
+        tie = F.xxhash64(*log.columns)
+        dated = dated.repartitionByRange("event_time", tie)
     (
-        log.withColumn("event_date", F.to_date("event_time"))
-        .sortWithinPartitions("event_date", "event_time")
+        dated.sortWithinPartitions("event_date", "event_time")
         .write.mode("overwrite")
         .partitionBy("event_date")
         .parquet(path)
     )
 
 
-def normalise_to_parquet(spark: SparkSession, csv_paths: str | list[str], path: str, refresh: bool = False) -> str:
-    """Turn CSV files into the Parquet log once, without removals from the cart."""
-    if refresh or not path_exists(spark, path):
+def normalise_to_parquet(
+    spark: SparkSession, csv_paths: str | list[str], path: str, refresh: bool = False, gather: bool = False
+) -> str:
+    """Turn CSV files into the Parquet log once, without removals from the cart.
+
+    Only a finished log is kept as it is; one that a broken job left half written is written anew.
+    """
+    if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
         log = read_csv_log(spark, csv_paths)
-        write_by_day(log.filter(F.col("event_type") != REMOVAL), path)
+        write_by_day(log.filter(F.col("event_type") != REMOVAL), path, gather)
     return path
 
 
