@@ -194,7 +194,7 @@ placed AS (SELECT user_id, category_id, row_number() OVER (PARTITION BY user_id
 def placed_categories(spark, sf_dir):
     counted = clean_log(spark, sf_dir).filter(is_event(PURCHASE)).groupBy("user_id", "category_id").count()
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("count"), "category_id"))
-    return counted.withColumn("place", place)
+    return counted.withColumn("place", place.cast("long"))
 
 
 @query(
@@ -553,7 +553,7 @@ FROM (SELECT user_id, product_id, count(*) AS n FROM clean GROUP BY ALL)) WHERE
 def so5(spark, sf_dir):
     counted = clean_log(spark, sf_dir).groupBy("user_id", "product_id").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "product_id"))
-    return counted.withColumn("place", place).filter("place <= 3")
+    return counted.withColumn("place", place.cast("long")).filter("place <= 3")
 
 
 @query(
