@@ -9,6 +9,7 @@ from clickgrain.catalog.features import RECENCY_SQL, WEIGHT, hot_keys
 from clickgrain.catalog.store import parked_features
 from clickgrain.catalog.visits import split_sql
 from clickgrain.operators import attach, ranking
+from clickgrain.operators.skew import find_hot
 from clickgrain.operators.splits import split_history, split_parts
 from clickgrain.plans import mlprep, recommend
 from clickgrain.session import new_folder, park
@@ -53,7 +54,7 @@ FROM (SELECT user_session AS label, count(*) AS n FROM clean WHERE event_type =
 def ml1_rows(spark, sf_dir):
     rows = parked_clean(spark, sf_dir, removals=True)
     labels = park(mlprep.frequency_index(rows.filter("event_type = 'purchase'"), "user_session"), "labels")
-    indexed = mlprep.with_index(rows, labels, "user_session")
+    indexed = mlprep.with_index(rows, labels, "user_session", hot=hot_keys(rows, "user_session"))
     return indexed.select("user_id", "product_id", "event_time", "event_type", "user_session_index")
 
 
@@ -154,9 +155,11 @@ def scored_parts(spark, sf_dir):
 def ratings(spark, sf_dir):
     """Train and test interactions on indexed ids."""
     parts = scored_parts(spark, sf_dir)
+    train = parts["train"]
+    hot = find_hot(train, {c: [c] for c in mlprep.INDEXED_COLUMNS})
     for column in mlprep.INDEXED_COLUMNS:
-        labels = park(mlprep.frequency_index(parts["train"], column), "labels")
-        parts = {name: mlprep.with_index(rows, labels, column) for name, rows in parts.items()}
+        labels = park(mlprep.frequency_index(train, column), "labels")
+        parts = {name: mlprep.with_index(rows, labels, column, hot=hot[column]) for name, rows in parts.items()}
     return {
         name: park(rows.select(recommend.USER, recommend.ITEM, recommend.SCORE), f"ratings-{name}")
         for name, rows in parts.items()

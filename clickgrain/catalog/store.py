@@ -135,9 +135,11 @@ def fv6(spark, sf_dir):
     train = park(split_history(table, time="event_timestamp").filter("split = 'train'"), "train")
     fitted = mlprep.FeatureTransform.fit(train)
     rows = fitted.transform(train)
-    for column in mlprep.HASHED_COLUMNS:
-        if column not in fitted.labels:
-            rows = mlprep.with_index(rows, park(mlprep.frequency_index(train, column), "labels"), column)
+    others = [c for c in mlprep.HASHED_COLUMNS if c not in fitted.labels]
+    hot = find_hot(train, {c: [c] for c in others})
+    for column in others:
+        labels = park(mlprep.frequency_index(train, column), "labels")
+        rows = mlprep.with_index(rows, labels, column, hot=hot[column])
     scaled = F.regexp_replace(F.col("RFM_scaled_features").cast("string"), r"[\[\]]", "")
     rows = park(rows.withColumn("RFM_scaled_features", F.split(scaled, ",")), "indexed")
     found = None
@@ -167,7 +169,8 @@ def jn8(spark, sf_dir):
     seen = rows.filter(is_event(VIEW)).select(
         "user_id", "event_time", F.col("product_id").alias("viewed_product"), F.col("price").alias("viewed_price")
     )
-    return store.as_of(bought, seen, ["user_id"], ["viewed_product", "viewed_price"], time="event_time")
+    hot = find_hot(rows, {"user": ["user_id"]})["user"]
+    return store.as_of(bought, seen, ["user_id"], ["viewed_product", "viewed_price"], "event_time", hot)
 
 
 @query(

@@ -531,7 +531,7 @@ FROM (SELECT user_id, product_id, count(*) AS n FROM clean GROUP BY ALL)"""
     ),
 )
 def so3(spark, sf_dir):
-    counted = clean_log(spark, sf_dir).groupBy("user_id", "product_id").count()
+    counted = park(clean_log(spark, sf_dir).groupBy("user_id", "product_id").count(), "pairs")
     ranked = running(
         counted, ["user_id"], [F.desc("count"), F.col("product_id")], [Running("place", "number")], hot_keys(counted, "user_id")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickgrain.operators.ordered import global_number
-from clickgrain.operators.skew import HOT_ROWS, find_hot, left_join
+from clickgrain.operators.skew import HOT_ROWS, Hot, find_hot, left_join
 from clickgrain.session import park
 
 # Hashed columns, vector size, clustered columns, number of clusters and seed.
@@ -39,10 +39,9 @@ def frequency_index(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_index(
-    df: DataFrame, labels: DataFrame, column: str, out: str | None = None, hot_rows: int = HOT_ROWS
+    df: DataFrame, labels: DataFrame, column: str, out: str | None = None, hot: Hot | None = None
 ) -> DataFrame:
     """Adds the index; a label not in the list (null included) gets the number of labels."""
-    hot = find_hot(df, {"label": [column]}, min_rows=hot_rows)["label"]
     out = out or f"{column}_index"
     side = labels.select(F.col("label").alias(column), F.col("index").alias(out))
     unseen = labels.agg(F.count(F.lit(1)).cast("double")).scalar()
@@ -128,8 +127,9 @@ class FeatureTransform:
         return cls(labels, PipelineModel([hasher(), assembler, scaler, clusters]))
 
     def transform(self, df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+        hot = find_hot(df, {column: [column] for column in self.labels}, min_rows=hot_rows)
         for column, labels in self.labels.items():
-            df = with_index(df, labels, column, hot_rows=hot_rows)
+            df = with_index(df, labels, column, hot=hot[column])
         return self.stages.transform(df)
 
     def training_rows(self, df: DataFrame) -> DataFrame:

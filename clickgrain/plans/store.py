@@ -196,9 +196,13 @@ def lookup_rows(
 
 
 def as_of(
-    entities: DataFrame, features: DataFrame, keys: Sequence[str], fields: Sequence[str], time: str = TIME,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    entities: DataFrame,
+    features: DataFrame,
+    keys: Sequence[str],
+    fields: Sequence[str],
+    time: str = TIME,
+    hot: Hot | None = None,
+) -> DataFrame:
     """Each entity row with the newest feature row of its keys that is not later than the entity.
 
     Both sides are stacked and scanned once in time order, features before entities at one instant,
@@ -218,7 +222,6 @@ def as_of(
         *keys, time, F.lit(1).alias("side"), F.lit(None).alias("offer"), F.struct(*carried, F.lit(1).alias("row")).alias("entity")
     )
     stacked = offered.unionByName(asked)
-    hot = find_hot(offered.select(*keys).unionByName(entities.select(*keys)), {"keys": keys}, min_rows=hot_rows)["keys"]
     order = [F.col(time), F.col("side"), F.col("offer")]
     scanned = running(stacked, keys, order, [Running("match", "last", "offer")], hot)
     return scanned.filter(F.col("side") == 1).select(
@@ -229,9 +232,15 @@ def as_of(
 def point_in_time(
     entities: DataFrame, table: DataFrame, views: Sequence[FeatureView] = VIEWS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """An entity frame (time and keys) with the features of all views as they were at that time."""
+    """An entity frame (time and keys) with the features of all views as they were at that time.
+
+    Pass written tables: both are read once per view.
+    """
     columns = entities.columns
+    keys = list(dict.fromkeys(key for view in views for key in view.keys))
+    both = entities.select(*keys).unionByName(table.select(*keys))
+    hot = find_hot(both, {view.name: view.keys for view in views}, min_rows=hot_rows)
     found = entities
     for view in views:
-        found = as_of(found, project(view, table), view.keys, view.names, view.time, hot_rows)
+        found = as_of(found, project(view, table), view.keys, view.names, view.time, hot[view.name])
     return found.select(*columns, *[f"`{n}`" for view in views for n in view.names])

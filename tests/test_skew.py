@@ -117,8 +117,10 @@ def test_as_of_equals_brute_force(spark):
     for k, t, i in asks:
         fits = [(ft, f) for fk, ft, f in offers if k is not None and fk == k and ft <= t]
         expected.append((k, t, i, max(fits)[1] if fits else None))
+    keys = entities.select("k").unionByName(features.select("k"))
     for hot_rows in (10_000, 20):
-        found = as_of(entities, features, ["k"], ["f"], time="t", hot_rows=hot_rows)
+        hot = find_hot(keys, {"k": ["k"]}, min_rows=hot_rows)["k"]
+        found = as_of(entities, features, ["k"], ["f"], "t", hot)
         assert rows_of(found) == sorted(expected, key=str)
 
 
@@ -159,5 +161,6 @@ def test_index_is_a_bijection_and_keeps_unseen(raw):
     labels = frequency_index(raw.filter("user_id <> '3'"), "user_id")
     indexes = sorted(r["index"] for r in labels.collect())
     assert indexes == [float(i) for i in range(len(indexes))]
-    unseen = with_index(raw, labels, "user_id", hot_rows=20).filter("user_id = '3'").select("user_id_index").distinct()
+    hot = find_hot(raw, {"user": ["user_id"]}, min_rows=20)["user"]
+    unseen = with_index(raw, labels, "user_id", hot=hot).filter("user_id = '3'").select("user_id_index").distinct()
     assert [r[0] for r in unseen.collect()] == [float(len(indexes))]
