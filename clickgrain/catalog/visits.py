@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import clean_log, parked_clean, query, r, rounded, seconds, with_log
-from clickgrain.catalog.features import PAIR_TIME_SQL, PRODUCT_SQL, times
+from clickgrain.catalog.features import PAIR_TIME_SQL, PRODUCT_SQL
 from clickgrain.functions import CART, PURCHASE, VIEW, days_between, is_event, two_day_bucket
 from clickgrain.operators import attach, grains, profile, splits, visits
 from clickgrain.operators.ordered import Running, running, sort_rows

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickgrain.functions import cycle, ndcg_at_k, precision_at_k, recall_at_k
-from clickgrain.operators import attach, cleaning, grains, profile, quality, ranking, splits, visits
+from clickgrain.operators import attach, cleaning, profile, quality, ranking, splits, visits
 from clickgrain.plans import store
 from clickgrain.plans.features import feature_table, feature_table_of_log
 from clickgrain.session import park
