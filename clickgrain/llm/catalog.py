@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clickgrain.llm import mixing
+from clickgrain.llm import decontaminate, language, mixing, secrets, sharding, toxicity, urlrules
+from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +32,53 @@ def query(key: str, sql: str | None = None):
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five, two and one parts of the sources in turn, 150 % of all words in total."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op3_url_filter", urlrules.SQL)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rules, and the listed hosts' URLs where no rule fits."""
+    pages = table(spark, sf_dir, "pages")
+    listed = urlrules.hosts_with_label(pages, urlrules.LISTED_LABELS)
+    judged = urlrules.filter_pages(pages, urlrules.rule_table(spark, urlrules.RULES), listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op5_kd_sharding")
+def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes."""
+    shards = sharding.shard_table(table(spark, sf_dir, "documents"), shards=8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels of the folds 1 to 4 of 5, scores every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
+    folded = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
+    return toxicity.score(folded, model, ("doc_id", "held_out"))
+
+
+@query("op8_secrets")
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain patterns and values that are dear to guess."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    counts = [F.size(secrets.of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base = secrets.spelled(secrets.of_kind(F.col("spans"), "assign", "access", "hex"))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
+@query("op10_language")
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the folds 0 and 2 of 3, predicts every document."""
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(docs, fold(F.col("doc_id"), 3) != 1)
+    folded = docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text")
+    return language.predict(folded, net, ("doc_id", "held_out"))
+
+
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items they overlap with."""
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.col("n_overlaps") > 0).alias("leaked"), "n_overlaps", "n_matched", "items")
