@@ -28,26 +28,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickgrain.llm.samples import share_of_values
-from clickgrain.llm.words import LETTERS, U, Words, mix, word_hashes, words
+from clickgrain.llm.words import LETTERS, U, Words, mix, window_hashes, word_hashes, words
 
 CHAIN = 64
-TABLE_BITS = 18
+TABLE_BITS = 20
 PREFIXES = (4, 5)
 SATURATION = 15.0
 
 
 @dataclass
 class Model:
-    """Weights per hashed feature, log potentials of the four transitions, start, curve."""
+    """Weights of features by their hash, log potentials of the four transitions, start, curve.
+
+    A feature's slot in the table is given by the upper bits of its hash, and its weight counts where
+    the lower bits agree too; of two features in one slot the heavier stays.
+    """
 
     weights: np.ndarray
+    tags: np.ndarray
     transitions: np.ndarray
     start: float
     curve: np.ndarray
 
 
 def features(w: Words) -> np.ndarray:
-    """Hashed features of all words: the word itself and its first bytes."""
+    """Hashes of the features of all words: the word itself and its first bytes."""
     hashes = [word_hashes(w)]
     lengths = w.ends - w.starts
     code = np.zeros(w.starts.size, U)
@@ -57,7 +62,7 @@ def features(w: Words) -> np.ndarray:
         code = (code << U(8)) | here
         if i + 1 in PREFIXES:
             hashes.append(mix(code + (U(i + 1) << U(56))))
-    return np.stack([h >> U(64 - TABLE_BITS) for h in hashes]).astype(np.int64)
+    return np.stack(hashes)
 
 
 @dataclass
@@ -101,14 +106,16 @@ def forward_backward(odds: np.ndarray, valid: np.ndarray, transitions: np.ndarra
     return forward, backward
 
 
-def emissions(weights: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return np.clip(weights[ids].sum(axis=0, dtype=np.float64), -SATURATION, SATURATION)
+def emissions(model: Model, hashes: np.ndarray) -> np.ndarray:
+    slots = (hashes >> U(64 - TABLE_BITS)).astype(np.int64)
+    known = np.where(model.tags[slots] == hashes.astype(np.uint32), model.weights[slots], 0)
+    return np.clip(known.sum(axis=0, dtype=np.float64), -SATURATION, SATURATION)
 
 
 def log_odds(model: Model, w: Words) -> np.ndarray:
     """Log odds of every word's marginal."""
     chains = Chains.of(w.first)
-    odds = chains.spread(np.exp(emissions(model.weights, features(w))))
+    odds = chains.spread(np.exp(emissions(model, features(w))))
     forward, backward = forward_backward(odds, chains.valid, model.transitions, model.start)
     return np.log(np.maximum((forward * backward)[chains.step, chains.lane], 1e-300))
 
@@ -130,32 +137,34 @@ def curve_score(curve: np.ndarray, summary: np.ndarray) -> np.ndarray:
 
 def toxic_features(ids: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that mark toxic documents: many of those, or what no other feature explains."""
-    pairs = np.unique(np.stack([ids.ravel(), np.tile(doc, ids.shape[0])]), axis=1)
-    size = 1 << TABLE_BITS
+    pairs = np.unique(ids.ravel() * toxic.size + np.tile(doc, ids.shape[0]))
+    pairs = np.stack([pairs // toxic.size, pairs % toxic.size])
+    size = int(ids.max()) + 1
     bad = np.bincount(pairs[0][toxic[pairs[1]]], minlength=size)
     good = np.bincount(pairs[0][~toxic[pairs[1]]], minlength=size) * (toxic.sum() / max(1, (~toxic).sum()))
     pure = good <= 0.02 * bad
-    chosen = pure & (bad >= max(8, 0.01 * toxic.sum()))
+    least = max(4, 0.01 * toxic.sum())
+    chosen = pure & (bad >= 2 * least)
     explained = np.zeros(toxic.size, bool)
     explained[pairs[1][chosen[pairs[0]]]] = True
-    candidates = pairs[:, pure[pairs[0]] & (bad[pairs[0]] >= 3) & toxic[pairs[1]]]
+    candidates = pairs[:, pure[pairs[0]] & (bad[pairs[0]] >= least) & toxic[pairs[1]]]
     while True:
         left = candidates[:, ~explained[candidates[1]]]
         gain = np.bincount(left[0], minlength=size)
         best = int(gain.argmax())
-        if gain[best] < 3:
+        if gain[best] < least:
             return chosen
         chosen[best] = True
         explained[left[1][left[0] == best]] = True
 
 
 def distinct_texts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Texts without near copies of earlier ones, by two smallest word hashes."""
+    """Texts without near copies of earlier ones, by six smallest hashes of three words in turn."""
     seen: set[int] = set()
     keep = np.zeros(first.size - 1, bool)
     for i in range(first.size - 1):
-        own = codes[first[i] : first[i + 1]]
-        least = {int(own.min()), int(mix(own).min())} if own.size else set()
+        own = window_hashes(codes[first[i] : first[i + 1]], 3)
+        least = {int(mix(own ^ U(k)).min()) for k in range(6)} if own.size else set()
         keep[i] = bool(least) and not least & seen
         seen |= least
     return keep
@@ -165,7 +174,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     """Trains on labelled texts by gradient ascent (Adam) on the chains' log likelihood."""
     toxic = np.array(labels, bool)
     share = float(toxic.mean()) if toxic.size else 0.0
-    model = Model(np.zeros(1 << TABLE_BITS, np.float32), np.zeros((2, 2)), 0.0, np.zeros(3))
+    size = 1 << TABLE_BITS
+    model = Model(np.zeros(size, np.float32), np.zeros(size, np.uint32), np.zeros((2, 2)), 0.0, np.zeros(3))
     if share in (0.0, 1.0):
         model.curve[0] = np.log(max(share, 1e-13)) - np.log(max(1 - share, 1e-13))
         return model
@@ -174,14 +184,18 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
         pieces.append(features(w))
         counts.append(np.diff(w.first))
         codes.append(word_hashes(w))
-    ids, first = np.concatenate(pieces, axis=1), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    hashes, first = np.concatenate(pieces, axis=1), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+    if not first[-1]:
+        return model
+    names, ids = np.unique(hashes, return_inverse=True)
+    ids = ids.reshape(hashes.shape)
     doc = np.repeat(np.arange(toxic.size), np.diff(first))
     once = distinct_texts(np.concatenate(codes), first)[doc]
-    marks = toxic_features(ids[:, once], doc[once], toxic)
+    marks = np.zeros(names.size, bool)
+    own = toxic_features(ids[:, once], doc[once], toxic)
+    marks[: own.size] = own
     truth = marks[ids].any(axis=0) & toxic[doc]
 
-    names, compact = np.unique(ids, return_inverse=True)
-    compact = compact.reshape(ids.shape)
     chains = Chains.of(first)
     y = chains.spread(truth.astype(float))
     both = chains.valid[1:]
@@ -192,12 +206,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     memory = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
     for round_ in range(1, rounds + 1):
         weights, transitions, start = parameters
-        odds = chains.spread(np.exp(np.clip(weights[compact].sum(axis=0), -SATURATION, SATURATION)))
+        odds = chains.spread(np.exp(np.clip(weights[ids].sum(axis=0), -SATURATION, SATURATION)))
         forward, backward = forward_backward(odds, chains.valid, transitions, start[0])
         product = forward * backward
         marginal = product / (1 + product)
         gap = np.where(chains.valid, y - marginal, 0.0)
-        slope = np.bincount(compact.ravel(), np.tile(gap[chains.step, chains.lane], ids.shape[0]), names.size)
+        slope = np.bincount(ids.ravel(), np.tile(gap[chains.step, chains.lane], ids.shape[0]), names.size)
         grown = odds[1:] * backward[1:]
         cells = np.stack([np.ones_like(grown), grown, forward[:-1], forward[:-1] * grown]) * np.exp(transitions).reshape(4, 1, 1)
         cells = np.where(both, cells / cells.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
@@ -206,9 +220,12 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             p += rate * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.99**round_)) + 1e-8)
-    model.weights[names] = parameters[0]
+    order = np.argsort(np.abs(parameters[0]), kind="stable")
+    slots = (names[order] >> U(64 - TABLE_BITS)).astype(np.int64)
+    model.weights[slots] = parameters[0][order]
+    model.tags[slots] = names[order].astype(np.uint32)
     model.transitions, model.start = parameters[1], float(parameters[2][0])
-    final = chains.spread(np.exp(emissions(model.weights, ids)))
+    final = chains.spread(np.exp(emissions(model, hashes)))
     forward, backward = forward_backward(final, chains.valid, model.transitions, model.start)
     word_odds = np.log(np.maximum((forward * backward)[chains.step, chains.lane], 1e-300))
     model.curve = _logistic(summaries(word_odds, first), toxic.astype(float))
@@ -240,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of every row of ``docs`` with score, predicted and spans (code points)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**TABLE_BITS weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**TABLE_BITS weights and tags, 8 MB
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = sent.value
