@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickgrain.llm import decontaminate, language, mixing, secrets, sharding, toxicity, urlrules
+from clickgrain.llm import decontaminate, language, mixing, secrets, sharding, substrings, toxicity, urlrules
 from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items they overlap with."""
     found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.col("n_overlaps") > 0).alias("leaked"), "n_overlaps", "n_matched", "items")
+
+
+@query("op9_substrings")
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words under repeated windows of 35 words."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
