@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickgrain.llm import decontaminate, language, mixing, secrets, sharding, substrings, toxicity, urlrules
+from clickgrain.llm import decontaminate, language, mixing, ngramjoin, secrets, sharding, substrings, toxicity, urlrules
 from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words under repeated windows of 35 words."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op6_ngram_join")
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of 85 % or more of the four-word shingles."""
+    return ngramjoin.link_documents(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
