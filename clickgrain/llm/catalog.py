@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickgrain.llm import decontaminate, language, mixing, ngramjoin, secrets, sharding, substrings, toxicity, urlrules
+from clickgrain.llm import decontaminate, kdsearch, language, mixing, ngramjoin, secrets, sharding, substrings, toxicity, urlrules
 from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of 85 % or more of the four-word shingles."""
     return ngramjoin.link_documents(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_kd_search", kdsearch.SQL)
+def op4_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best of all vectors for every hundredth."""
+    vectors = kdsearch.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return kdsearch.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
