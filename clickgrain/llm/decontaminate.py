@@ -2,13 +2,13 @@
 
 A seed is a hash of those words of a stretch that a fixed mask marks with 1; the words under 0 may
 differ. Seeds of all masks are taken at every position of every benchmark item and every document.
-A bitmap of fixed size keeps nearly all document seeds that no item has from leaving the scan; the
+A Bloom filter of fixed size keeps nearly all document seeds that no item has from leaving the scan; the
 rest meet the items' seeds in a hash join. Every hit names an alignment of a document with an item.
 Each alignment is verified word by word over all its overlap: the best stretch, a match counting 1
 and a substitution -2, must hold at least ``least`` matching words.
 
 Words are runs of letters and digits in lower case, so case and punctuation don't hide a leak. Equal
-texts are treated once. The bitmap has ``BITS`` bits whatever the size of the benchmark: a larger
+texts are treated once. The filter has ``2 ** BITS`` bits whatever the size of the benchmark: a larger
 benchmark lets more seeds through to the join, and no hit is lost.
 
 Nulls: a null text has no words. Items of fewer than ``least`` words have no seeds: so short a
@@ -30,6 +30,7 @@ from clickgrain.session import park
 #: Eight words each. The first finds exact stretches of items too short for the others.
 MASKS = ("11111111", "110110100111", "111010011011", "101111001101")
 BITS = 23
+SHIFTS = (64 - BITS, 20, 0)
 LEAST_WORDS = 8
 PLACE_CODES = splitmix(23, 64)
 
@@ -82,9 +83,10 @@ def item_seeds(coded: DataFrame) -> DataFrame:
 
 
 def seed_bitmap(seeds: DataFrame) -> np.ndarray:
-    """A bit for every seed by its upper bits, gathered as bytes: at most 2**BITS / 8 rows."""
-    place = F.shiftrightunsigned("seed", 64 - BITS)
-    rows = seeds.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2.0), place % 8).cast("int")).alias("bits"))
+    """Three bits for every seed, by different bits of it, gathered as bytes: at most 2**BITS / 8 rows."""
+    places = seeds.select(F.explode(F.array(*[F.shiftrightunsigned("seed", s).bitwiseAND((1 << BITS) - 1) for s in SHIFTS])).alias("place"))
+    place = F.col("place")
+    rows = places.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2.0), place % 8).cast("int")).alias("bits"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
     for byte, bits in rows.toLocalIterator():
         out[byte] = bits
@@ -103,8 +105,10 @@ def document_hits(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
                 found = []
                 for number, mask in enumerate(MASKS):
                     seeds = seed_hashes(codes, number)
-                    place = (seeds >> U(64 - BITS)).astype(np.int64)
-                    at = np.flatnonzero((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+                    at = np.arange(seeds.size)
+                    for shift in SHIFTS:
+                        place = ((seeds[at] >> U(shift)) & U((1 << BITS) - 1)).astype(np.int64)
+                        at = at[((table[place >> 3] >> (place & 7).astype(np.uint8)) & 1) > 0]
                     if at.size:
                         at = at[inside_one(w.first, seeds.size, len(mask))[at]]
                         found.append((at, seeds[at]))
