@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickgrain.llm.samples import aside
 from clickgrain.llm.words import LETTERS, U, lists, mix, signed, splitmix, word_hashes, words
 from clickgrain.session import park
 
@@ -191,6 +192,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> D
 
 def clean_documents(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` that share no overlap with an item."""
-    leaked = overlaps(with_text_key(docs).select("h1", "h2", "text"), items, least).select(F.col("h1").alias("leak_1"), F.col("h2").alias("leak_2")).distinct()
-    leaked = park(leaked, "leaks")
-    return docs.join(leaked, (F.xxhash64("text") == F.col("leak_1")) & (F.xxhash64(F.lit("second"), "text") == F.col("leak_2")), "left_anti").select(*docs.columns)
+    keyed = with_text_key(docs.select("text"))
+    leaked = park(overlaps(keyed.select("h1", "h2", "text"), items, least).select("h1", "h2").distinct(), "leaks")
+    rows = aside(docs, h1=F.xxhash64("text"), h2=F.xxhash64(F.lit("second"), "text"))
+    return rows.join(leaked, ["h1", "h2"], "left_anti").select("kept_row.*")

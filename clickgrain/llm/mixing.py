@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clickgrain.llm.samples import aside
 from clickgrain.llm.thresholds import cut_points, hash_key
 from clickgrain.operators.ordered import global_number
 from clickgrain.session import park
@@ -78,11 +79,12 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: floa
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
-    named = docs.withColumn("mix_key", hash_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
-    taken = mix_sources(docs, **options).filter(F.col("times") > 0).groupBy("source", F.col("key").alias("mix_key")).agg(F.max("times").alias("mix_times"))
-    taken = taken.withColumnRenamed("source", "mix_source").withColumnRenamed("mix_key", "mix_of")
-    joined = named.join(taken, (F.col("mix_key") == F.col("mix_of")) & F.col("source").eqNullSafe(F.col("mix_source")))
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_times")))).select(*docs.columns)
+    own_key = hash_key(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    named = aside(docs, source=F.col("source"), key=own_key)
+    taken = mix_sources(docs, **options).filter(F.col("times") > 0).groupBy("source", "key").agg(F.max("times").alias("times"))
+    taken = taken.select(F.col("source").alias("of_source"), F.col("key").alias("of_key"), "times")
+    joined = named.join(taken, (F.col("key") == F.col("of_key")) & F.col("source").eqNullSafe(F.col("of_source")))
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("kept_row.*")
 
 
 SQL = r"""

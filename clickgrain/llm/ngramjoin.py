@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickgrain.llm.components import components
+from clickgrain.llm.samples import aside
 from clickgrain.llm.urlrules import _bits, build_filter
 from clickgrain.llm.words import U, lists, mix, sequence_hash, sequence_sums, signed, window_hashes, word_hashes, words
 from clickgrain.session import park
@@ -335,13 +336,15 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; of repeated rows one.
+    """The rows of ``docs`` whose doc_id is the smallest of their component; of rows that share it one.
 
     Rows without doc_id or without words are in no component and stay.
     """
-    keep = link_documents(docs, n, percent).filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
-    keep = park(keep.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    others = docs.filter(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    named = docs.filter(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    chosen = named.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return others.unionByName(chosen.dropDuplicates(["doc_id"]))
+    linked = link_documents(docs, n, percent)
+    roots = linked.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
+    roots = park(roots.groupBy(F.col("doc_id").alias("root")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    in_one = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = aside(docs, id=F.col("doc_id"), in_one=in_one)
+    single = rows.filter("in_one").join(roots.filter("n = 1"), F.col("id") == F.col("root"), "left_semi")
+    repeated = rows.filter("in_one").join(roots.filter("n > 1"), F.col("id") == F.col("root"), "left_semi").dropDuplicates(["id"])
+    return rows.filter("NOT in_one").unionByName(single).unionByName(repeated).select("kept_row.*")

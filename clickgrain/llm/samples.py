@@ -1,4 +1,4 @@
-"""Bounded labelled samples for fitting, and the folds of the queries."""
+"""Bounded labelled samples for fitting, the folds of the queries, and rows put aside."""
 
 from __future__ import annotations
 
@@ -16,3 +16,8 @@ def share_of_values(rows: DataFrame, value: str, key: str, per_value: int) -> Da
     counts = rows.groupBy(F.col(value).alias("counted")).agg(F.count(F.lit(1)).alias("n"))
     drawn = F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(counts, F.col(value) == F.col("counted")).filter(drawn * F.col("n") < per_value).drop("counted", "n")
+
+
+def aside(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Each row of ``docs`` as one column ``kept_row``, with ``columns`` beside it that no name of ``docs`` can clash with."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row"), *[c.alias(n) for n, c in columns.items()])

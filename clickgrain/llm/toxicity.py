@@ -279,3 +279,11 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     rows = docs.select(*keep, F.col("text").alias("tox_text"))
     types = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "tox_text")
     return rows.mapInArrow(part, f"{types}, score double, predicted int, spans array<struct<start: int, end: int>>")
+
+
+def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, with all their columns."""
+    names = [f"kept_{i}" for i in range(len(docs.columns))]
+    aside = docs.select("text", *[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    clean = score(aside, model, tuple(names)).filter(F.col("predicted") == 0)
+    return clean.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
