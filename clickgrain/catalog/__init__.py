@@ -10,5 +10,6 @@ from clickgrain.catalog import (  # noqa: F401
     store,
     visits,
 )
+from clickgrain.catalog import spread  # noqa: F401,I001  after those whose SQL it takes
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from clickgrain.catalog.base import query, r, with_log
 from clickgrain.functions import EVENT_TYPES
 from clickgrain.operators import quality
@@ -55,9 +53,8 @@ def kind_query(key: str, kind: str, condition: str | None = None, index: int | N
 
     @query(key, with_log(RESULT_SQL + where, suite_sql(index)))
     def run(spark, sf_dir):
-        results = quality.run_suite(incoming(spark, sf_dir), quality.standard_suite(index))
-        wanted = results.filter(F.col("kind") == kind)
-        return wanted.filter(condition) if condition else wanted
+        results = quality.run_suite(incoming(spark, sf_dir), quality.standard_suite(index), [kind])
+        return results.filter(condition) if condition else results
 
 
 kind_query("dq1_columns_exist", "exists")
@@ -91,12 +88,12 @@ def dq7(spark, sf_dir):
     ),
 )
 def dq7_totals(spark, sf_dir):
-    return quality.suite_totals(quality.run_suite(incoming(spark, sf_dir)))
+    return quality.suite_totals(quality.run_suite(park(incoming(spark, sf_dir), "incoming")))
 
 
 @query("dq8_result_document", with_log(RESULT_SQL, suite_sql()))
 def dq8(spark, sf_dir):
     folder = new_folder(spark, "checks")
-    results = quality.run_suite(incoming(spark, sf_dir))
+    results = quality.run_suite(park(incoming(spark, sf_dir), "incoming"))
     write_result_json(results, folder)
     return spark.read.schema(results.schema).json(folder).select(*RESULT)

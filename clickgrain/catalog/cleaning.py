@@ -160,9 +160,10 @@ def cl18(spark, sf_dir):
     return clean_log(spark, sf_dir).filter(dear | F.expr("is_brand_missing = 1 AND price <= 5"))
 
 
-@query("cl19_preview")
+@query("cl19_preview", with_log("SELECT * FROM clean ORDER BY ALL NULLS LAST LIMIT 20"))
 def cl19(spark, sf_dir):
-    return clean_log(spark, sf_dir).limit(20)
+    log = clean_log(spark, sf_dir)
+    return log.orderBy(*[F.col(c).asc_nulls_last() for c in log.columns]).limit(20)
 
 
 @query(

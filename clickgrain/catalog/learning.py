@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import parked_clean, query, r, rounded, with_log
@@ -70,18 +71,20 @@ def ml3(spark, sf_dir):
     return hashed.select(*EVENT, F.col("Assembled_hashed_features").cast("string").alias("hashed_features"))
 
 
-@query("ml4_assembled_rfm")
-def ml4(spark, sf_dir):
-    rows = mlprep.assemble_rfm(rfm_rows(spark, sf_dir))
-    return rows.select("user_id", F.col("unscaled_features").cast("string").alias("unscaled_features"))
-
-
 RFM_SQL = """
 rfm AS (SELECT user_id, count(*) AS events, any_value(Recency) AS Recency, count(*) FILTER (event_type = 'purchase') AS Frequency,
         coalesce(sum(price) FILTER (event_type = 'purchase'), 0) AS Monetary FROM clean JOIN recency USING (user_id) GROUP BY user_id),
 rfm_rows AS (SELECT c.user_id, r.Recency, r.Frequency, r.Monetary FROM clean c JOIN rfm r USING (user_id))"""
 
 
+@query("ml4_assembled_rfm", with_log("SELECT user_id, " + ", ".join(f"{r(c)} AS {c.lower()}" for c in ("Recency", "Frequency", "Monetary")) + " FROM rfm_rows", RECENCY_SQL, RFM_SQL))
+def ml4(spark, sf_dir):
+    entries = vector_to_array("unscaled_features")
+    names = ("recency", "frequency", "monetary")
+    rows = mlprep.assemble_rfm(rfm_rows(spark, sf_dir))
+    return rounded(rows.select("user_id", *[entries[i].alias(n) for i, n in enumerate(names)]))
+
+
 def scaled_sql() -> str:
     scores = ", ".join(f"{r(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()', 6)} AS {c}_scaled" for c in mlprep.RFM_COLUMNS)
     return f"SELECT user_id, {scores} FROM rfm_rows"
@@ -166,7 +169,7 @@ def ratings(spark, sf_dir):
     }
 
 
-SMALL = {"rank": 8, "maxIter": 5, "alpha": 40.0, "regParam": 0.1}
+SMALL = {"rank": 10, "maxIter": 5, "alpha": 40.0, "regParam": 0.1}
 
 
 @query("rc1_predicted_scores")

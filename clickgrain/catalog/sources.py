@@ -57,9 +57,10 @@ def io2(spark, sf_dir):
     return to_cents(sources.read_csv_log(spark, f"{csv_months(spark, sf_dir)}/*"))
 
 
-@query("io3_csv_scan_inferred")
+@query("io3_csv_scan_inferred", with_log("SELECT * REPLACE (CAST(round(CAST(price AS DECIMAL(18, 6)), 2) AS DOUBLE) AS price) FROM log"))
 def io3(spark, sf_dir):
-    return sources.read_csv_inferred(spark, f"{csv_months(spark, sf_dir)}/*")
+    log = to_cents(sources.read_csv_inferred(spark, f"{csv_months(spark, sf_dir)}/*"))
+    return log.select(*[c if c in ("event_time", "price") else F.col(c).cast("string").alias(c) for c in COLUMNS])
 
 
 HAND_WRITTEN = T.StructType(
@@ -97,12 +98,20 @@ def io7(spark, sf_dir):
     return sources.read_parquet_log(spark, target)
 
 
-@query("io10_ingestion_manifest")
+@query(
+    "io10_ingestion_manifest",
+    with_log(
+        """SELECT 'part=' || CAST((day(event_time) - 1) // 10 AS VARCHAR) AS folder, count(*) AS rows, min(event_time) AS first_event,
+max(event_time) AS last_event, 'interactions' AS target FROM log GROUP BY ALL"""
+    ),
+)
 def io10(spark, sf_dir):
     source = f"{csv_months(spark, sf_dir)}/*"
     target = new_folder(spark, "manifest")
     sources.write_manifest(sources.read_csv_log(spark, source), target, "interactions")
-    return spark.read.json(target).select("file", "rows", "first_event", "last_event", "target")
+    files = spark.read.json(target).withColumn("folder", F.regexp_extract("file", r"(part=\d+)/[^/]*$", 1))
+    bounds = [F.min("first_event").cast("timestamp").alias("first_event"), F.max("last_event").cast("timestamp").alias("last_event")]
+    return files.groupBy("folder", "target").agg(F.sum("rows").alias("rows"), *bounds)
 
 
 @query("io11_landing_zone", with_log(TYPED))
@@ -110,14 +119,12 @@ def io11(spark, sf_dir):
     return to_cents(sources.read_landing_zone(spark, csv_months(spark, sf_dir, "landing")).select(*COLUMNS))
 
 
-@query("io12_driver_sample")
-def io12(spark, sf_dir):
-    return spark.createDataFrame(sources.driver_sample(event_log(spark, sf_dir).drop("category_code")))
-
-
-@query("io13_stable_sample")
+@query(
+    "io13_stable_sample",
+    with_log("SELECT * FROM log WHERE CAST('0x' || substr(md5('42|' || user_id || '|' || product_id), 1, 8) AS BIGINT) % 1000 < 1"),
+)
 def io13(spark, sf_dir):
-    return sources.stable_sample(event_log(spark, sf_dir), ["user_id", "event_time"], per_mille=1)
+    return sources.stable_sample(event_log(spark, sf_dir), ["user_id", "product_id"], per_mille=1)
 
 
 @query("io14_month_union", with_log(TYPED))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import parked_clean, query, with_log
@@ -130,7 +131,7 @@ def fv5(spark, sf_dir):
 
 @query("fv6_indexed_views")
 def fv6(spark, sf_dir):
-    """Latest row per product of the view on indexed ids, for every kind of index."""
+    """Per view on indexed ids: the number of keys, the largest index and the newest row of its latest table."""
     table = parked_features(spark, sf_dir)
     train = park(split_history(table, time="event_timestamp").filter("split = 'train'"), "train")
     fitted = mlprep.FeatureTransform.fit(train)
@@ -140,8 +141,7 @@ def fv6(spark, sf_dir):
     for column in others:
         labels = park(mlprep.frequency_index(train, column), "labels")
         rows = mlprep.with_index(rows, labels, column, hot=hot[column])
-    scaled = F.regexp_replace(F.col("RFM_scaled_features").cast("string"), r"[\[\]]", "")
-    rows = park(rows.withColumn("RFM_scaled_features", F.split(scaled, ",")), "indexed")
+    rows = park(rows.withColumn("RFM_scaled_features", vector_to_array("RFM_scaled_features").cast("array<string>")), "indexed")
     found = None
     for view in store.INDEXED_VIEWS:
         newest = store.latest(rows, view)

@@ -538,9 +538,9 @@ def so3(spark, sf_dir):
     return ranked.drop("count")
 
 
-@query("so4_limit")
+@query("so4_limit", with_log(f"SELECT {', '.join(EVENT)} FROM clean ORDER BY ALL NULLS LAST LIMIT 1000"))
 def so4(spark, sf_dir):
-    return clean_log(spark, sf_dir).select(*EVENT).limit(1000)
+    return clean_log(spark, sf_dir).select(*EVENT).orderBy(*[F.col(c).asc_nulls_last() for c in EVENT]).limit(1000)
 
 
 @query(

@@ -84,7 +84,9 @@ def negative_prices(df: DataFrame) -> DataFrame:
 
 def backfill_brand(log: DataFrame, hot: Hot | None = None) -> DataFrame:
     """A null brand takes the smallest brand seen for its product."""
-    known = log.groupBy("product_id").agg(F.min("brand").alias("known_brand"))
+    # Distinct pairs first: a text minimum is found by sorting, and this leaves few rows to sort.
+    pairs = log.filter(F.col("brand").isNotNull()).select("product_id", "brand").distinct()
+    known = pairs.groupBy("product_id").agg(F.min("brand").alias("known_brand"))
     joined = left_join(log, known, ["product_id"], hot)
     filled = F.coalesce("brand", "known_brand")
     return joined.withColumn("brand", filled).drop("known_brand").select(log.columns)

@@ -14,8 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more rows than HOT_ROWS, and more than 1/HOT_SLOTS of all rows.
-HOT_ROWS = 2_000_000
+# No more keys than this can hold more than 1/HOT_SLOTS of all rows.
 HOT_SLOTS = 65_536
 # Rows looked at per key set: some 300 of a key that is just hot, in the largest tables.
 SAMPLE_ROWS = 20_000_000
@@ -28,14 +27,19 @@ def key_hash(keys: Sequence[str]) -> Column:
 
 
 def find_hot(
-    df: DataFrame, keysets: Mapping[str, Sequence[str]], min_rows: int = HOT_ROWS, slots: int = HOT_SLOTS
+    df: DataFrame, keysets: Mapping[str, Sequence[str]], min_rows: int | None = None, slots: int = HOT_SLOTS
 ) -> dict[str, dict[int, int]]:
     """Per key set: hash of each hot key and the number of tasks its rows should be spread over.
 
+    A key is hot when it holds more than ``min_rows`` rows. The caller says so: without it no key is
+    looked for, whatever the size of the table, and Spark's own skew handling is left to work.
+
     Pass a written table: its rows are counted from the file footers, and a table no larger than one
     key may be ends the search there. All key sets share one narrow scan. At most ``slots`` keys can
     hold more than 1/slots of the rows, so the lists have a fixed bound.
     """
+    if min_rows is None:
+        return {name: {} for name in keysets}
     rows = df.count()
     limit = max(min_rows, rows / slots)
     found: dict[str, dict[int, int]] = {name: {} for name in keysets}

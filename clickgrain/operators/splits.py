@@ -10,10 +10,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from clickgrain.operators.ordered import Running, running
-from clickgrain.operators.skew import HOT_ROWS, find_hot, left_join
+from clickgrain.operators.skew import find_hot, left_join
 
 
-def ranked_history(log: DataFrame, time: str = "event_time", hot_rows: int = HOT_ROWS) -> DataFrame:
+def ranked_history(log: DataFrame, time: str = "event_time", hot_rows: int | None = None) -> DataFrame:
     """Adds ``total_interactions`` and ``interaction_rank`` (1 = oldest) per user.
 
     Rows without a user drop out. Events at one instant go by a hash of the rest of the row, so the
@@ -31,12 +31,18 @@ def ranked_history(log: DataFrame, time: str = "event_time", hot_rows: int = HOT
     return running(counted, ["user_id"], order, [Running("interaction_rank", "number")], hot)
 
 
+def _first_of(cases: Sequence[tuple[Column, str]], rest: str) -> Column:
+    """The name of the first condition that holds."""
+    chosen = None
+    for condition, name in cases:
+        chosen = F.when(condition, name) if chosen is None else chosen.when(condition, name)
+    return F.lit(rest) if chosen is None else chosen.otherwise(rest)
+
+
 def part_of(cutoffs: Sequence[tuple[str, float]], rest: str) -> Column:
     """Name of the first part whose share of the user's history reaches the row."""
-    chosen = F
-    for name, share in cutoffs:
-        chosen = chosen.when(F.col("interaction_rank") <= F.col("total_interactions") * share, name)
-    return chosen.otherwise(rest)
+    reached = [(F.col("interaction_rank") <= F.col("total_interactions") * share, name) for name, share in cutoffs]
+    return _first_of(reached, rest)
 
 
 def split_history(
@@ -45,7 +51,7 @@ def split_history(
     rest: str = "test",
     above: int = 10,
     time: str = "event_time",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Users with more than ``above`` events; adds ``interaction_rank`` and ``split``."""
     ranked = ranked_history(log, time, hot_rows).filter(F.col("total_interactions") > above)
@@ -58,7 +64,7 @@ def train_flag(
     above: int = 3,
     all_train_upto: int = 2,
     time: str = "event_time",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Adds ``is_train``; users with at most ``all_train_upto`` events are in train as a whole."""
     ranked = ranked_history(log, time, hot_rows).filter(F.col("total_interactions") > above)
@@ -71,16 +77,13 @@ def calendar_split(
     log: DataFrame, ends: Sequence[tuple[str, datetime.datetime]], rest: str = "test", time: str = "event_time"
 ) -> DataFrame:
     """Adds ``split``: the first part that ends after the event."""
-    chosen = F
-    for name, end in ends:
-        chosen = chosen.when(F.col(time) < F.lit(end), name)
-    return log.withColumn("split", chosen.otherwise(rest))
+    return log.withColumn("split", _first_of([(F.col(time) < F.lit(end), name) for name, end in ends], rest))
 
 
-def write_parts(split: DataFrame, path: str) -> dict[str, str]:
-    """All parts in one pass, one folder each; returns the folder per part."""
+def write_parts(split: DataFrame, path: str, names: Sequence[str] = ("train", "test")) -> dict[str, str]:
+    """All parts in one pass, one folder each; returns the folder per part of ``names``, the parts of the split."""
     split.write.mode("overwrite").partitionBy("split").parquet(path)
-    return {name: f"{path}/split={name}" for name in ("train", "val", "test")}
+    return {name: f"{path}/split={name}" for name in names}
 
 
 def split_parts(split: DataFrame, names: Sequence[str] = ("train", "test")) -> dict[str, DataFrame]:

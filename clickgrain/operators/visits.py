@@ -9,7 +9,11 @@ from clickgrain.functions import PURCHASE, VIEW, is_event, seconds_between
 from clickgrain.operators.cleaning import drop_category_code, drop_missing_session, fill_brand
 from clickgrain.operators.grains import SESSION_KEYS
 from clickgrain.operators.ordered import Running, running
-from clickgrain.operators.skew import HOT_ROWS, find_hot, left_join
+from clickgrain.operators.skew import find_hot, left_join
+
+
+# Purchases of one instant that one row stands for while they are dealt over the tasks.
+PORTION = 1000
 
 
 def visit_log(log: DataFrame) -> DataFrame:
@@ -17,7 +21,7 @@ def visit_log(log: DataFrame) -> DataFrame:
     return log.transform(drop_category_code).transform(fill_brand).transform(drop_missing_session)
 
 
-def with_session_purchase(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_session_purchase(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Adds ``session_purchase``: whether the row's session holds a purchase."""
     hot = find_hot(log, {"session": SESSION_KEYS}, min_rows=hot_rows)["session"]
     flags = log.groupBy(*SESSION_KEYS).agg(
@@ -26,7 +30,7 @@ def with_session_purchase(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     return left_join(log, flags, SESSION_KEYS, hot, null_safe=True)
 
 
-def views_before_purchase(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def views_before_purchase(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """One row per purchase: views of its session up to and including its instant.
 
     Events of one instant are folded first: they see the same views, and a crowded instant becomes
@@ -36,15 +40,18 @@ def views_before_purchase(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame
     moments = log.groupBy(*moment_keys).agg(
         F.count_if(is_event(VIEW)).alias("views"), F.count_if(is_event(PURCHASE)).alias("purchases")
     )
-    hot = find_hot(log, {"session": SESSION_KEYS, "moment": moment_keys}, min_rows=hot_rows)
+    hot = find_hot(log, {"session": SESSION_KEYS}, min_rows=hot_rows)
     summed = running(
         moments, SESSION_KEYS, [F.col("event_time")], [Running("views_before_purchase", "sum", "views")], hot["session"]
     )
-    buying = summed.filter("purchases > 0").drop("views", "purchases")
-    purchases = log.filter(is_event(PURCHASE)).select(*moment_keys)
-    return left_join(purchases, buying, moment_keys, hot["moment"], null_safe=True).select(
-        *SESSION_KEYS, "views_before_purchase"
-    )
+    # Each instant's row is repeated once per purchase: in portions that are dealt over the tasks first.
+    buying = summed.filter("purchases > 0")
+    last = F.floor((F.col("purchases") - 1) / PORTION)
+    portions = buying.withColumn("portion", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))))
+    held = F.least(F.lit(PORTION).cast("long"), F.col("purchases") - F.col("portion") * PORTION).cast("int")
+    dealt = portions.withColumn("held", held).repartition(*moment_keys, "portion")
+    each = dealt.withColumn("purchase", F.explode(F.array_repeat(F.lit(1), F.col("held"))))
+    return each.select(*SESSION_KEYS, "views_before_purchase")
 
 
 def daily_sessions(log: DataFrame) -> DataFrame:
@@ -71,7 +78,7 @@ def active_weeks(log: DataFrame, with_year: bool = False) -> DataFrame:
     return log.groupBy("user_id").agg(F.count_distinct(week).alias("weekly_visit_frequency"))
 
 
-def with_time_diff(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_time_diff(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Adds ``time_diff``: seconds since the previous event of the session, 0 for the first."""
     hot = find_hot(log, {"session": SESSION_KEYS}, min_rows=hot_rows)["session"]
     previous = Running("previous_time", "lag", "event_time")

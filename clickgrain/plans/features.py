@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clickgrain.functions import cycle, two_day_bucket, weight_of
 from clickgrain.operators import grains
 from clickgrain.operators.cleaning import clean, drop_removals
-from clickgrain.operators.skew import HOT_ROWS, find_hot, left_join
+from clickgrain.operators.skew import find_hot, left_join
 from clickgrain.session import park
 
 # The column order of the feature table.
@@ -54,7 +54,7 @@ def time_features(log: DataFrame, period: int = 24, keep_parts: bool = False) ->
     return log.withColumns({**added, **(parts if keep_parts else {})})
 
 
-def enriched_cube(cube_rows: DataFrame, span: DataFrame, compat: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def enriched_cube(cube_rows: DataFrame, span: DataFrame, compat: bool = False, hot_rows: int | None = None) -> DataFrame:
     """User, pair, product and category features side by side, one row per cube cell.
 
     Attaching them here and not to the events means the events are shuffled once for all four, and
@@ -93,7 +93,7 @@ def feature_table(
     cleaned: DataFrame,
     compat: bool = False,
     weights: dict[str, float] | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """All features of a cleaned log.
 
@@ -128,7 +128,7 @@ def feature_table(
 
 
 def feature_table_of_log(
-    log: DataFrame, compat: bool = False, weights: dict[str, float] | None = None, hot_rows: int = HOT_ROWS
+    log: DataFrame, compat: bool = False, weights: dict[str, float] | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """From the raw log: removals out, cleaned, written once, then all features."""
     cleaned = park(clean(drop_removals(log)), "clean")

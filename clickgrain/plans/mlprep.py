@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickgrain.operators.ordered import global_number
-from clickgrain.operators.skew import HOT_ROWS, Hot, find_hot, left_join
+from clickgrain.operators.skew import Hot, find_hot, left_join
 from clickgrain.session import park
 
 # Hashed columns, vector size, clustered columns, number of clusters and seed.
@@ -126,7 +126,7 @@ class FeatureTransform:
         assembler = VectorAssembler(inputCols=list(RFM_COLUMNS), outputCol="unscaled_features")
         return cls(labels, PipelineModel([hasher(), assembler, scaler, clusters]))
 
-    def transform(self, df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    def transform(self, df: DataFrame, hot_rows: int | None = None) -> DataFrame:
         hot = find_hot(df, {column: [column] for column in self.labels}, min_rows=hot_rows)
         for column, labels in self.labels.items():
             df = with_index(df, labels, column, hot=hot[column])

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickgrain.operators.ordered import Running, running
-from clickgrain.operators.skew import HOT_ROWS, Hot, find_hot, left_join
+from clickgrain.operators.skew import Hot, find_hot, left_join
 
 TIME = "event_timestamp"
 
@@ -27,11 +27,6 @@ class FeatureView:
         return [name for name, _ in self.fields]
 
 
-def _view(name: str, keys: str, **kinds: str) -> FeatureView:
-    fields = [(field, kind) for kind, listed in kinds.items() for field in listed.split()]
-    return FeatureView(name, tuple(keys.split()), tuple(fields))
-
-
 # The views, their keys, fields and field types.
 PRODUCT_VIEW = FeatureView(
     "product_features",
@@ -49,10 +44,15 @@ PRODUCT_VIEW = FeatureView(
         ("view_to_purchase_ratio", "double"),
     ),
 )
-CATEGORY_VIEW = _view(
+CATEGORY_VIEW = FeatureView(
     "category_features",
-    "category_id",
-    string="1_most_purchased_category 2_most_purchased_category 3_most_purchased_category brand",
+    ("category_id",),
+    (
+        ("1_most_purchased_category", "string"),
+        ("2_most_purchased_category", "string"),
+        ("3_most_purchased_category", "string"),
+        ("brand", "string"),
+    ),
 )
 CUSTOMER_VIEW = FeatureView(
     "customer_feature_view",
@@ -80,31 +80,62 @@ CUSTOMER_VIEW = FeatureView(
         ("second_cos", "double"),
     ),
 )
-SESSION_VIEW = _view(
+SESSION_VIEW = FeatureView(
     "session_feature_view",
-    "user_session",
-    bigint="session_duration num_session_views num_session_cart num_session_purchase",
-    double="Avg_session_prices session_cart_to_purchase_ratio session_cart_abandonment_rate",
+    ("user_session",),
+    (
+        ("session_duration", "bigint"),
+        ("Avg_session_prices", "double"),
+        ("num_session_views", "bigint"),
+        ("num_session_cart", "bigint"),
+        ("num_session_purchase", "bigint"),
+        ("session_cart_to_purchase_ratio", "double"),
+        ("session_cart_abandonment_rate", "double"),
+    ),
 )
-USER_PRODUCT_VIEW = _view("user_product_interaction", "user_id product_id", double="interaction_score")
+USER_PRODUCT_VIEW = FeatureView("user_product_interaction", ("user_id", "product_id"), (("interaction_score", "double"),))
 VIEWS = (PRODUCT_VIEW, CATEGORY_VIEW, CUSTOMER_VIEW, SESSION_VIEW, USER_PRODUCT_VIEW)
 
-
-def indexed(view: FeatureView) -> FeatureView:
-    """The same view on indexed ids, as kept next to the transformed training data.
-
-    Text fields become their index; the customer's raw recency, frequency and monetary value give
-    way to the scaled vector (as text entries) and its cluster.
-    """
-    fields = [(f"{n}_index", "double") if kind == "string" else (n, kind) for n, kind in view.fields]
-    if view.name == CUSTOMER_VIEW.name:
-        raw = ("Recency", "Frequency", "Monetary")
-        fields = [f for f in fields if f[0] not in raw]
-        fields += [("RFM_scaled_features", "array<string>"), ("RFM_user_cluster", "int")]
-    return replace(view, keys=tuple(f"{k}_index" for k in view.keys), fields=tuple(fields))
-
-
-INDEXED_VIEWS = tuple(indexed(view) for view in VIEWS)
+# The same views on indexed ids, as kept next to the transformed training data.
+INDEXED_PRODUCT_VIEW = FeatureView("product_features", ("product_id_index",), PRODUCT_VIEW.fields)
+INDEXED_CATEGORY_VIEW = FeatureView(
+    "category_features",
+    ("category_id_index",),
+    (
+        ("1_most_purchased_category_index", "double"),
+        ("2_most_purchased_category_index", "double"),
+        ("3_most_purchased_category_index", "double"),
+        ("brand_index", "double"),
+    ),
+)
+INDEXED_CUSTOMER_VIEW = FeatureView(
+    "customer_feature_view",
+    ("user_id_index",),
+    (
+        ("Num_purchase_per_2day", "bigint"),
+        ("total_cart_by_user", "bigint"),
+        ("total_purchase_by_user", "bigint"),
+        ("total_view_by_user", "bigint"),
+        ("Avg_purchase_price", "float"),
+        ("total_unique_product_purchases_by_user", "bigint"),
+        ("total_unique_product_add_cart_by_user", "bigint"),
+        ("view_to_purchase_time", "double"),
+        ("RFM_scaled_features", "array<string>"),
+        ("RFM_user_cluster", "int"),
+        ("day", "bigint"),
+        ("month", "bigint"),
+        ("week", "bigint"),
+        ("hour_sin", "double"),
+        ("hour_cos", "double"),
+        ("minutes_sin", "double"),
+        ("minutes_cos", "double"),
+        ("second_sin", "double"),
+        ("second_cos", "double"),
+    ),
+)
+INDEXED_SESSION_VIEW = FeatureView("session_feature_view", ("user_session_index",), SESSION_VIEW.fields)
+INDEXED_USER_PRODUCT_VIEW = FeatureView("user_product_interaction", ("user_id_index", "product_id_index"), USER_PRODUCT_VIEW.fields)
+INDEXED_VIEWS = (INDEXED_PRODUCT_VIEW, INDEXED_CATEGORY_VIEW, INDEXED_CUSTOMER_VIEW, INDEXED_SESSION_VIEW, INDEXED_USER_PRODUCT_VIEW)
 
 
 def project(view: FeatureView, table: DataFrame) -> DataFrame:
@@ -230,17 +261,18 @@ def as_of(
 
 
 def point_in_time(
-    entities: DataFrame, table: DataFrame, views: Sequence[FeatureView] = VIEWS, hot_rows: int = HOT_ROWS
+    entities: DataFrame, table: DataFrame, views: Sequence[FeatureView] = VIEWS, hot_rows: int | None = None
 ) -> DataFrame:
     """An entity frame (time and keys) with the features of all views as they were at that time.
 
-    Pass written tables: both are read once per view.
+    Pass written tables: both are read once per view. Views with few fields go first, as every scan
+    carries along what the earlier ones found.
     """
     columns = entities.columns
     keys = list(dict.fromkeys(key for view in views for key in view.keys))
     both = entities.select(*keys).unionByName(table.select(*keys))
     hot = find_hot(both, {view.name: view.keys for view in views}, min_rows=hot_rows)
     found = entities
-    for view in views:
+    for view in sorted(views, key=lambda v: len(v.fields)):
         found = as_of(found, project(view, table), view.keys, view.names, view.time, hot[view.name])
     return found.select(*columns, *[f"`{n}`" for view in views for n in view.names])

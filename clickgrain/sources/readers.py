@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickgrain.sources.schema import log_schema
 
-# Fixed value: the largest sample handed to the driver.
-DRIVER_ROWS = 800_000
-
 
 def read_csv_log(spark: SparkSession, paths: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """All matching files in one scan with a fixed schema; columns go by position."""
@@ -45,7 +41,7 @@ def union_in_order(*parts: DataFrame) -> DataFrame:
 def file_manifest(log: DataFrame) -> DataFrame:
     """One row per file that was read: rows, first and last event."""
     return (
-        log.withColumn("file", F.input_file_name())
+        log.withColumn("file", F.col("_metadata.file_path"))
         .groupBy("file")
         .agg(
             F.count(F.lit(1)).alias("rows"),
@@ -57,9 +53,6 @@ def file_manifest(log: DataFrame) -> DataFrame:
 
 def stable_sample(df: DataFrame, keys: list[str], per_mille: int = 1, seed: int = 42) -> DataFrame:
     """A sample that depends on the keys alone, so it is the same for every file layout."""
-    return df.filter(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1000)) < per_mille)
-
+    text = F.concat_ws("|", F.lit(seed).cast("string"), *keys)
+    return df.filter(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1000 < per_mille)
 
-def driver_sample(df: DataFrame, rows: int = DRIVER_ROWS) -> pd.DataFrame:
-    """At most ``rows`` rows as pandas, moved in Arrow batches."""
-    return df.limit(min(rows, DRIVER_ROWS)).toPandas()

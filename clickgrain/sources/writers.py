@@ -57,5 +57,6 @@ def write_manifest(log: DataFrame, path: str, target: str) -> None:
         .withColumn("target", F.lit(target))
         .withColumn("ingested_at", F.current_timestamp())
         .write.mode("overwrite")
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         .json(path)
     )

@@ -1,7 +1,6 @@
-"""The fused feature plan against the plan with one join per feature, and invariants of its columns."""
+"""Invariants of the feature table. Its values are compared with SQL in test_oracles."""
 
 import pytest
-from literal import literal_feature_table
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import parked_clean
@@ -20,17 +19,6 @@ def table(cleaned):
     return park(feature_table(cleaned), "features")
 
 
-def comparable(df):
-    columns = [F.round(f"`{c}`", 6).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes]
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
-
-
-def test_fused_equals_literal(cleaned, table):
-    literal = literal_feature_table(cleaned)
-    assert [(n, t) for n, t in literal.dtypes] == [(n, t) for n, t in table.dtypes]
-    assert comparable(literal) == comparable(table)
-
-
 def test_every_event_has_one_row(cleaned, table):
     assert table.count() == cleaned.count()
 
