@@ -89,7 +89,7 @@ def seed_bitmap(seeds: DataFrame) -> np.ndarray:
     place = F.col("place")
     rows = places.groupBy(F.shiftright(place, 3).alias("byte")).agg(F.bit_or(F.pow(F.lit(2.0), place % 8).cast("int")).alias("bits"))
     out = np.zeros(1 << (BITS - 3), np.uint8)
-    for byte, bits in rows.toLocalIterator():
+    for byte, bits in rows.collect():
         out[byte] = bits
     return out
 

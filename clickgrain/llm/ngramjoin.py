@@ -9,9 +9,10 @@ practically never has ``m - D`` empty parts; a set that has joins on its empty p
 partner then has as many), so nothing is lost.
 
 A group of sets with one key is never expanded into pairs: each member is first tested with the
-smallest member. Only members that are in different components afterwards are tested further, a few
-centres of a group a round. Before the sets of a pair are compared, a parity sketch of 512 bits is:
-its Hamming distance is at most the number of differing shingles.
+smallest member. Of members that are in different components afterwards, up to ``CENTRES`` of a key
+are tested with the rest of it; the sets of keys with more are joined by their rarest shingles. Before
+the sets of a pair are compared, a parity sketch of 512 bits is: its Hamming distance is at most the
+number of differing shingles.
 
 Equal sets are one class and tested once. Links are exact up to equal 64-bit hashes.
 
@@ -270,6 +271,12 @@ class Links:
         both = self.labelled(self.labelled(pairs, "a", "label_a"), "b", "label_b")
         return both.filter("label_a <> label_b")
 
+    def test_promising(self, pairs: DataFrame, classes: DataFrame) -> None:
+        """Tests those of ``pairs`` that are apart and whose sketches allow a link."""
+        open_pairs = park(_promising(self.apart(pairs).select("a", "b"), classes, self.percent), "pairs")
+        if not open_pairs.isEmpty():
+            self.test(open_pairs)
+
     def test(self, pairs: DataFrame) -> None:
         """Compares the sets of ``pairs`` (a, b) and joins the components of linked ones."""
         linked = park(verified(pairs.select("a", "b"), self.members, self.percent), "linked")
@@ -287,23 +294,62 @@ class Links:
 def _others(links: Links, shared: DataFrame, classes: DataFrame) -> None:
     """Tests the members of one key that are in different components, beyond the pairs with the smallest.
 
-    Members outside the largest component of their key are centres. ``CENTRES`` of a key are tested a
-    round with all members in other components, so a round is linear in the members.
+    Members outside the largest component of their key are its minor ones. Where a key has up to
+    ``CENTRES`` of them, each is tested with the members in other components, which is linear in the
+    members. The sets of all other keys are joined by rare shingles instead, see ``_by_prefix``.
     """
     marked = links.labelled(shared, "name", "label")
     counted = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-    mixed = marked.join(largest.filter((F.col("labels") > 1) & (F.col("labels") + F.col("top.n") > 2)), "key")
-    mixed = park(mixed.select("key", "name", (F.col("label") != F.col("top.label")).alias("minor")), "mixed")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("name")) - 1
-    centres = park(mixed.filter("minor").select(F.col("key").alias("c_key"), F.col("name").alias("centre"), F.floor(place / CENTRES).alias("turn")), "centres")
-    turns = centres.agg(F.max("turn")).first()[0]
-    for turn in range(0 if turns is None else turns + 1):
-        here = centres.filter(F.col("turn") == turn).join(mixed, F.col("c_key") == F.col("key")).filter(F.col("centre") != F.col("name"))
-        pairs = here.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
-        open_pairs = park(_promising(links.apart(pairs).select("a", "b"), classes, links.percent), "pairs")
-        if not open_pairs.isEmpty():
-            links.test(open_pairs)
+    groups = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"))
+    groups = groups.filter((F.col("total") > F.col("top.n")) & (F.col("total") > 2))
+    groups = groups.select("key", F.col("top.label").alias("major"), (F.col("total") - F.col("top.n")).alias("minors"))
+    mixed = park(marked.join(groups, "key").select("key", "name", "label", (F.col("label") != F.col("major")).alias("minor"), "minors"), "mixed")
+    few = mixed.filter(F.col("minors") <= CENTRES)
+    centres = few.filter("minor").select("key", F.col("name").alias("centre"), F.col("label").alias("own"))
+    met = centres.join(few.select("key", "name", "label"), "key").filter("own <> label")
+    pairs = met.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
+    links.test_promising(pairs, classes)
+    many = park(mixed.filter(F.col("minors") > CENTRES).select("name").distinct(), "many")
+    if not many.isEmpty():
+        links.test_promising(_by_prefix(links, many), classes)
+
+
+def _by_prefix(links: Links, names: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets in different components that may link, by their rarest shingles.
+
+    Shingles are ordered by the number of these sets that hold them. Of a linked pair the smaller set
+    has one of its first ``n - 2 p n / (100 + p) + 1`` shingles in common with the first
+    ``n - p n / 100 + 1`` of the larger one, and what stands before the first common shingle in either
+    counts as a difference. Copies that were each changed elsewhere begin with shingles of their own,
+    so they do not meet.
+    """
+    percent, rest = links.percent, 100 - links.percent
+    sets = links.labelled(names, "name", "label").join(links.members.withColumnRenamed("name", "of"), F.col("name") == F.col("of")).select("name", "label", "members")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(raw.as_buffer()) // 8 for raw in batch.column(2)], np.int64)
+            for some in np.array_split(np.arange(sizes.size), max(1, int(sizes.sum()) // 200_000)):
+                if some.size:
+                    taken = pa.array(np.repeat(some, sizes[some]))
+                    hashes = np.concatenate([np.frombuffer(batch.column(2)[int(i)].as_buffer(), np.int64) for i in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.repeat(sizes[some], sizes[some]))], ["shingle", "name", "label", "n"])
+
+    each = sets.mapInArrow(part, "shingle long, name long, label long, n long")
+    held = park(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "holders")
+    common = each.join(held, "shingle")
+    alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("name"))
+    place = alone + F.row_number().over(Window.partitionBy("name").orderBy("holders", "shingle"))
+    longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    shortest = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    first = common.withColumn("place", place).filter(F.col("place") <= longest).withColumn("brief", F.col("place") <= shortest)
+    first = park(first.select("shingle", "name", "label", "n", "place", "brief"), "prefixes")
+    low, high = ([F.col(c).alias(f"{s}_{c}") for c in ("name", "label", "n", "place")] for s in ("low", "high"))
+    low, high = first.filter("brief").select(F.col("shingle"), *low), first.select(F.col("shingle").alias("same"), *high)
+    ordered = (F.col("low_n") < F.col("high_n")) | ((F.col("low_n") == F.col("high_n")) & (F.col("low_name") < F.col("high_name")))
+    near = (F.col("low_n") * 100 >= F.col("high_n") * percent) & ((F.col("low_place") + F.col("high_place") - 2) * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest)
+    joined = low.join(high, (F.col("shingle") == F.col("same")) & (F.col("low_label") != F.col("high_label")) & ordered & near)
+    return joined.select(F.least("low_name", "high_name").alias("a"), F.greatest("low_name", "high_name").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:

@@ -143,7 +143,7 @@ def toxic_features(ids: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     bad = np.bincount(pairs[0][toxic[pairs[1]]], minlength=size)
     good = np.bincount(pairs[0][~toxic[pairs[1]]], minlength=size) * (toxic.sum() / max(1, (~toxic).sum()))
     pure = good <= 0.02 * bad
-    least = max(4, 0.01 * toxic.sum())
+    least = max(3, 0.01 * toxic.sum())
     chosen = pure & (bad >= 2 * least)
     explained = np.zeros(toxic.size, bool)
     explained[pairs[1][chosen[pairs[0]]]] = True
@@ -163,7 +163,8 @@ def distinct_texts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     seen: set[int] = set()
     keep = np.zeros(first.size - 1, bool)
     for i in range(first.size - 1):
-        own = window_hashes(codes[first[i] : first[i + 1]], 3)
+        own = codes[first[i] : first[i + 1]]
+        own = window_hashes(own, min(3, own.size)) if own.size else own
         least = {int(mix(own ^ U(k)).min()) for k in range(6)} if own.size else set()
         keep[i] = bool(least) and not least & seen
         seen |= least

@@ -76,7 +76,7 @@ def build_filter(keys: DataFrame, column: str = "hash") -> np.ndarray:
     parts = keys.select(column).mapInArrow(part, ", ".join(f"{n} long" for n in ["block", *names]))
     merged = parts.groupBy("block").agg(*[F.bit_or(n).alias(n) for n in names])
     out = np.zeros((blocks, BLOCK_WORDS), U)
-    for row in merged.toLocalIterator():  # at most MOST_BLOCKS rows
+    for row in merged.collect():  # at most MOST_BLOCKS rows of nine numbers
         out[row[0]] = np.array(row[1:], np.int64).view(U)
     return out
 
@@ -108,7 +108,7 @@ def judge(urls: DataFrame, listed: DataFrame) -> DataFrame:
     entries = entries.agg(F.min("verdict").alias("verdict"))
     entries = park(entries.select(F.concat("host", "path").alias("rule"), F.length("host").alias("n_host"), "verdict", F.xxhash64("host", "path").alias("hash"), F.length("path").alias("n_path")), "listed")
     # One number per path length: no more than the longest listed path has characters.
-    lengths = [r[0] for r in entries.select("n_path").distinct().toLocalIterator()]
+    lengths = [r[0] for r in entries.select("n_path").distinct().collect()]
     distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct()
     split = distinct.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
