@@ -11,7 +11,7 @@ partner then has as many), so nothing is lost.
 A group of sets with one key is never expanded into pairs: each member is first tested with the
 smallest member. Of members that are in different components afterwards, up to ``CENTRES`` of a key
 are tested with the rest of it; the sets of keys with more are joined by their rarest shingles. Before
-the sets of a pair are compared, a parity sketch of 512 bits is: its Hamming distance is at most the
+the sets of a pair are compared, a parity sketch of 1,024 bits is: its Hamming distance is at most the
 number of differing shingles.
 
 Equal sets are one class and tested once. Links are exact up to equal 64-bit hashes.
@@ -39,7 +39,7 @@ from clickgrain.session import park
 
 GROWTH = 1.5
 RARE = 1e-6
-SKETCH = 512
+SKETCH = 1024
 PER_TASK = 256
 CENTRES = 16
 
@@ -291,19 +291,35 @@ class Links:
         self.labels = park(old.join(merged, F.col("old") == F.col("was"), "left").select("node", F.coalesce("now", "old").alias("label")), "labels")
 
 
-def _others(links: Links, shared: DataFrame, classes: DataFrame) -> None:
-    """Tests the members of one key that are in different components, beyond the pairs with the smallest.
+def _mixed(links: Links, shared: DataFrame) -> DataFrame:
+    """(key, name, label, minor, minors) of the keys of three sets or more in several components.
 
-    Members outside the largest component of their key are its minor ones. Where a key has up to
-    ``CENTRES`` of them, each is tested with the members in other components, which is linear in the
-    members. The sets of all other keys are joined by rare shingles instead, see ``_by_prefix``.
+    ``minor`` members are outside the largest component of their key.
     """
     marked = links.labelled(shared, "name", "label")
     counted = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = counted.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("total"))
     groups = groups.filter((F.col("total") > F.col("top.n")) & (F.col("total") > 2))
     groups = groups.select("key", F.col("top.label").alias("major"), (F.col("total") - F.col("top.n")).alias("minors"))
-    mixed = park(marked.join(groups, "key").select("key", "name", "label", (F.col("label") != F.col("major")).alias("minor"), "minors"), "mixed")
+    return park(marked.join(groups, "key").select("key", "name", "label", (F.col("label") != F.col("major")).alias("minor"), "minors"), "mixed")
+
+
+def _others(links: Links, shared: DataFrame, classes: DataFrame) -> None:
+    """Tests the members of one key that are in different components, beyond the pairs with the smallest.
+
+    Keys with more than ``CENTRES`` minor members first get another star, around the member that meets
+    most others over all its keys: in a group of changed copies that is the text they were made from.
+    Then, where a key has up to ``CENTRES`` minor members, each is tested with the members in other
+    components, which is linear in the members. The sets of the other keys are joined by rare shingles.
+    """
+    large = _mixed(links, shared).filter(F.col("minors") > CENTRES)
+    if not large.isEmpty():
+        met = large.join(large.groupBy("key").agg(F.count(F.lit(1)).alias("met")), "key")
+        score = met.groupBy(F.col("name").alias("of")).agg(F.sum("met").alias("score"))
+        hubs = met.join(score, F.col("name") == F.col("of")).groupBy("key").agg(F.max(F.struct("score", "name")).alias("hub"))
+        around = large.join(hubs, "key").filter(F.col("name") != F.col("hub.name"))
+        links.test_promising(around.select(F.col("hub.name").alias("a"), F.col("name").alias("b")).distinct(), classes)
+    mixed = _mixed(links, shared)
     few = mixed.filter(F.col("minors") <= CENTRES)
     centres = few.filter("minor").select("key", F.col("name").alias("centre"), F.col("label").alias("own"))
     met = centres.join(few.select("key", "name", "label"), "key").filter("own <> label")
@@ -311,10 +327,10 @@ def _others(links: Links, shared: DataFrame, classes: DataFrame) -> None:
     links.test_promising(pairs, classes)
     many = park(mixed.filter(F.col("minors") > CENTRES).select("name").distinct(), "many")
     if not many.isEmpty():
-        links.test_promising(_by_prefix(links, many), classes)
+        links.test_promising(_by_prefix(links, many, classes), classes)
 
 
-def _by_prefix(links: Links, names: DataFrame) -> DataFrame:
+def _by_prefix(links: Links, names: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of sets in different components that may link, by their rarest shingles.
 
     Shingles are ordered by the number of these sets that hold them. Of a linked pair the smaller set
@@ -343,12 +359,16 @@ def _by_prefix(links: Links, names: DataFrame) -> DataFrame:
     longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     shortest = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
     first = common.withColumn("place", place).filter(F.col("place") <= longest).withColumn("brief", F.col("place") <= shortest)
-    first = park(first.select("shingle", "name", "label", "n", "place", "brief"), "prefixes")
-    low, high = ([F.col(c).alias(f"{s}_{c}") for c in ("name", "label", "n", "place")] for s in ("low", "high"))
+    sketch = [c for c in classes.columns if c[0] == "s" and c[1:].isdigit()]
+    first = first.join(classes.select(F.col("name").alias("of"), *sketch), F.col("name") == F.col("of"))
+    first = park(first.select("shingle", "name", "label", "n", "place", "brief", *sketch), "prefixes")
+    low, high = ([F.col(c).alias(f"{s}_{c}") for c in ("name", "label", "n", "place", *sketch)] for s in ("low", "high"))
     low, high = first.filter("brief").select(F.col("shingle"), *low), first.select(F.col("shingle").alias("same"), *high)
     ordered = (F.col("low_n") < F.col("high_n")) | ((F.col("low_n") == F.col("high_n")) & (F.col("low_name") < F.col("high_name")))
     near = (F.col("low_n") * 100 >= F.col("high_n") * percent) & ((F.col("low_place") + F.col("high_place") - 2) * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest)
-    joined = low.join(high, (F.col("shingle") == F.col("same")) & (F.col("low_label") != F.col("high_label")) & ordered & near)
+    apart = sum((F.bit_count(F.col(f"low_{c}").bitwiseXOR(F.col(f"high_{c}"))) for c in sketch), F.lit(0))
+    alike = apart * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest
+    joined = low.join(high, (F.col("shingle") == F.col("same")) & (F.col("low_label") != F.col("high_label")) & ordered & near & alike)
     return joined.select(F.least("low_name", "high_name").alias("a"), F.greatest("low_name", "high_name").alias("b")).distinct()
 
 
