@@ -252,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per
     known = known.filter(allowed) if allowed is not None else known
     chosen = share_of_values(known, "toxic", "doc_id", per_class).select(F.col("doc_id").alias("labelled"), "toxic")
     short = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
-    rows = short.join(chosen, F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
+    # About 2 * per_class ids, so no text but the sample's leaves the scan.
+    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
     return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
 
 
