@@ -137,7 +137,7 @@ def curve_score(curve: np.ndarray, summary: np.ndarray) -> np.ndarray:
 
 def toxic_features(ids: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that mark toxic documents: many of those, or what no other feature explains."""
-    pairs = np.unique(ids.ravel() * toxic.size + np.tile(doc, ids.shape[0]))
+    pairs = np.unique(ids.ravel().astype(np.int64) * toxic.size + np.tile(doc, ids.shape[0]))
     pairs = np.stack([pairs // toxic.size, pairs % toxic.size])
     size = int(ids.max()) + 1
     bad = np.bincount(pairs[0][toxic[pairs[1]]], minlength=size)
@@ -189,9 +189,10 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     if not first[-1]:
         return model
     names, ids = np.unique(hashes, return_inverse=True)
-    ids = ids.reshape(hashes.shape)
+    ids = ids.reshape(hashes.shape).astype(np.int32)
     doc = np.repeat(np.arange(toxic.size), np.diff(first))
     once = distinct_texts(np.concatenate(codes), first)[doc]
+    del pieces, codes
     marks = np.zeros(names.size, bool)
     own = toxic_features(ids[:, once], doc[once], toxic)
     marks[: own.size] = own
@@ -234,15 +235,16 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
-    """Logistic regression with intercept by Newton steps; the two classes weigh the same."""
+    """Logistic regression with intercept by Newton steps; only the slopes are held small."""
     x = np.column_stack([np.ones(len(x)), x])
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+    held = decay * np.diag(np.r_[1e-3, np.ones(x.shape[1] - 1)])
     beta = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - decay * beta
-        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + decay * np.eye(x.shape[1])
-        beta = beta + np.linalg.solve(bend, slope)
+        slope = x.T @ (y - p) - held @ beta
+        bend = (x * (p * (1 - p))[:, None]).T @ x + held
+        step = np.linalg.solve(bend, slope)
+        beta = beta + step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
     return beta
 
 
