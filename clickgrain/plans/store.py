@@ -167,15 +167,17 @@ def _has_keys(view: FeatureView) -> Column:
 def latest(table: DataFrame, view: FeatureView, months: int = 2, end: Column | None = None) -> DataFrame:
     """Newest row per key within the last ``months`` up to ``end`` (default: the newest row at all).
 
-    Rows are cut down to one per key on each task before they are shuffled. Rows of one instant go
-    by the larger field values.
+    The last instant of every key comes first, from a plain hash aggregate; only its rows are then
+    compared as a whole. Rows of one instant go by the larger field values.
     """
     rows = project(view, table)
     last = end if end is not None else table.agg(F.max(view.time)).scalar()
     first = last - F.make_ym_interval(F.lit(0), F.lit(months))
+    recent = rows.filter(_has_keys(view) & (F.col(view.time) >= first) & (F.col(view.time) <= last))
+    instants = recent.groupBy(*view.keys).agg(F.max(view.time).alias(view.time))
     newest = F.max(F.struct(view.time, *view.names)).alias("newest")
     return (
-        rows.filter(_has_keys(view) & (F.col(view.time) >= first) & (F.col(view.time) <= last))
+        recent.join(instants, [*view.keys, view.time], "left_semi")
         .groupBy(*view.keys)
         .agg(newest)
         .select(*view.keys, "newest.*")
