@@ -11,7 +11,7 @@ partner then has as many), so nothing is lost.
 A group of sets with one key is never expanded into pairs: each member is first tested with the
 smallest member. Of members that are in different components afterwards, up to ``CENTRES`` of a key
 are tested with the rest of it; the sets of keys with more are joined by their rarest shingles. Before
-the sets of a pair are compared, a parity sketch of 1,024 bits is: its Hamming distance is at most the
+the sets of a pair are compared, a parity sketch of 512 bits is: its Hamming distance is at most the
 number of differing shingles.
 
 Equal sets are one class and tested once. Links are exact up to equal 64-bit hashes.
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickgrain.llm.components import components
@@ -39,7 +39,7 @@ from clickgrain.session import park
 
 GROWTH = 1.5
 RARE = 1e-6
-SKETCH = 1024
+SKETCH = 512
 PER_TASK = 256
 CENTRES = 16
 
@@ -241,15 +241,23 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def _sketch_of(classes: DataFrame) -> list[str]:
+    return [c for c in classes.columns if c[0] == "s" and c[1:].isdigit()]
+
+
+def _alike(one: str, other: str, size: str, sketch: list[str], percent: int) -> Column:
+    """Whether sizes and sketches of two sides, named by their prefixes, allow a link."""
+    n, m = F.col(f"{one}_{size}"), F.col(f"{other}_{size}")
+    distance = sum((F.bit_count(F.col(f"{one}_{c}").bitwiseXOR(F.col(f"{other}_{c}"))) for c in sketch), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (distance * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Without the pairs whose sizes or sketches differ too much to link."""
-    sketch = [c for c in classes.columns if c[0] == "s" and c[1:].isdigit()]
+    sketch = _sketch_of(classes)
     sides = [classes.select(F.col("name").alias(s), F.col("n_shingles").alias(f"{s}_n"), *[F.col(c).alias(f"{s}_{c}") for c in sketch]) for s in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
-    distance = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in sketch), F.lit(0))
-    both = F.col("a_n") + F.col("b_n")
-    apart = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-    return joined.filter(apart & (distance * (200 - (100 - percent)) <= both * (100 - percent))).select(*pairs.columns)
+    return joined.filter(_alike("a", "b", "n", sketch, percent)).select(*pairs.columns)
 
 
 class Links:
@@ -320,10 +328,15 @@ def _others(links: Links, shared: DataFrame, classes: DataFrame) -> None:
         around = large.join(hubs, "key").filter(F.col("name") != F.col("hub.name"))
         links.test_promising(around.select(F.col("hub.name").alias("a"), F.col("name").alias("b")).distinct(), classes)
     mixed = _mixed(links, shared)
-    few = mixed.filter(F.col("minors") <= CENTRES)
-    centres = few.filter("minor").select("key", F.col("name").alias("centre"), F.col("label").alias("own"))
-    met = centres.join(few.select("key", "name", "label"), "key").filter("own <> label")
-    pairs = met.select(F.least("centre", "name").alias("a"), F.greatest("centre", "name").alias("b")).distinct()
+    # The sketches are compared as part of the join, so only promising pairs leave it.
+    sketch = _sketch_of(classes)
+    few = mixed.filter(F.col("minors") <= CENTRES).join(classes.select(F.col("name").alias("of"), "n_shingles", *sketch), F.col("name") == F.col("of"))
+    carried = ("name", "label", "n_shingles", *sketch)
+    centres = few.filter("minor").select("key", *[F.col(c).alias(f"a_{c}") for c in carried])
+    others = few.select(F.col("key").alias("same"), *[F.col(c).alias(f"b_{c}") for c in carried])
+    alike = (F.col("key") == F.col("same")) & (F.col("a_label") != F.col("b_label")) & _alike("a", "b", "n_shingles", sketch, links.percent)
+    met = centres.join(others, alike)
+    pairs = met.select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b")).distinct()
     links.test_promising(pairs, classes)
     many = park(mixed.filter(F.col("minors") > CENTRES).select("name").distinct(), "many")
     if not many.isEmpty():
@@ -340,18 +353,18 @@ def _by_prefix(links: Links, names: DataFrame, classes: DataFrame) -> DataFrame:
     so they do not meet.
     """
     percent, rest = links.percent, 100 - links.percent
-    sets = links.labelled(names, "name", "label").join(links.members.withColumnRenamed("name", "of"), F.col("name") == F.col("of")).select("name", "label", "members")
+    sets = names.join(links.members, "name").select("name", "members")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(raw.as_buffer()) // 8 for raw in batch.column(2)], np.int64)
+            sizes = np.array([len(raw.as_buffer()) // 8 for raw in batch.column(1)], np.int64)
             for some in np.array_split(np.arange(sizes.size), max(1, int(sizes.sum()) // 200_000)):
                 if some.size:
                     taken = pa.array(np.repeat(some, sizes[some]))
-                    hashes = np.concatenate([np.frombuffer(batch.column(2)[int(i)].as_buffer(), np.int64) for i in some])
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(np.repeat(sizes[some], sizes[some]))], ["shingle", "name", "label", "n"])
+                    hashes = np.concatenate([np.frombuffer(batch.column(1)[int(i)].as_buffer(), np.int64) for i in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes), batch.column(0).take(taken), pa.array(np.repeat(sizes[some], sizes[some]))], ["shingle", "name", "n"])
 
-    each = sets.mapInArrow(part, "shingle long, name long, label long, n long")
+    each = sets.mapInArrow(part, "shingle long, name long, n long")
     held = park(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "holders")
     common = each.join(held, "shingle")
     alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("name"))
@@ -359,16 +372,15 @@ def _by_prefix(links: Links, names: DataFrame, classes: DataFrame) -> DataFrame:
     longest = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     shortest = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
     first = common.withColumn("place", place).filter(F.col("place") <= longest).withColumn("brief", F.col("place") <= shortest)
-    sketch = [c for c in classes.columns if c[0] == "s" and c[1:].isdigit()]
+    sketch = _sketch_of(classes)
     first = first.join(classes.select(F.col("name").alias("of"), *sketch), F.col("name") == F.col("of"))
-    first = park(first.select("shingle", "name", "label", "n", "place", "brief", *sketch), "prefixes")
+    first = park(links.labelled(first, "name", "label").select("shingle", "name", "label", "n", "place", "brief", *sketch), "prefixes")
     low, high = ([F.col(c).alias(f"{s}_{c}") for c in ("name", "label", "n", "place", *sketch)] for s in ("low", "high"))
     low, high = first.filter("brief").select(F.col("shingle"), *low), first.select(F.col("shingle").alias("same"), *high)
     ordered = (F.col("low_n") < F.col("high_n")) | ((F.col("low_n") == F.col("high_n")) & (F.col("low_name") < F.col("high_name")))
-    near = (F.col("low_n") * 100 >= F.col("high_n") * percent) & ((F.col("low_place") + F.col("high_place") - 2) * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest)
-    apart = sum((F.bit_count(F.col(f"low_{c}").bitwiseXOR(F.col(f"high_{c}"))) for c in sketch), F.lit(0))
-    alike = apart * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest
-    joined = low.join(high, (F.col("shingle") == F.col("same")) & (F.col("low_label") != F.col("high_label")) & ordered & near & alike)
+    near = (F.col("low_place") + F.col("high_place") - 2) * (100 + percent) <= (F.col("low_n") + F.col("high_n")) * rest
+    alike = near & _alike("low", "high", "n", sketch, percent)
+    joined = low.join(high, (F.col("shingle") == F.col("same")) & (F.col("low_label") != F.col("high_label")) & ordered & alike)
     return joined.select(F.least("low_name", "high_name").alias("a"), F.greatest("low_name", "high_name").alias("b")).distinct()
 
 
@@ -377,7 +389,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     bands = Bands(percent)
     docs = docs.select("doc_id", "text")
     sets = park(set_rows(docs, n), "sets")
-    sketch = [c for c in sets.columns if c[0] == "s" and c[1:].isdigit()]
+    sketch = _sketch_of(sets)
     classes = sets.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), *[F.min(c).alias(c) for c in sketch])
     classes = park(classes, "classes")
     keys = key_rows(docs, n, bands).groupBy("key").agg(F.min("name").alias("centre"), F.max("name").alias("last")).filter("centre <> last")
