@@ -12,10 +12,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def share_of_values(rows: DataFrame, value: str, key: str, per_value: int) -> DataFrame:
-    """About ``per_value`` rows of every ``value`` (all, where there are fewer), chosen by a hash of ``key``."""
+    """About ``per_value`` rows of every ``value`` (all, where there are fewer), chosen by a hash of ``key``.
+
+    Values are classes or languages: their counts, one short row each, are sent to every task, so no
+    text but the sample's leaves the scan.
+    """
     counts = rows.groupBy(F.col(value).alias("counted")).agg(F.count(F.lit(1)).alias("n"))
     drawn = F.pmod(F.xxhash64(F.lit("draw"), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, F.col(value) == F.col("counted")).filter(drawn * F.col("n") < per_value).drop("counted", "n")
+    return rows.join(F.broadcast(counts), F.col(value) == F.col("counted")).filter(drawn * F.col("n") < per_value).drop("counted", "n")
 
 
 def aside(docs: DataFrame, **columns: Column) -> DataFrame:
