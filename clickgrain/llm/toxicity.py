@@ -137,7 +137,8 @@ def curve_score(curve: np.ndarray, summary: np.ndarray) -> np.ndarray:
 
 def toxic_features(ids: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Features that mark toxic documents: many of those, or what no other feature explains."""
-    pairs = np.unique(ids.ravel().astype(np.int64) * toxic.size + np.tile(doc, ids.shape[0]))
+    # Row by row, as the kinds of features share no number.
+    pairs = np.concatenate([np.unique(row.astype(np.int64) * toxic.size + doc) for row in ids])
     pairs = np.stack([pairs // toxic.size, pairs % toxic.size])
     size = int(ids.max()) + 1
     bad = np.bincount(pairs[0][toxic[pairs[1]]], minlength=size)
@@ -158,6 +159,17 @@ def toxic_features(ids: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
         explained[left[1][left[0] == best]] = True
 
 
+def _numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes and, in place of each, its number; row by row, which takes less memory."""
+    names, ids, known = [], np.empty(hashes.shape, np.int32), 0
+    for row, out in zip(hashes, ids):
+        own, inverse = np.unique(row, return_inverse=True)
+        out[:] = inverse + known
+        names.append(own)
+        known += own.size
+    return np.concatenate(names), ids
+
+
 def distinct_texts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Texts without near copies of earlier ones, by six smallest hashes of three words in turn."""
     seen: set[int] = set()
@@ -188,8 +200,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     hashes, first = np.concatenate(pieces, axis=1), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
     if not first[-1]:
         return model
-    names, ids = np.unique(hashes, return_inverse=True)
-    ids = ids.reshape(hashes.shape).astype(np.int32)
+    names, ids = _numbered(hashes)
     doc = np.repeat(np.arange(toxic.size), np.diff(first))
     once = distinct_texts(np.concatenate(codes), first)[doc]
     del pieces, codes
@@ -210,13 +221,16 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
         weights, transitions, start = parameters
         odds = chains.spread(np.exp(np.clip(weights[ids].sum(axis=0), -SATURATION, SATURATION)))
         forward, backward = forward_backward(odds, chains.valid, transitions, start[0])
-        product = forward * backward
-        marginal = product / (1 + product)
-        gap = np.where(chains.valid, y - marginal, 0.0)
-        slope = np.bincount(ids.ravel(), np.tile(gap[chains.step, chains.lane], ids.shape[0]), names.size)
-        grown = odds[1:] * backward[1:]
-        cells = np.stack([np.ones_like(grown), grown, forward[:-1], forward[:-1] * grown]) * np.exp(transitions).reshape(4, 1, 1)
-        cells = np.where(both, cells / cells.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
+        gap = forward * backward
+        gap /= 1 + gap
+        np.subtract(y, gap, out=gap)
+        gap *= chains.valid
+        words_gap = gap[chains.step, chains.lane]
+        slope = sum(np.bincount(row, words_gap, names.size) for row in ids)
+        (t00, t01), (t10, t11) = np.exp(transitions)
+        grown, before_ = odds[1:] * backward[1:], forward[:-1]
+        share = both / (t00 + t01 * grown + before_ * (t10 + t11 * grown))
+        cells = np.array([[t00 * share.sum(), t01 * (grown * share).sum()], [t10 * (before_ * share).sum(), t11 * (before_ * grown * share).sum()]])
         slopes = [slope - decay * weights, seen_pairs - cells, np.array([gap[0].sum()])]
         for p, g, (m, v) in zip(parameters, slopes, memory):
             m += 0.1 * (g - m)
@@ -248,7 +262,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
     return beta
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 1500, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 800, max_chars: int = 6_000) -> Model:
     """Fits on a sample of the labelled documents (doc_id, text; doc_id, toxic) that are ``allowed``."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(allowed) if allowed is not None else known
