@@ -12,6 +12,9 @@ from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Queries over pages besides op3_url_filter, and their SQL. Apart, as the ones above give a row a document.
+PAGE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PAGE_ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_url_filter_any_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules, and the URLs of hosts with a bad label anywhere, listed from that label on."""
+    pages = table(spark, sf_dir, "pages")
+    listed = urlrules.hosts_below_label(pages, urlrules.BAD_LABELS)
+    judged = urlrules.filter_pages(pages, urlrules.rule_table(spark, urlrules.RULES), listed)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+PAGE_QUERIES["op3_url_filter_any_label"] = op3_url_filter_any_label
+PAGE_ORACLES["op3_url_filter_any_label"] = urlrules.SQL_ANY_LABEL
+
+
 @query("op5_kd_sharding")
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight shards of near equal bytes."""

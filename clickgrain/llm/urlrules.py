@@ -142,6 +142,17 @@ def hosts_with_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
     return named.filter(F.substring_index("host", ".", 1).isin(*labels)).distinct()
 
 
+def hosts_below_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Listed URLs from a table of pages: (host, path) of those with a listed label anywhere in the host.
+
+    The host of an entry begins at the listed label, so ``m.``, ``blog.`` and ``www.`` before it fall under
+    the entry. A host with several listed labels makes an entry for each.
+    """
+    named = pages.select(F.split(host_of(F.col("url")), r"\.", -1).alias("labels"), path_of(F.col("url")).alias("path"))
+    each = named.select("labels", "path", F.posexplode("labels").alias("i", "label")).filter(F.col("label").isin(*labels))
+    return each.select(F.array_join(F.slice("labels", F.col("i") + 1, F.size("labels")), ".").alias("host"), "path").distinct()
+
+
 def filter_pages(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
     """Every row of ``pages`` (page_id, url) with host, path, rule, listed_url and verdict.
 
@@ -163,6 +174,8 @@ def filter_pages(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataF
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: First host labels whose pages are listed for blocking.
 LISTED_LABELS = ("free-bets", "adult-x")
+#: Labels whose pages are listed for blocking wherever they stand in the host.
+BAD_LABELS = ("free-bets", "adult-x", "casino-win")
 
 SQL = r"""
 WITH cut AS (
@@ -182,3 +195,27 @@ bad AS (
 SELECT s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, CASE WHEN b.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM split s LEFT JOIN hit h ON s.url = h.url LEFT JOIN bad b ON s.url = b.url
 """
+
+#: The same with ``BAD_LABELS``, at any place of the host.
+SQL_ANY_LABEL = r"""
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+bad_labels(label) AS (VALUES ('free-bets'), ('adult-x'), ('casino-win')),
+listed AS (
+  SELECT DISTINCT substr(s.host, p.at) AS host, s.path
+  FROM (SELECT DISTINCT host, path FROM split) s, LATERAL (SELECT unnest(range(1, length(s.host) + 1)) AS at) p, bad_labels l
+  WHERE (p.at = 1 OR substr(s.host, p.at - 1, 1) = '.') AND (substr(s.host, p.at) = l.label OR starts_with(substr(s.host, p.at), l.label || '.'))),
+hit AS (
+  SELECT s.url, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT url, host, path FROM split) s
+  JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.url),
+bad AS (
+  SELECT DISTINCT s.url FROM (SELECT DISTINCT url, host, path FROM split) s
+  JOIN listed l ON (s.host = l.host OR ends_with(s.host, '.' || l.host)) AND starts_with(s.path, l.path))
+SELECT s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, CASE WHEN b.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM split s LEFT JOIN hit h ON s.url = h.url LEFT JOIN bad b ON s.url = b.url
+"""
