@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import parked_clean, query, with_log
 from clickgrain.catalog.features import feature_ctes, shown
+from clickgrain.catalog.visits import split_sql
 from clickgrain.functions import PURCHASE, VIEW, is_event
 from clickgrain.operators.skew import find_hot
 from clickgrain.operators.splits import split_history
@@ -129,9 +130,11 @@ def fv5(spark, sf_dir):
     return shown(store.lookup(asked, tables, hot=hot))
 
 
-@query("fv6_indexed_views")
-def fv6(spark, sf_dir):
-    """Per view on indexed ids: the number of keys, the largest index and the newest row of its latest table."""
+FITTED = ("RFM_scaled_features", "RFM_user_cluster")
+
+
+def indexed_rows(spark, sf_dir):
+    """The train part of the feature table with all indexes, scaled values and clusters, written once."""
     table = parked_features(spark, sf_dir)
     train = park(split_history(table, time="event_timestamp").filter("split = 'train'"), "train")
     fitted = mlprep.FeatureTransform.fit(train)
@@ -141,20 +144,55 @@ def fv6(spark, sf_dir):
     for column in others:
         labels = park(mlprep.frequency_index(train, column), "labels")
         rows = mlprep.with_index(rows, labels, column, hot=hot[column])
-    rows = park(rows.withColumn("RFM_scaled_features", vector_to_array("RFM_scaled_features").cast("array<string>")), "indexed")
+    return park(rows.withColumn("RFM_scaled_features", vector_to_array("RFM_scaled_features").cast("array<string>")), "indexed")
+
+
+@query("fv6_indexed_views")
+def fv6(spark, sf_dir):
+    """The newest row per key of every view on indexed ids; columns of other views are null."""
+    rows = indexed_rows(spark, sf_dir)
     found = None
     for view in store.INDEXED_VIEWS:
-        newest = store.latest(rows, view)
-        counted = newest.agg(
-            F.lit(view.name).alias("view"),
-            F.count(F.lit(1)).alias("keys"),
-            F.max(view.keys[0]).alias("largest_index"),
-            F.max("event_timestamp").alias("newest"),
-        )
-        found = counted if found is None else found.unionByName(counted)
+        newest = shown(store.latest(rows, view)).select(F.lit(view.name).alias("view"), "*")
+        found = newest if found is None else found.unionByName(newest, allowMissingColumns=True)
     return found
 
 
+def indexed_ctes() -> list[str]:
+    """``indexed``: the train part with the index of every hashed column."""
+    columns = mlprep.HASHED_COLUMNS
+    numbered = [
+        f"""idx_{c} AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS index
+FROM (SELECT "{c}" AS label, count(*) AS n FROM train WHERE "{c}" IS NOT NULL GROUP BY "{c}"))"""
+        for c in columns
+    ]
+    indexes = ", ".join(f'coalesce(idx_{c}.index, (SELECT count(*) FROM idx_{c})::DOUBLE) AS "{c}_index"' for c in columns)
+    joins = " ".join(f'LEFT JOIN idx_{c} ON t."{c}" = idx_{c}.label' for c in columns)
+    return [
+        split_sql("features", [("train", 0.8)], 10, "* EXCLUDE (total, rank)", "event_timestamp"),
+        "train AS (SELECT * FROM parts WHERE split = 'train')",
+        *numbered,
+        f"indexed AS (SELECT t.*, {indexes} FROM train t {joins})",
+    ]
+
+
+def indexed_query(view: store.FeatureView):
+    """The latest rows of one view on indexed ids, without what is fitted at random."""
+    fields = [(n, t) for n, t in view.fields if n not in FITTED]
+    keys, larger = ", ".join(view.keys), ", ".join(f'"{n}" DESC NULLS LAST' for n, _ in fields)
+    newest = f"""SELECT {keys}, event_timestamp, {", ".join(field_sql(n, t) for n, t in fields)} FROM indexed
+WHERE event_timestamp >= (SELECT max(event_timestamp) - INTERVAL 2 MONTH FROM indexed)
+QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY event_timestamp DESC, {larger}) = 1"""
+
+    @query(f"fv6_indexed_{short(view)}", with_log(newest, *feature_ctes(), *indexed_ctes()))
+    def run(spark, sf_dir):
+        return shown(store.latest(indexed_rows(spark, sf_dir), view).drop(*FITTED))
+
+
+for each in store.INDEXED_VIEWS:
+    indexed_query(each)
+
+
 @query(
     "jn8_as_of_join",
     with_log(
