@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clickgrain.llm import decontaminate, kdsearch, language, mixing, ngramjoin, secrets, sharding, substrings, toxicity, urlrules
+from clickgrain.llm import decontaminate, kdsearch, language, linededup, mixing, ngramjoin, phrases, secrets, sharding, substrings, toxicity, urlrules, vectorcodes
 from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,25 @@ def op4_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best of all vectors for every hundredth."""
     vectors = kdsearch.integer_vectors(table(spark, sf_dir, "embeddings"))
     return kdsearch.top_k(vectors, F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op11_line_dedup", linededup.SQL)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten characters or more, kept in their first document."""
+    rows = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op12_vector_codes", vectorcodes.SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight parts, 16 entries each, six rounds."""
+    coded = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vectorcodes.with_label_errors(coded.rows)
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return rows.select("vec_id", code.alias("code"), "error", "label_error", F.lit(coded.digest()).alias("codebooks_sha256"))
+
+
+@query("op13_phrases", phrases.SQL)
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three words, ten occurrences, the first 2,000 of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))

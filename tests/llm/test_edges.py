@@ -39,6 +39,10 @@ def test_odd_rows(spark, folder, name):
     rows = QUERIES[name](spark, f"{folder}/odd").collect()
     if name == "op3_url_filter":
         assert len(rows) == spark.read.parquet(f"{folder}/odd/pages.parquet").count()
+    elif name == "op12_vector_codes":
+        assert len(rows) == spark.read.parquet(f"{folder}/odd/embeddings.parquet").filter("embedding IS NOT NULL").count()
+    elif name == "op13_phrases":
+        assert {r.lang for r in rows} >= {"en"}
     elif name != "op4_kd_search":
         assert len(rows) == spark.read.parquet(f"{folder}/odd/documents.parquet").count()
 
