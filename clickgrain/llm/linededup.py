@@ -117,8 +117,9 @@ def twice_seen(docs: DataFrame, least: int = LEAST) -> np.ndarray:
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, text_hash, hash): the lines that go, by document, hash of its text and hash of the key."""
     spark = docs.sparkSession
-    each = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(long_keys(F.col("text"), least)).alias("key"))
-    each = each.select("doc_id", "text_hash", F.xxhash64("key").alias("hash"), "key")
+    # Taken from the text before the explode, which would take it along and hash it for every line.
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), long_keys(F.col("text"), least).alias("keys"))
+    each = texts.select("doc_id", "text_hash", F.explode("keys").alias("key")).withColumn("hash", F.xxhash64("key"))
     suspects = park(each.filter(may_hold(spark, twice_seen(docs, least), F.col("hash"))), "suspects")
     held = suspects.groupBy("hash", "key").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")

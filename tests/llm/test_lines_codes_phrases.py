@@ -15,9 +15,17 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 BLANKS = " \t\n\x0b\f\r"
 
 
-def rows_of(spark, rows, extra=True):
-    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    return made.select("*", *[F.lit(1).alias(c) for c in ("key", "hash", "n", "first", "gone", "phrase", "size", "words")]) if extra else made
+@pytest.fixture()
+def rows_of(spark, tmp_path):
+    """Writes (doc_id, text, lang) rows as a table with further columns whose names clash."""
+
+    def make(rows):
+        made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        made = made.select("*", *[F.lit(1).alias(c) for c in ("key", "hash", "n", "first", "gone", "phrase", "size", "words")])
+        made.write.parquet(f"{tmp_path}/rows")
+        return spark.read.parquet(f"{tmp_path}/rows")
+
+    return make
 
 
 # Lines -------------------------------------------------------------------------------------------
@@ -56,14 +64,14 @@ ODD_LINES = [
 ]
 
 
-def test_lines_against_brute_force(spark):
+def test_lines_against_brute_force(rows_of):
     rows = ODD_LINES + [(100 + i, f"line number {i % 40} here\nand here {i}\nthe line that all have", "en") for i in range(1500)]
-    made = linededup.drop_repeated_lines(rows_of(spark, rows)).collect()
+    made = linededup.drop_repeated_lines(rows_of(rows)).collect()
     assert Counter(tuple(r) for r in made) == brute_lines(rows)
 
 
-def test_lines_without_rows(spark):
-    assert linededup.drop_repeated_lines(rows_of(spark, [])).collect() == []
+def test_lines_without_rows(rows_of):
+    assert linededup.drop_repeated_lines(rows_of([])).collect() == []
 
 
 def test_once_seen_has_no_false_negatives(monkeypatch):
@@ -215,12 +223,12 @@ ODD_PHRASES = [(None, None, None), (1, "", "en"), (2, " \t..!?\n", None), (3, "o
 
 
 @pytest.mark.parametrize(("order", "at_least", "top"), [(3, 2, 2000), (4, 2, 2000), (2, 3, 5), (3, 10, 7)])
-def test_phrases_against_brute_force(spark, sf_dir, order, at_least, top):
+def test_phrases_against_brute_force(rows_of, order, at_least, top):
     rng = np.random.default_rng(order)
     vocabulary = ["a", "b", "cé", "D", "e'", "\U0001f600x", "\x85y"]
     rows = ODD_PHRASES + [(i, "".join(vocabulary[j] + " \t. ,"[k] for j, k in zip(rng.integers(0, 7, 60), rng.integers(0, 6, 60) % 5)), ["en", "de", None][i % 3]) for i in range(60)]
     rows.append((99, "a very long text of words " * 20_000, "en"))
-    made = {tuple(r) for r in phrases.collocations(rows_of(spark, rows), order, at_least, 50, top).collect()}
+    made = {tuple(r) for r in phrases.collocations(rows_of(rows), order, at_least, 50, top).collect()}
     assert made == brute_phrases(rows, order, at_least, 50, top)
 
 
@@ -236,8 +244,8 @@ def test_phrase_scores_are_exact_beyond_64_bits(spark):
     assert frame.select(phrases._score(F.col("a"), F.col("l"), F.col("r"))).first()[0] == 10**6 * big * big // ((big + 2) * (big + 9))
 
 
-def test_phrases_without_rows(spark):
-    assert phrases.collocations(rows_of(spark, [])).collect() == []
+def test_phrases_without_rows(rows_of):
+    assert phrases.collocations(rows_of([])).collect() == []
 
 
 def test_digest_is_of_all_entries():
