@@ -6,6 +6,13 @@ Only these longest windows are counted. A window's first words are a shorter phr
 the counted windows sums all shorter phrases, down to the number of words of the language: no
 occurrence is emitted more than once, whatever the order.
 
+Most longest windows occur once, and they alone would be a multiple of the texts. So pairs of
+neighbouring words are counted first by 64-bit hashes, and those that reach ``at_least`` make a Bloom
+filter (8 MB at most). A window ends before the first pair that the filter does not hold: no phrase
+across it can be a candidate, and the words before it are counted all the same. Hits that are false
+only leave a window longer, so the counts of all phrases with ``at_least`` occurrences are exact, as are
+those of words. Beyond four million frequent pairs the filter cuts fewer windows and more is shuffled.
+
 A phrase's score is that of its weakest cut in two: ``floor(10**6 * a * a / (l * r))`` for the counts
 of the phrase and the two parts, in decimals of 38 digits (exact below 10**16 occurrences).
 
@@ -14,54 +21,119 @@ All counts are over all rows.
 
 Nulls: a null text has no words, a null language is ``und``. Empty texts and tables give no rows.
 Repeated rows count as often as they are there. Ties in score go by count, then by the bytes of the
-phrase, so no two phrases share a rank. Other columns, whatever their names, are not read.
+phrase, so no two phrases share a rank. Texts are read in blocks of a megabyte or the longest text.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickgrain.llm.urlrules import lower_ascii
+from clickgrain.llm.urlrules import _bits, build_filter
+from clickgrain.llm.words import Words, signed, window_hashes, word_hashes, words
 from clickgrain.session import park
 
-ENDS = r"[.,;:!?\x0A-\x0D]"
-GAPS = r"[\x20\x09]+"
-
-
-def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words): one row for each piece of ``docs`` (lang, text) with a word."""
-    text = lower_ascii(F.col("text"))
-    cut = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.explode(F.split(text, ENDS, -1)).alias("piece"))
-    return cut.select("lang", F.array_remove(F.split("piece", GAPS, -1), "").alias("words")).filter(F.size("words") > 0)
-
-
-def windows(docs: DataFrame, order: int) -> DataFrame:
-    """(lang, w1 ... w<order>): the window at every word."""
-    words = F.col("words")
-    leads = [words] + [F.slice(words, i + 1, F.size(words)) for i in range(1, order)]
-    return pieces(docs).select("lang", F.inline(F.arrays_zip(*leads))).toDF("lang", *_columns(order))
+ENDS = np.zeros(256, bool)
+ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
+INSIDE = ~ENDS
+INSIDE[[0x20, 0x09]] = False
+CHUNK = 1 << 20
+
+
+def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each word: whether the next one follows it in the same piece, and the hash of the two."""
+    ends = np.flatnonzero(ENDS[w.data])
+    near = np.zeros(w.starts.size, bool)
+    near[:-1] = np.searchsorted(ends, w.ends[:-1]) == np.searchsorted(ends, w.starts[1:])
+    last = w.first[1:][w.first[1:] > w.first[:-1]] - 1
+    near[last] = False
+    hashes = np.zeros(w.starts.size, np.uint64)
+    hashes[:-1] = window_hashes(word_hashes(w), 2)
+    return near, hashes
+
+
+def frequent_pairs(docs: DataFrame, at_least: int) -> np.ndarray:
+    """The filter of the hashes of word pairs that occur ``at_least`` times in ``docs`` (text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            each, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(signed(each)), pa.array(counts)], ["hash", "n"])
+
+        for batch in batches:
+            for w in words(batch.column(0), lower=True, inside=INSIDE):
+                if w.starts.size:
+                    near, hashes = _pairs(w)
+                    waiting.append(hashes[near])
+                    size += waiting[-1].size
+                if size >= CHUNK:
+                    yield out()
+                    waiting, size = [], 0
+        if size:
+            yield out()
+
+    counted = docs.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return build_filter(park(counted.filter(F.col("n") >= at_least).select("hash"), "pairs"), "hash")
+
+
+def windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFrame:
+    """(lang, w1 ... w<order>, n): the windows at every word, equal ones of a block together."""
+    names = _columns(order)
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def cut(langs: pa.Array, w: Words) -> pa.Table:
+        near, hashes = _pairs(w)
+        place, masks = _bits(hashes, sent.value.shape[0])
+        goes_on = near & ((sent.value[place] & masks) == masks).all(axis=1)
+        lengths = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int32)
+        # All bytes inside words, one after the other, are the words one after the other.
+        spelled = pa.StringArray.from_buffers(w.starts.size, pa.py_buffer(lengths), pa.py_buffer(np.ascontiguousarray(w.data[INSIDE[w.data]])))
+        at, within = np.arange(w.starts.size), np.ones(w.starts.size, bool)
+        owner = np.repeat(np.arange(len(w)), np.diff(w.first))
+        columns = [langs.take(pa.array(owner)), spelled]
+        for i in range(1, order):
+            within = within & np.concatenate([goes_on[i - 1 :], np.zeros(i - 1, bool)])
+            columns.append(spelled.take(pa.array(np.where(within, at + i, 0), mask=~within)))
+        return pa.table(columns, names=["lang", *names])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column(1), lower=True, inside=INSIDE):
+                if w.starts.size:
+                    counted = cut(batch.column(0).slice(w.rows.start, len(w)), w).group_by(["lang", *names], use_threads=False).aggregate([([], "count_all")])
+                    yield from counted.select(["lang", *names, "count_all"]).combine_chunks().to_batches()
+
+    rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    return rows.mapInArrow(part, "lang string, " + ", ".join(f"{c} string" for c in names) + ", n long")
 
 
 def _columns(order: int) -> list[str]:
     return [f"w{i}" for i in range(1, order + 1)]
 
 
-def phrase_counts(docs: DataFrame, order: int = 3, at_least: int = 1) -> DataFrame:
+def phrase_counts(docs: DataFrame, order: int = 3, at_least: int = 10) -> DataFrame:
     """(lang, size, phrase, n) of all phrases of up to ``order`` words that occur ``at_least`` times.
 
     ``size`` 0 is the number of words of the language, whatever ``at_least`` says.
     """
     names = _columns(order)
-    counted = windows(docs, order).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("n"))
-    whole = counted.filter(F.col(names[-1]).isNotNull()).select("lang", F.lit(order).alias("size"), F.array(*names).alias("words"), "n")
+    counted = windows(docs, order, frequent_pairs(docs, at_least)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    # The condition is on the sum, so it stays behind the aggregate, whose shuffle serves both branches.
+    often = F.when(F.col(names[-1]).isNotNull(), F.col("n")) >= at_least
+    whole = counted.filter(often).select("lang", F.lit(order).alias("size"), F.array(*names).alias("words"), "n")
     # Grouping sets from (lang, w1 ...) down to (): the bits of the id tell how many columns were summed over.
     shorter = counted.rollup("lang", *names[:-1]).agg(F.sum("n").alias("n"), F.grouping_id().alias("summed"))
     size = F.lit(order - 1) - F.bit_count(F.col("summed"))
     shorter = shorter.select("lang", size.cast("int").alias("size"), F.array(*names[:-1]).alias("words"), "n").filter("size >= 0")
-    # A prefix that reaches into the padding is no phrase of its size.
+    # A prefix that reaches beyond its window is no phrase of its size.
     within = shorter.filter("size = 0 OR words[size - 1] IS NOT NULL")
     both = whole.unionByName(within.withColumn("words", F.slice("words", 1, F.col("size"))))
     return both.filter((F.col("size") == 0) | (F.col("n") >= at_least)).select("lang", "size", F.array_join("words", " ").alias("phrase"), "n")
