@@ -6,12 +6,13 @@ Only these longest windows are counted. A window's first words are a shorter phr
 the counted windows sums all shorter phrases, down to the number of words of the language: no
 occurrence is emitted more than once, whatever the order.
 
-Most longest windows occur once, and they alone would be a multiple of the texts. So pairs of
-neighbouring words are counted first by 64-bit hashes, and those that reach ``at_least`` make a Bloom
-filter (8 MB at most). A window ends before the first pair that the filter does not hold: no phrase
-across it can be a candidate, and the words before it are counted all the same. Hits that are false
-only leave a window longer, so the counts of all phrases with ``at_least`` occurrences are exact, as are
-those of words. Beyond four million frequent pairs the filter cuts fewer windows and more is shuffled.
+Most longest windows occur once, and they alone would be a multiple of the texts. So phrases are
+counted by 64-bit hashes first, size by size, a phrase only where its beginning and its end reach
+``at_least``; the hashes that do make a Bloom filter (8 MB at most). A window ends where its words are no
+phrase that the filter holds: no candidate begins with them, and the words before are counted all the
+same. Hits that are false only leave a window longer, so the counts of all phrases with ``at_least``
+occurrences are exact, as are those of words. Beyond four million frequent phrases the filter cuts
+fewer windows and more is shuffled.
 
 A phrase's score is that of its weakest cut in two: ``floor(10**6 * a * a / (l * r))`` for the counts
 of the phrase and the two parts, in decimals of 38 digits (exact below 10**16 occurrences).
@@ -44,25 +45,54 @@ ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 INSIDE = ~ENDS
 INSIDE[[0x20, 0x09]] = False
 CHUNK = 1 << 20
+PARTS = 32
 
 
-def _pairs(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """For each word: whether the next one follows it in the same piece, and the hash of the two."""
-    ends = np.flatnonzero(ENDS[w.data])
-    near = np.zeros(w.starts.size, bool)
-    near[:-1] = np.searchsorted(ends, w.ends[:-1]) == np.searchsorted(ends, w.starts[1:])
-    last = w.first[1:][w.first[1:] > w.first[:-1]] - 1
-    near[last] = False
-    hashes = np.zeros(w.starts.size, np.uint64)
-    hashes[:-1] = window_hashes(word_hashes(w), 2)
-    return near, hashes
+class Phrases:
+    """Hashes of the phrases that begin at each word, and which sizes stay within the word's piece."""
 
+    def __init__(self, w: Words):
+        ends = np.flatnonzero(ENDS[w.data])
+        self.codes, self.near = word_hashes(w), np.zeros(w.starts.size, bool)
+        self.near[:-1] = np.searchsorted(ends, w.ends[:-1]) == np.searchsorted(ends, w.starts[1:])
+        self.near[w.first[1:][w.first[1:] > w.first[:-1]] - 1] = False
 
-def frequent_pairs(docs: DataFrame, at_least: int) -> np.ndarray:
-    """The filter of the hashes of word pairs that occur ``at_least`` times in ``docs`` (text)."""
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        fits, hashes = self.near.copy(), np.zeros(self.near.size, np.uint64)
+        for i in range(1, size - 1):
+            fits &= _ahead(self.near, i)
+        found = window_hashes(self.codes, size)
+        hashes[: found.size] = found
+        return fits, hashes
+
+    def held(self, size: int, filled: np.ndarray) -> np.ndarray:
+        """Whether the phrase of ``size`` words at each word may be in the filter."""
+        fits, hashes = self.of(size)
+        place, masks = _bits(hashes, filled.shape[0])
+        return fits & ((filled[place] & masks) == masks).all(axis=1)
+
+
+def _ahead(flags: np.ndarray, by: int) -> np.ndarray:
+    return np.concatenate([flags[by:], np.zeros(min(by, flags.size), bool)])
+
+
+def frequent_phrases(docs: DataFrame, order: int, at_least: int) -> np.ndarray:
+    """The filter of the hashes of phrases of 2 to ``order`` words that occur ``at_least`` times in ``docs`` (text)."""
+    rows, held, filled = docs.select("text"), None, None
+    for size in range(2, order + 1):
+        counted = rows.mapInArrow(_counter(docs, size, filled), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        found = park(counted.filter(F.col("n") >= at_least).select("hash"), "frequent")
+        held = found if held is None else held.unionByName(found)
+        filled = build_filter(held, "hash")
+    return filled
+
+
+def _counter(docs: DataFrame, size: int, filled: np.ndarray | None):
+    """Counts the hashes of phrases of one size; with a filter, of those whose two shorter ones it may hold."""
+    sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        waiting, waits = [], 0
 
         def out() -> pa.RecordBatch:
             each, counts = np.unique(np.concatenate(waiting), return_counts=True)
@@ -71,17 +101,20 @@ def frequent_pairs(docs: DataFrame, at_least: int) -> np.ndarray:
         for batch in batches:
             for w in words(batch.column(0), lower=True, inside=INSIDE):
                 if w.starts.size:
-                    near, hashes = _pairs(w)
-                    waiting.append(hashes[near])
-                    size += waiting[-1].size
-                if size >= CHUNK:
+                    phrases = Phrases(w)
+                    fits, hashes = phrases.of(size)
+                    if sent.value is not None:
+                        shorter = phrases.held(size - 1, sent.value)
+                        fits &= shorter & _ahead(shorter, 1)
+                    waiting.append(hashes[fits])
+                    waits += waiting[-1].size
+                if waits >= CHUNK:
                     yield out()
-                    waiting, size = [], 0
-        if size:
+                    waiting, waits = [], 0
+        if waits:
             yield out()
 
-    counted = docs.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return build_filter(park(counted.filter(F.col("n") >= at_least).select("hash"), "pairs"), "hash")
+    return count
 
 
 def windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFrame:
@@ -90,9 +123,7 @@ def windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(langs: pa.Array, w: Words) -> pa.Table:
-        near, hashes = _pairs(w)
-        place, masks = _bits(hashes, sent.value.shape[0])
-        goes_on = near & ((sent.value[place] & masks) == masks).all(axis=1)
+        phrases = Phrases(w)
         lengths = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int32)
         # All bytes inside words, one after the other, are the words one after the other.
         spelled = pa.StringArray.from_buffers(w.starts.size, pa.py_buffer(lengths), pa.py_buffer(np.ascontiguousarray(w.data[INSIDE[w.data]])))
@@ -100,7 +131,7 @@ def windows(docs: DataFrame, order: int, frequent: np.ndarray) -> DataFrame:
         owner = np.repeat(np.arange(len(w)), np.diff(w.first))
         columns = [langs.take(pa.array(owner)), spelled]
         for i in range(1, order):
-            within = within & np.concatenate([goes_on[i - 1 :], np.zeros(i - 1, bool)])
+            within = within & phrases.held(i + 1, sent.value)
             columns.append(spelled.take(pa.array(np.where(within, at + i, 0), mask=~within)))
         return pa.table(columns, names=["lang", *names])
 
@@ -125,7 +156,7 @@ def phrase_counts(docs: DataFrame, order: int = 3, at_least: int = 10) -> DataFr
     ``size`` 0 is the number of words of the language, whatever ``at_least`` says.
     """
     names = _columns(order)
-    counted = windows(docs, order, frequent_pairs(docs, at_least)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    counted = windows(docs, order, frequent_phrases(docs, order, at_least)).groupBy("lang", *names).agg(F.sum("n").alias("n"))
     # The condition is on the sum, so it stays behind the aggregate, whose shuffle serves both branches.
     often = F.when(F.col(names[-1]).isNotNull(), F.col("n")) >= at_least
     whole = counted.filter(often).select("lang", F.lit(order).alias("size"), F.array(*names).alias("words"), "n")
@@ -171,8 +202,13 @@ def collocations(docs: DataFrame, order: int = 3, at_least: int = 10, covered: i
         held = reduce(DataFrame.unionByName, inner).groupBy("lang", part(F.col("begin"), F.col("part")).alias("phrase")).agg(F.max("a").alias("longer"))
         weakest = weakest.join(held, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
     totals = counts.filter("size = 0").select("lang", F.col("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = weakest.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+
+    def ranked_by(*keys: Column) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+
+    # First the best of each of PARTS parts of a language, so that the last sort has PARTS * top rows of it.
+    best = weakest.withColumn("place", ranked_by(F.col("lang"), F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))).filter(F.col("place") <= top)
+    ranked = best.withColumn("rank", ranked_by(F.col("lang")).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(F.broadcast(totals), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
