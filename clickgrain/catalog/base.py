@@ -25,8 +25,7 @@ base AS (
          CAST(e.user_id AS VARCHAR) AS user_id,
          CASE WHEN e.event_id % 97 = 0 THEN NULL ELSE CAST(e.user_id AS VARCHAR) || '-' || strftime(e.ts, '%Y%m%d') END AS user_session
   FROM events e JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)),
-full_log AS (SELECT * EXCLUDE (event_id) FROM base UNION ALL SELECT * EXCLUDE (event_id) FROM base WHERE event_id % 100 = 0),
-log AS (SELECT * FROM full_log WHERE event_type <> 'signup'),
+log AS (SELECT * EXCLUDE (event_id) FROM base UNION ALL SELECT * EXCLUDE (event_id) FROM base WHERE event_id % 100 = 0),
 clean_all AS (
   SELECT DISTINCT event_time, event_type, product_id, category_id, coalesce(brand, 'UNKNOWN') AS brand, price,
          user_id, user_session, CAST(coalesce(brand, 'UNKNOWN') = 'UNKNOWN' AS INTEGER) AS is_brand_missing

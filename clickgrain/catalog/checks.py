@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from clickgrain.catalog.base import query, r, with_log
 from clickgrain.functions import EVENT_TYPES
 from clickgrain.operators import quality
@@ -16,11 +18,11 @@ TYPE_NAMES = {"price": "DoubleType", "event_time": "TimestampType"}
 
 
 def incoming(spark, sf_dir):
-    return event_log(spark, sf_dir, signups=True)
+    return event_log(spark, sf_dir)
 
 
 def suite_sql(index: int | None = None) -> str:
-    """One SELECT per check; the order of columns in the log is that of ``full_log``."""
+    """One SELECT per check; the order of columns in the log is that of ``log``."""
     order = ["event_time", "event_type", "product_id", "category_id", "category_code", "brand", "price", "user_id", "user_session"]
     selects = []
     for place, check in enumerate(quality.standard_suite(index)):
@@ -35,10 +37,10 @@ def suite_sql(index: int | None = None) -> str:
             rows, bad = f"count({column})", f"count(*) FILTER ({column} NOT IN ({ALLOWED}))"
         else:
             rows = "count(*)"
-            bad = f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM full_log GROUP BY {COLUMN_LIST}) WHERE n > 1)"
+            bad = f"(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM log GROUP BY {COLUMN_LIST}) WHERE n > 1)"
         selects.append(
             f"SELECT {place} AS position, '{check.kind}' AS kind, '{check.subject}' AS columns,"
-            f" CAST({rows} AS BIGINT) AS rows, CAST({bad} AS BIGINT) AS unexpected FROM full_log"
+            f" CAST({rows} AS BIGINT) AS rows, CAST({bad} AS BIGINT) AS unexpected FROM log"
             + (" LIMIT 1" if rows == "0" else "")
         )
     return "suite AS (" + " UNION ALL ".join(f"({s})" for s in selects) + ")"
@@ -68,7 +70,7 @@ kind_query("dq6_price_type_in_list", "type", "columns = 'price'")
 
 @query(
     "dq2_unexpected_values",
-    with_log(f"SELECT event_type, count(*) AS count FROM full_log WHERE event_type NOT IN ({ALLOWED}) GROUP BY event_type"),
+    with_log(f"SELECT event_type, count(*) AS count FROM log WHERE event_type NOT IN ({ALLOWED}) GROUP BY event_type"),
 )
 def dq2_values(spark, sf_dir):
     return quality.unexpected_values(incoming(spark, sf_dir), "event_type", EVENT_TYPES)
@@ -97,3 +99,17 @@ def dq8(spark, sf_dir):
     results = quality.run_suite(park(incoming(spark, sf_dir), "incoming"))
     write_result_json(results, folder)
     return spark.read.schema(results.schema).json(folder).select(*RESULT)
+
+
+@query(
+    "io9_validation_result",
+    with_log("SELECT count(*) AS checks, count(*) FILTER (unexpected = 0) AS successful, sum(unexpected)::BIGINT AS unexpected FROM suite", suite_sql()),
+)
+def io9(spark, sf_dir):
+    """The result sink: one JSON line a check, read back with the types that JSON itself has."""
+    folder = new_folder(spark, "results")
+    write_result_json(quality.run_suite(park(incoming(spark, sf_dir), "incoming")), folder)
+    lines = spark.read.json(folder)
+    return lines.agg(
+        F.count(F.lit(1)).alias("checks"), F.count_if(F.col("unexpected") == 0).alias("successful"), F.sum("unexpected").cast("long").alias("unexpected")
+    )

@@ -115,11 +115,11 @@ def cl14_count(spark, sf_dir):
 @query(
     "cl15_backfill_brand",
     with_log(
-        "SELECT * REPLACE (coalesce(brand, min(brand) OVER (PARTITION BY product_id)) AS brand) FROM full_log"
+        "SELECT * REPLACE (coalesce(brand, min(brand) OVER (PARTITION BY product_id)) AS brand) FROM log"
     ),
 )
 def cl15(spark, sf_dir):
-    log = park(event_log(spark, sf_dir, signups=True), "log")
+    log = park(event_log(spark, sf_dir), "log")
     return cleaning.backfill_brand(log, find_hot(log, {"product": ["product_id"]})["product"])
 
 

@@ -1,47 +1,14 @@
-"""The queries on the log once more with the signups in it: names end in ``_every_event``.
-
-They read all of ``events``; the SQL is that of the query without its filter on signups. A signup has no
-weight and is none of the interactions that a score counts, so the SQL doesn't count it there. DQ1-DQ8 and
-CL15 read the whole log anyway. Left out are RC1, RC2, RC10 and RC11: ALS stops at the null score of a
-signup.
-"""
+"""Earlier names of queries: with the suffix they kept the signups in the log, as all of them do now."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
 from clickgrain.catalog.base import ORACLES, QUERIES
-from clickgrain.sources.testlog import every_event
 
 SUFFIX = "_every_event"
-FILTERED = "log AS (SELECT * FROM full_log WHERE event_type <> 'signup')"
-WHOLE = "log AS (SELECT * FROM full_log)"
-
-
-def _with_signups(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with every_event():
-            return run(spark, sf_dir)
-
-    return whole
-
-
-COUNTED = {
-    f"count(*) OVER (PARTITION BY {c}user_id, {c}product_id)": f"count(*) FILTER (WHERE event_type <> 'signup') OVER (PARTITION BY {c}user_id, {c}product_id)"
-    for c in ("", "c.")
-}
-LEFT_OUT = {"cl15", "rc1", "rc2", "rc10", "rc11", *[f"dq{i}" for i in range(1, 9)]}
-
-
-def _with_signups_sql(sql: str) -> str:
-    for old, new in {FILTERED: WHOLE, **COUNTED}.items():
-        sql = sql.replace(old, new)
-    return sql
-
+#: Queries that never had the second name: they always read the whole log, or are newer.
+ONE_NAME = {"cl15", "rc1", "rc2", "rc10", "rc11", "io9", *[f"dq{i}" for i in range(1, 9)]}
+ALSO_ONE = {"ft4_monetary_of_orders", "io6_parquet_scan", "rc3_recommended_id_arrays", "rc4_true_item_lists", "io10_run_manifest"}
 
-#: Queries without SQL are all on the log.
-_ON_LOG = [k for k in QUERIES if FILTERED in ORACLES.get(k, FILTERED) and k.partition("_")[0] not in LEFT_OUT]
-EVERY_QUERIES = {k + SUFFIX: _with_signups(QUERIES[k]) for k in _ON_LOG}
-EVERY_ORACLES = {k + SUFFIX: _with_signups_sql(ORACLES[k]) for k in _ON_LOG if k in ORACLES}
+_NAMED = [k for k in QUERIES if k.partition("_")[0] not in ONE_NAME and k not in ALSO_ONE]
+EVERY_QUERIES = {k + SUFFIX: QUERIES[k] for k in _NAMED}
+EVERY_ORACLES = {k + SUFFIX: ORACLES[k] for k in _NAMED if k in ORACLES}

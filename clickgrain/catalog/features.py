@@ -317,6 +317,8 @@ def ft22(spark, sf_dir):
     )
 
 
+# Signups have no weight, so they are none of the interactions that a score counts.
+SCORED = "FILTER (event_type <> 'signup')"
 WEIGHT = "CASE event_type WHEN 'view' THEN 0.3::DOUBLE WHEN 'cart' THEN 0.5::DOUBLE WHEN 'purchase' THEN 1.0::DOUBLE END"
 WEIGHT_ALL = (
     "CASE event_type WHEN 'view' THEN 0.3::DOUBLE WHEN 'cart' THEN 0.7::DOUBLE"
@@ -337,7 +339,7 @@ def ft23(spark, sf_dir):
     "ft24_interaction_score",
     with_log(
         f"""SELECT user_id, product_id, event_time, event_type,
-{r(f'({WEIGHT}) * count(*) OVER (PARTITION BY user_id, product_id)', 6)} AS interaction_score FROM clean"""
+{r(f'({WEIGHT}) * count(*) {SCORED} OVER (PARTITION BY user_id, product_id)', 6)} AS interaction_score FROM clean"""
     ),
 )
 def ft24(spark, sf_dir):
@@ -350,7 +352,7 @@ def ft24(spark, sf_dir):
     "ft25_interaction_score_with_removals",
     with_log(
         f"""SELECT user_id, product_id, event_time, event_type,
-{r(f'({WEIGHT_ALL}) * count(*) OVER (PARTITION BY user_id, product_id)', 6)} AS interaction_score FROM clean_all_abs"""
+{r(f'({WEIGHT_ALL}) * count(*) {SCORED} OVER (PARTITION BY user_id, product_id)', 6)} AS interaction_score FROM clean_all_abs"""
     ),
 )
 def ft25(spark, sf_dir):
@@ -443,7 +445,7 @@ features AS (SELECT c.event_time AS event_timestamp, c.product_id, c.category_id
   {r('CASE WHEN max(p.views) OVER (PARTITION BY c.category_id) > 0 THEN p.views / max(p.views) OVER (PARTITION BY c.category_id) ELSE 0 END', 6)} AS popularity_percentile,
   {PRODUCT_CART_RATIO} AS product_cart_to_purchase_conversion_ratio, {rate} AS view_to_purchase_conversion_rate_for_item,
   {PRODUCT_VIEW_RATIO} AS view_to_purchase_ratio,
-  {r(f'({WEIGHT}) * count(*) OVER (PARTITION BY c.user_id, c.product_id)', 6)} AS interaction_score,
+  {r(f'({WEIGHT}) * count(*) {SCORED} OVER (PARTITION BY c.user_id, c.product_id)', 6)} AS interaction_score,
   {PARTS_SQL}, {CYCLES_SQL}
   FROM clean c JOIN recency q USING (user_id) JOIN user_row u USING (user_id) JOIN pair_time t USING (user_id, product_id)
   LEFT JOIN tops USING (user_id) JOIN session_row s USING (user_id, user_session) JOIN product p USING (product_id)

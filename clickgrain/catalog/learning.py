@@ -6,17 +6,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.base import parked_clean, query, r, rounded, with_log
-from clickgrain.catalog.features import RECENCY_SQL, WEIGHT, hot_keys
+from clickgrain.catalog.features import RECENCY_SQL, SCORED, WEIGHT, hot_keys
 from clickgrain.catalog.store import parked_features
 from clickgrain.catalog.visits import split_sql
 from clickgrain.operators import attach, ranking
 from clickgrain.operators.skew import find_hot
 from clickgrain.operators.splits import split_history, split_parts
-from clickgrain.plans import mlprep, recommend
+from clickgrain.plans import mlprep, recommend, tuning
 from clickgrain.session import new_folder, park
 
 EVENT = ["user_id", "product_id", "event_timestamp"]
 TOP = 10
+LONG_LIST = 100
 
 
 def feature_parts(spark, sf_dir):
@@ -156,8 +157,8 @@ def scored_parts(spark, sf_dir):
 
 
 def ratings(spark, sf_dir):
-    """Train and test interactions on indexed ids."""
-    parts = scored_parts(spark, sf_dir)
+    """Train and test interactions that have a score, on indexed ids."""
+    parts = {name: rows.filter("interaction_score IS NOT NULL") for name, rows in scored_parts(spark, sf_dir).items()}
     train = parts["train"]
     hot = find_hot(train, {c: [c] for c in mlprep.INDEXED_COLUMNS})
     for column in mlprep.INDEXED_COLUMNS:
@@ -169,21 +170,18 @@ def ratings(spark, sf_dir):
     }
 
 
-SMALL = {"rank": 10, "maxIter": 5, "alpha": 40.0, "regParam": 0.1}
-
-
 @query("rc1_predicted_scores")
 def rc1(spark, sf_dir):
     parts = ratings(spark, sf_dir)
-    return recommend.fit(parts["train"], **SMALL).transform(parts["test"])
+    return recommend.fit(parts["train"]).transform(parts["test"])
 
 
 @query("rc2_top_100_per_user")
 def rc2(spark, sf_dir):
-    return recommend.recommended_places(recommend.fit(ratings(spark, sf_dir)["train"], **SMALL), 100)
+    return recommend.recommended_places(recommend.fit(ratings(spark, sf_dir)["train"]), 100)
 
 
-SCORED_SQL = f"scored AS (SELECT *, ({WEIGHT}) * count(*) OVER (PARTITION BY user_id, product_id) AS score FROM clean)"
+SCORED_SQL = f"scored AS (SELECT *, ({WEIGHT}) * count(*) {SCORED} OVER (PARTITION BY user_id, product_id) AS score FROM clean)"
 PARTS_SQL = split_sql("scored", [("train", 0.8)], 10, "user_id, product_id, score")
 PREDICTED_SQL = f"""
 best AS (SELECT user_id, product_id, max(score) AS score FROM parts WHERE split = 'train' GROUP BY ALL),
@@ -217,6 +215,52 @@ def rc4_list(spark, sf_dir):
     return fixed_lists(spark, sf_dir)[0]
 
 
+CHUNK = 4
+
+
+@query(
+    "rc4_true_item_lists",
+    with_log(
+        f"""SELECT user_id, chunk, string_agg(product_id, ',' ORDER BY place) AS items
+FROM (SELECT *, CAST((place - 1) // {CHUNK} AS INTEGER) AS chunk FROM (
+  SELECT user_id, product_id, row_number() OVER (PARTITION BY user_id ORDER BY event_time, product_id) AS place FROM parts WHERE split = 'test'))
+GROUP BY user_id, chunk""",
+        SCORED_SQL, split_sql("scored", [("train", 0.8)], 10, "user_id, product_id, event_time, score"),
+    ),
+)
+def rc4_lists(spark, sf_dir):
+    """The true items of each user in order of time, repeats kept, in chunks of four."""
+    test = scored_parts(spark, sf_dir)["test"]
+    lists = ranking.list_chunks(test, ["user_id"], ["event_time"], "product_id", CHUNK)
+    return lists.select("user_id", "chunk", F.array_join("items", ",").alias("items"))
+
+
+@query(
+    "rc3_recommended_id_arrays",
+    with_log(
+        f"""SELECT p.user_id, {LONG_LIST} AS k, (SELECT count(DISTINCT product_id) FROM parts WHERE split = 'train' AND score IS NOT NULL) AS items, TRUE AS distinct_items, TRUE AS known_items
+FROM (SELECT DISTINCT user_id FROM parts WHERE split = 'train' AND score IS NOT NULL) p""",
+        SCORED_SQL, PARTS_SQL,
+    ),
+)
+def rc3_arrays(spark, sf_dir):
+    """Nested recommendations of a fit to one array of product ids per user."""
+    parts = scored_parts(spark, sf_dir)
+    train, labels = parts["train"].filter("interaction_score IS NOT NULL"), {}
+    for column in mlprep.INDEXED_COLUMNS:
+        labels[column] = park(mlprep.frequency_index(train, column), "labels")
+        train = mlprep.with_index(train, labels[column], column)
+    arrays = ranking.recommended_ids(recommend.recommend(recommend.fit(train), LONG_LIST), recommend.USER, recommend.ITEM)
+    # Numbers back to ids: one row per place, joined with the labels.
+    places = arrays.select(recommend.USER, F.posexplode("pred_items").alias("place", "number"))
+    items = labels["product_id"].select(F.col("index").alias("number"), F.col("label").alias("product_id"))
+    users = labels["user_id"].select(F.col("index").alias(recommend.USER), F.col("label").alias("user_id"))
+    named = places.join(items, "number", "left").join(users, recommend.USER).groupBy("user_id")
+    listed = named.agg(F.count(F.lit(1)).alias("items"), F.count_distinct("product_id").alias("different"), F.count("product_id").alias("known"))
+    checks = [(F.col("items") == F.col("different")).alias("distinct_items"), (F.col("items") == F.col("known")).alias("known_items")]
+    return listed.select("user_id", F.lit(LONG_LIST).alias("k"), "items", *checks)
+
+
 @query(
     "rc4_true_item_sets",
     with_log(
@@ -283,20 +327,46 @@ def rc9(spark, sf_dir):
     return same.select("user_id", F.array_join("true_items", ",").alias("true_items"))
 
 
-@query("rc10_evaluator")
+# While the catalogue has no more than LONG_LIST products, as it has in these tables, a list holds all of
+# them whatever the fit finds, so recall is known: the share of a user's true items that the fit has seen.
+# Items it has not seen share one number, so they are one item.
+RECALL_SQL = f"""
+rated AS (SELECT * FROM parts WHERE score IS NOT NULL),
+seen AS (SELECT DISTINCT product_id FROM rated WHERE split = 'train'),
+true_item AS (SELECT DISTINCT p.user_id, s.product_id FROM rated p LEFT JOIN seen s ON p.product_id = s.product_id
+  WHERE split = 'test' AND p.user_id IN (SELECT user_id FROM rated WHERE split = 'train')),
+user_recall AS (SELECT user_id, count(product_id) AS hits, count(product_id) / count(*)::DOUBLE AS recall FROM true_item GROUP BY user_id),
+mean_recall AS (SELECT count(*) AS users, {r('avg(recall)', 6)} AS recall, {r(f'avg(hits / {LONG_LIST}::DOUBLE)', 6)} AS precision FROM user_recall)"""
+
+
+@query(
+    "rc10_evaluator",
+    with_log(f"SELECT {LONG_LIST} AS k, users, recall AS avg_recall_at_k, precision AS avg_precision_at_k, recall AS evaluator_recall FROM mean_recall", SCORED_SQL, PARTS_SQL, RECALL_SQL),
+)
 def rc10(spark, sf_dir):
-    """The library's default settings at k = 100."""
+    """The evaluator on a fit with the library's default settings, next to the same mean from the joins."""
     parts = ratings(spark, sf_dir)
-    return recommend.evaluate(parts["test"], recommend.fit(parts["train"]), k=100)
+    ranked = tuning.RankingALS(k=LONG_LIST).fit(parts["train"])
+    recall = tuning.RecallAtK(k=LONG_LIST).evaluate(ranked.transform(parts["test"]))
+    joined = recommend.evaluate(parts["test"], ranked.fitted, k=LONG_LIST)
+    return rounded(joined.select(F.lit(LONG_LIST).alias("k"), "users", "avg_recall_at_k", "avg_precision_at_k", F.lit(recall).alias("evaluator_recall")), 6)
+
+
+def grid_sql() -> str:
+    """All settings in order; they tie in recall here, so the first is the best."""
+    lists = [f"(VALUES {', '.join(f'({i}, {float(v)}::DOUBLE)' for i, v in enumerate(values))}) g{n}(i{n}, \"{name}\")" for n, (name, values) in enumerate(recommend.FULL_GRID.items())]
+    number = f"CAST(row_number() OVER (ORDER BY {', '.join(f'i{n}' for n in range(len(lists)))}) - 1 AS INTEGER)"
+    columns = ", ".join(f'"{name}"' for name in recommend.FULL_GRID)
+    return f"SELECT setting, {columns}, recall, setting = 0 AS best FROM (SELECT *, {number} AS setting FROM {' CROSS JOIN '.join(lists)}), mean_recall"
 
 
-@query("rc11_grid_search")
+@query("rc11_grid_search", with_log(grid_sql(), SCORED_SQL, PARTS_SQL, RECALL_SQL))
 def rc11(spark, sf_dir):
     """All settings of the full grid with their recall at k = 100; ``best`` marks the best one."""
     parts = ratings(spark, sf_dir)
-    tried = recommend.grid_search(parts["train"], parts["test"], recommend.FULL_GRID, k=100)
-    best = recommend.best_setting(tried).withColumn("best", F.lit(True))
-    return tried.join(F.broadcast(best), tried.columns, "left").fillna(False, ["best"])
+    tried = rounded(recommend.grid_search(parts["train"], parts["test"], recommend.FULL_GRID, k=LONG_LIST), 6)
+    best = recommend.best_setting(tried).first()["setting"]
+    return tried.withColumn("best", F.col("setting") == best)
 
 
 @query(

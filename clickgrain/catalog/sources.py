@@ -114,6 +114,30 @@ def io10(spark, sf_dir):
     return files.groupBy("folder", "target").agg(F.sum("rows").alias("rows"), *bounds)
 
 
+TENS = "(day(event_time) - 1) // 10"
+
+
+@query(
+    "io10_run_manifest",
+    with_log(
+        f"""SELECT run, count(DISTINCT {TENS}) AS files, count(*) AS rows, min(event_time) AS first_event, max(event_time) AS last_event, TRUE AS in_time
+FROM (SELECT *, 0 AS run FROM log WHERE {TENS} < 2 UNION ALL SELECT *, 1 AS run FROM log WHERE {TENS} >= 2) GROUP BY run"""
+    ),
+)
+def io10_run(spark, sf_dir):
+    """Two runs, one file for each ten days of the month: what they loaded, how long they took."""
+    folder, manifest = new_folder(spark, "months"), new_folder(spark, "runs")
+    tens = F.floor((F.dayofmonth("event_time") - 1) / 10).cast("int")
+    log = event_log(spark, sf_dir).withColumn("part", F.least(tens, F.lit(3)))
+    log.repartition("part").write.partitionBy("part").option("header", "true").option("timestampFormat", MICROSECONDS).csv(folder)
+    for run, part in enumerate(("[01]", "[23]")):
+        sources.ingest(spark, f"{folder}/part={part}", new_folder(spark, f"log-{run}"), manifest)
+    runs = spark.read.parquet(manifest)
+    timed = (F.col("started") <= F.col("ended")) & (F.col("seconds") >= 0) & (F.col("ended") <= F.current_timestamp())
+    run = F.when(F.col("source").contains("[01]"), 0).otherwise(1)
+    return runs.select(run.alias("run"), "files", "rows", "first_event", "last_event", timed.alias("in_time"))
+
+
 @query("io11_landing_zone", with_log(TYPED))
 def io11(spark, sf_dir):
     return to_cents(sources.read_landing_zone(spark, csv_months(spark, sf_dir, "landing")).select(*COLUMNS))

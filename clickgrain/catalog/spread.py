@@ -41,7 +41,7 @@ def sa2(spark, sf_dir):
 
 @spread("cl15_backfill_brand")
 def cl15(spark, sf_dir):
-    log = park(event_log(spark, sf_dir, signups=True), "log")
+    log = park(event_log(spark, sf_dir), "log")
     return cleaning.backfill_brand(log, find_hot(log, {"product": ["product_id"]}, min_rows=HOT)["product"])
 
 

@@ -215,7 +215,7 @@ def jn8(spark, sf_dir):
     "jn9_key_lookup",
     with_log(
         f"""SELECT w.user_id, {", ".join(f'customer."{n}"' for n in store.CUSTOMER_VIEW.names)}
-FROM (SELECT DISTINCT user_id FROM full_log UNION ALL SELECT 'nobody') w LEFT JOIN newest_customer customer USING (user_id)""",
+FROM (SELECT DISTINCT user_id FROM log UNION ALL SELECT 'nobody') w LEFT JOIN newest_customer customer USING (user_id)""",
         *feature_ctes(),
         latest_cte(store.CUSTOMER_VIEW),
     ),
@@ -223,6 +223,6 @@ FROM (SELECT DISTINCT user_id FROM full_log UNION ALL SELECT 'nobody') w LEFT JO
 def jn9(spark, sf_dir):
     view = store.CUSTOMER_VIEW
     newest = park(store.latest(parked_features(spark, sf_dir), view), "latest")
-    asked = event_log(spark, sf_dir, signups=True).select("user_id").distinct()
+    asked = event_log(spark, sf_dir).select("user_id").distinct()
     asked = asked.unionByName(asked.agg(F.lit("nobody").alias("user_id")))
     return shown(store.lookup(asked, {view.name: newest}, [view]))

@@ -6,10 +6,14 @@ large array. The array forms in ``functions.ranking`` give the same numbers for
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from clickgrain.operators.ordered import global_number
+
 
 def top_items(scored: DataFrame, user: str, item: str, score: str, count: int) -> DataFrame:
     """Per user the ``count`` items with the highest score, ties by item, as (user, item, place)."""
@@ -45,6 +49,31 @@ def truth_sets(truth_rows: DataFrame, user: str, item: str) -> DataFrame:
     return truth_rows.groupBy(user).agg(F.array_sort(F.collect_set(item)).alias("true_items"))
 
 
+def list_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, size: int = 1024) -> DataFrame:
+    """(keys, chunk, items): the values of each key in order, repeats kept, ``size`` of them a chunk.
+
+    A list as one array would grow with its key. Rows are numbered first (in slices, so no task holds all
+    rows of a key), and the number tells chunk and place; an array holds ``size`` values at most. The
+    chunks of a key one after the other are its list. Null values are left out, as in ``collect_list``.
+    """
+    kept = rows.filter(F.col(value).isNotNull()).select(*dict.fromkeys([*keys, *order, value]))
+    placed = global_number(kept, [F.col(c) for c in [*keys, *order, value]], "row_place")
+    # A key's first number: the global number runs through the keys in their order.
+    first = placed.groupBy(*keys).agg(F.min("row_place").alias("first_place"))
+    joined = null_safe_join(placed, first, keys)
+    place = F.col("row_place") - F.col("first_place")
+    chunked = joined.withColumn("chunk", F.floor(place / size).cast("int"))
+    collected = F.array_sort(F.collect_list(F.struct("row_place", F.col(value).alias("item"))))
+    return chunked.groupBy(*keys, "chunk").agg(F.transform(collected, lambda e: e["item"]).alias("items"))
+
+
+def null_safe_join(rows: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Joins one row per key to ``rows``; a null key meets a null key."""
+    renamed = side.withColumnsRenamed({k: f"side_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"side_{k}")) for k in keys]
+    return rows.join(renamed, same).drop(*[f"side_{k}" for k in keys])
+
+
 def truth_lists(truth_rows: DataFrame, user: str, item: str, at_most: int) -> DataFrame:
     """True items with repeats as a sorted array, for users with at most ``at_most`` of them."""
     sizes = truth_rows.groupBy(user).agg(F.sum("times").alias("true_count")).filter(F.col("true_count") <= at_most)
@@ -61,27 +90,30 @@ def ideal_gain(relevant: Column, k: int) -> Column:
 
 
 def user_metrics(
-    truth_rows: DataFrame, places: DataFrame, user: str, item: str, k: int, repeats: bool = True
+    truth_rows: DataFrame, places: DataFrame, user: str, item: str, k: int, repeats: bool = True, by: Sequence[str] = ()
 ) -> DataFrame:
     """Per user with both true and recommended items: hits, recall@k, precision@k and NDCG@k.
 
+    ``by`` names columns of ``places`` (the model a list is from, say) to keep apart.
+
     ``repeats`` counts a true item as often as it occurs in the divisor of recall and in the ideal
     of NDCG (a list of true items); without it true items are a set.
     """
     true_count = F.sum("times") if repeats else F.count(F.lit(1))
     users = truth_rows.groupBy(user).agg(true_count.alias("true_count"))
     in_reach = places.filter(F.col("place") <= k)
-    served = places.select(user).distinct()
+    served = places.select(*by, user).distinct()
     hits = (
         truth_rows.join(in_reach, [user, item])
-        .groupBy(user)
+        .groupBy(*by, user)
         .agg(
             F.count(F.lit(1)).alias("hits"),
             F.sum(1.0 / F.log2(F.col("place") + 1.0)).alias("gain"),
         )
     )
-    joined = users.join(served, user, "left_semi").join(hits, user, "left").na.fill({"hits": 0, "gain": 0.0})
+    joined = users.join(served, user).join(hits, [*by, user], "left").na.fill({"hits": 0, "gain": 0.0})
     return joined.select(
+        *by,
         user,
         "true_count",
         "hits",

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickgrain.operators import ranking
+from clickgrain.plans import together
 from clickgrain.session import park
 
 USER, ITEM, SCORE = "user_id_index", "product_id_index", "interaction_score"
@@ -23,15 +26,20 @@ FULL_GRID = {
 }
 
 
-def als(seed: int = 1, **params: float) -> ALS:
+def als(seed: int = 1, userCol: str = USER, itemCol: str = ITEM, ratingCol: str = SCORE, **params: float) -> ALS:
     return ALS(
-        userCol=USER, itemCol=ITEM, ratingCol=SCORE, implicitPrefs=True, coldStartStrategy="drop", seed=seed, **params
+        userCol=userCol, itemCol=itemCol, ratingCol=ratingCol, implicitPrefs=True, coldStartStrategy="drop", seed=seed, **params
     )
 
 
+def rated(rows: DataFrame) -> DataFrame:
+    """The interactions that carry a score, as ALS stops at a null."""
+    return rows.select(USER, ITEM, SCORE).filter(F.col(SCORE).isNotNull())
+
+
 def fit(train: DataFrame, **params: float) -> ALSModel:
-    """Every interaction row counts, repeats of a pair included."""
-    return als(**params).fit(train.select(USER, ITEM, SCORE))
+    """Every interaction row counts, repeats of a pair included; rows without a score are none."""
+    return als(**params).fit(rated(train))
 
 
 def recommend(model: ALSModel, count: int = 100) -> DataFrame:
@@ -39,36 +47,81 @@ def recommend(model: ALSModel, count: int = 100) -> DataFrame:
 
 
 def recommended_places(model: ALSModel, count: int) -> DataFrame:
-    places = ranking.as_places(recommend(model, count), USER, ITEM)
-    return places.withColumns({USER: F.col(USER).cast("double"), ITEM: F.col(ITEM).cast("double")})
+    return _places(recommend(model, count), model)
+
+
+def places_of(model: ALSModel, users: DataFrame, count: int) -> DataFrame:
+    """(user, item, place) for the users of one column alone; users without factors have none."""
+    return _places(model.recommendForUserSubset(users.distinct(), count), model)
+
+
+def _places(recommendations: DataFrame, model: ALSModel) -> DataFrame:
+    user, item = (model.getOrDefault(c) for c in ("userCol", "itemCol"))
+    places = ranking.as_places(recommendations, user, item)
+    return places.withColumns({user: F.col(user).cast("double"), item: F.col(item).cast("double")})
 
 
 def evaluate(test: DataFrame, model: ALSModel, k: int = 100, repeats: bool = False) -> DataFrame:
-    """One row: recall@k, precision@k and NDCG@k averaged over the users of both sides."""
+    """One row: recall@k, precision@k and NDCG@k averaged over the test users with factors."""
     truth = ranking.truth(test, USER, ITEM)
-    return ranking.mean_metrics(
-        ranking.user_metrics(truth, recommended_places(model, k), USER, ITEM, k, repeats)
-    )
+    places = places_of(model, truth.select(USER), k)
+    return ranking.mean_metrics(ranking.user_metrics(truth, places, USER, ITEM, k, repeats))
+
+
+def evaluate_all(truth: DataFrame, models: Mapping[int, ALSModel], k: int) -> dict[int, float]:
+    """Recall@k of several models in one job. ``truth`` (user, item, times) is a written table."""
+    users = truth.select(USER).distinct()
+    places = [places_of(model, users, k).withColumn("setting", F.lit(number)) for number, model in models.items()]
+    metrics = ranking.user_metrics(truth, reduce(DataFrame.unionByName, places), USER, ITEM, k, repeats=False, by=["setting"])
+    found = metrics.groupBy("setting").agg(F.avg("recall").alias("recall")).collect()  # one row per model
+    return {**dict.fromkeys(models, 0.0), **{r["setting"]: r["recall"] for r in found}}
+
+
+#: Ratings of a block of users or items. A fit shuffles blocks * blocks messages in each round.
+RATINGS_PER_BLOCK = 250_000
 
 
 def grid_search(
-    train: DataFrame, test: DataFrame, grid: Mapping[str, Sequence[float]] | None = None, k: int = 100
+    train: DataFrame,
+    test: DataFrame,
+    grid: Mapping[str, Sequence[float]] | None = None,
+    k: int = 100,
+    threads: int = together.THREADS,
+    batch: int = 12,
 ) -> DataFrame:
-    """One row per setting with its recall@k. Each fit is distributed; the inputs are written once."""
+    """One row per setting with its recall@k, numbered in the order of the grid.
+
+    Every fit is distributed, and ``threads`` of them run at a time; the inputs are written once. One
+    job evaluates the models of a ``batch`` for the users of the test table, while the next batch is
+    fitted; then the models are let go, so memory follows the batch and not the grid.
+    """
     grid = grid or FULL_GRID
-    ratings = park(train.select(USER, ITEM, SCORE), "ratings")
-    held_out = park(test.select(USER, ITEM), "held-out")
-    tried = []
-    for values in itertools.product(*grid.values()):
-        params = dict(zip(grid, values))
-        recall = evaluate(held_out, fit(ratings, **params), k).first()["avg_recall_at_k"]
-        tried.append((*[float(v) for v in values], float(recall or 0.0)))
+    ratings = park(rated(train), "ratings")
+    truth = park(ranking.truth(test, USER, ITEM), "held-out")
+    blocks = max(1, math.ceil(ratings.count() / RATINGS_PER_BLOCK))
+    settings = list(itertools.product(*grid.values()))
+    recalls: dict[int, float] = {}
+
+    def fit_one(values: tuple) -> ALSModel:
+        return fit(ratings, numUserBlocks=blocks, numItemBlocks=blocks, **dict(zip(grid, values)))
+
+    fitted: dict[int, ALSModel] = {}
+    for begin in range(0, len(settings) + batch, batch):
+        some = settings[begin : begin + batch]
+        calls = [partial(fit_one, values) for values in some]
+        if fitted:
+            calls.insert(0, partial(evaluate_all, truth, fitted, k))
+        done = together.run_together(train.sparkSession, calls, threads)
+        if fitted:
+            recalls |= done.pop(0)
+        fitted = dict(enumerate(done, begin))
+    tried = [(i, *[float(v) for v in values], float(recalls[i] or 0.0)) for i, values in enumerate(settings)]
     columns = ", ".join(f"{name} double" for name in grid)
-    return train.sparkSession.createDataFrame(tried, f"{columns}, recall double")
+    return train.sparkSession.createDataFrame(tried, f"setting int, {columns}, recall double")
 
 
 def best_setting(tried: DataFrame) -> DataFrame:
-    names = [c for c in tried.columns if c != "recall"]
-    return tried.agg(F.max_by(F.struct(*names), "recall").alias("best"), F.max("recall").alias("recall")).select(
-        "best.*", "recall"
-    )
+    """The setting with the highest recall, of equal ones the first in the order of the grid."""
+    names = [c for c in tried.columns if c not in ("recall", "setting")]
+    best = F.max_by(F.struct("setting", *names), F.struct("recall", -F.col("setting"))).alias("best")
+    return tried.agg(best, F.max("recall").alias("recall")).select("best.*", "recall")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from clickgrain.operators.ordered import Running, running
 from clickgrain.operators.skew import Hot, find_hot, left_join
+from clickgrain.session import park
 
 TIME = "event_timestamp"
 
@@ -267,14 +268,19 @@ def point_in_time(
 ) -> DataFrame:
     """An entity frame (time and keys) with the features of all views as they were at that time.
 
-    Pass written tables: both are read once per view. Views with few fields go first, as every scan
-    carries along what the earlier ones found.
+    Pass a written table: it is read once per view. Entities are written and numbered; what goes through
+    the scan of a view is their number, its keys and the time. The fields that each view found come back
+    to the entities by the number, so they are shuffled once, whatever the number of views.
     """
     columns = entities.columns
     keys = list(dict.fromkeys(key for view in views for key in view.keys))
     both = entities.select(*keys).unionByName(table.select(*keys))
     hot = find_hot(both, {view.name: view.keys for view in views}, min_rows=hot_rows)
-    found = entities
-    for view in sorted(views, key=lambda v: len(v.fields)):
-        found = as_of(found, project(view, table), view.keys, view.names, view.time, hot[view.name])
+    # Numbered in a table that is there already: a task that runs again gives the same numbers.
+    numbered = park(park(entities, "entities").withColumn("entity_row", F.monotonically_increasing_id()), "entities")
+    found = numbered
+    for view in views:
+        asked = numbered.select("entity_row", *view.keys, view.time)
+        fields = as_of(asked, project(view, table), view.keys, view.names, view.time, hot[view.name])
+        found = found.join(fields.drop(*view.keys, view.time), "entity_row")
     return found.select(*columns, *[f"`{n}`" for view in views for n in view.names])

@@ -5,36 +5,17 @@ The rules, including the faults seeded for the cleaning steps, are listed in FIX
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_EVERY_EVENT: ContextVar[bool] = ContextVar("every_event", default=False)
-
-
-@contextmanager
-def every_event() -> Iterator[None]:
-    """Within it, ``event_log`` keeps the signups."""
-    token = _EVERY_EVENT.set(True)
-    try:
-        yield
-    finally:
-        _EVERY_EVENT.reset(token)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str, signups: bool = False) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    if not (signups or _EVERY_EVENT.get()):
-        events = events.filter(F.col("event_type") != "signup")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     at = F.col("ts").cast("timestamp")
     user = F.col("user_id").cast("string")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from clickgrain.functions import REMOVAL
@@ -60,3 +63,41 @@ def write_manifest(log: DataFrame, path: str, target: str) -> None:
         .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
         .json(path)
     )
+
+
+@dataclass(frozen=True)
+class IngestRun:
+    """What one run has loaded. Times are UTC."""
+
+    started: datetime.datetime
+    ended: datetime.datetime
+    seconds: float
+    files: int
+    rows: int
+    first_event: datetime.datetime | None
+    last_event: datetime.datetime | None
+    source: str
+    target: str
+
+
+def ingest(spark: SparkSession, csv_paths: str | list[str], path: str, manifest: str) -> IngestRun:
+    """Loads CSV files into the Parquet log and appends a row about the run to the table ``manifest``.
+
+    Rows and event bounds are observed while the log is written, so nothing is read twice; the files are
+    those of the scan. A manifest row is only there when the log has been written to its end. A task
+    that runs again is counted once.
+    """
+    log = read_csv_log(spark, csv_paths)
+    seen = Observation("ingest")
+    bounds = [F.min("event_time").alias("first_event"), F.max("event_time").alias("last_event")]
+    started = datetime.datetime.now(datetime.timezone.utc)
+    write_parquet(log.observe(seen, F.count(F.lit(1)).alias("rows"), *bounds), path)
+    ended = datetime.datetime.now(datetime.timezone.utc)
+    found = seen.get
+    source = csv_paths if isinstance(csv_paths, str) else ",".join(csv_paths)
+    run = IngestRun(
+        started, ended, (ended - started).total_seconds(), len(log.inputFiles()), found["rows"], found["first_event"], found["last_event"], source, path
+    )
+    schema = "started timestamp, ended timestamp, seconds double, files int, rows long, first_event timestamp, last_event timestamp, source string, target string"
+    spark.createDataFrame([tuple(asdict(run).values())], schema).write.mode("append").parquet(manifest)
+    return run
