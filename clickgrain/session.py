@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,8 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+SHUFFLES_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_folder: str | None = None
 
 
@@ -51,10 +55,33 @@ def park(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     and not the whole history; later steps also prune columns in the scan.
     """
     target = path or new_folder(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(target)
+    with _shuffles_freed(df.sparkSession):
+        df.write.mode("overwrite").parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Executions begun within it delete their shuffle files at their end: nothing goes on from them."""
+    before = spark.conf.get(SHUFFLES_FREED, "false")
+    spark.conf.set(SHUFFLES_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_FREED, before)
+
+
+def discard(parked: DataFrame) -> None:
+    """Deletes a parked table. Call it when all that was made of it has been written."""
+    spark, files = parked.sparkSession, parked.inputFiles()
+    folders = {f.rpartition("/")[0] for f in files}
+    for folder in folders:
+        if f"/clickgrain/{spark.sparkContext.applicationId}/" not in folder:
+            raise ValueError(f"{folder} is not a parked table of this application")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own below the work folder, under the name of the application."""
     return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
