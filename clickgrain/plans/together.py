@@ -50,6 +50,9 @@ def run_together(spark: SparkSession, calls: Sequence[Callable[[], T]], threads:
         if failed is not None:
             for future in waiting:
                 future.cancel()
-            context.cancelJobsWithTag(tag)
+            # Again and again: a call that is under way may begin another job.
+            while any(not future.done() for future in running):
+                context.cancelJobsWithTag(tag)
+                wait(running, timeout=0.2)
             raise failed.exception()
     return [future.result() for future in running]

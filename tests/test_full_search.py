@@ -1,36 +1,98 @@
-"""The evaluator and the grid search run the whole job: every setting, at k = 100."""
+"""The evaluator and the grid search: real fits on the small tables, and the jobs they run together."""
 
 import itertools
+import threading
+import time
 
-from clickgrain.catalog import QUERIES
-from clickgrain.plans import recommend
+import pytest
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
+from pyspark.sql import functions as F
 
+from clickgrain.catalog.learning import ratings
+from clickgrain.plans import recommend, tuning
+from clickgrain.plans.together import run_together
 
-class Score:
-    def __init__(self, recall):
-        self.recall = recall
 
-    def first(self):
-        return {"avg_recall_at_k": self.recall}
+@pytest.fixture(scope="module")
+def data(spark, sf_dir):
+    return ratings(spark, sf_dir)
 
 
-def test_grid_search_tries_every_setting(spark, sf_dir, monkeypatch):
-    """Fits are replaced, as 144 of them take long; the settings tried and k are what counts."""
-    fits, ks = [], []
-    monkeypatch.setattr(recommend, "fit", lambda train, **params: fits.append(params) or params)
-    monkeypatch.setattr(recommend, "evaluate", lambda test, model, k=0, repeats=False: ks.append(k) or Score(model["rank"] / 100 + model["maxIter"] / 1000 - model["regParam"] + model["alpha"] / 1e6))
-    rows = QUERIES["rc11_grid_search"](spark, sf_dir).collect()
-    wanted = set(itertools.product((20, 30, 50), (5, 10, 15, 20), (0.01, 0.001, 0.1), (40.0, 60.0, 100.0, 200.0)))
-    assert {(f["rank"], f["maxIter"], f["regParam"], f["alpha"]) for f in fits} == wanted and len(fits) == len(rows) == 144
-    assert set(ks) == {100}
-    assert [(r.rank, r.maxIter, r.regParam, r.alpha) for r in rows if r.best] == [(50, 20, 0.001, 200)]
+def test_grid_search_equals_one_fit_after_the_other(data):
+    grid = {"rank": (2, 5), "maxIter": (1, 3), "regParam": (0.1,), "alpha": (1.0, 40.0)}
+    tried = recommend.grid_search(data["train"], data["test"], grid, k=5, threads=3, batch=3).orderBy("setting").collect()
+    assert [(r.rank, r.maxIter, r.regParam, r.alpha) for r in tried] == list(itertools.product(*grid.values()))
+    for r in tried:
+        model = recommend.fit(data["train"], rank=int(r.rank), maxIter=int(r.maxIter), regParam=r.regParam, alpha=r.alpha, numUserBlocks=1, numItemBlocks=1)
+        assert r.recall == pytest.approx(recommend.evaluate(data["test"], model, 5).first()["avg_recall_at_k"])
 
 
-def test_evaluator_takes_a_hundred_items(spark, sf_dir, monkeypatch):
-    seen = []
-    kept = recommend.evaluate
-    monkeypatch.setattr(recommend, "evaluate", lambda test, model, k=100, repeats=False: seen.append((model.rank, k)) or kept(test, model, k, repeats))
-    score = QUERIES["rc10_evaluator"](spark, sf_dir).first()
-    assert seen == [(10, 100)]
-    # The small tables have 100 products, so that a list of 100 leaves no known one out.
-    assert score["avg_recall_at_k"] > 0.9
+def test_best_setting_is_the_first_of_equal_ones(spark):
+    tried = spark.createDataFrame([(0, 5.0, 0.1), (1, 6.0, 0.7), (2, 7.0, 0.7), (3, 8.0, 0.2)], "setting int, rank double, recall double")
+    assert tuple(recommend.best_setting(tried).first()) == (1, 6.0, 0.7)
+
+
+def test_full_grid_has_144_settings():
+    assert len(list(itertools.product(*recommend.FULL_GRID.values()))) == 144
+
+
+def test_evaluator_equals_the_joins(data):
+    for k in (3, 100):
+        ranked = tuning.RankingALS(k=k, rank=4, maxIter=2).fit(data["train"])
+        recall = tuning.RecallAtK(k=k).evaluate(ranked.transform(data["test"]))
+        assert recall == pytest.approx(recommend.evaluate(data["test"], ranked.fitted, k).first()["avg_recall_at_k"])
+
+
+def test_evaluator_against_hand_made_places(spark):
+    rows = [(1.0, 1.0, 1), (1.0, 1.0, 1), (1.0, 2.0, None), (1.0, None, None), (2.0, 5.0, 3), (2.0, 6.0, 2), (3.0, 9.0, None)]
+    frame = spark.createDataFrame(rows, f"{recommend.USER} double, {recommend.ITEM} double, place int")
+    assert tuning.RecallAtK(k=3).evaluate(frame) == pytest.approx((0.5 + 1 + 0) / 3)
+    assert tuning.RecallAtK(k=2).evaluate(frame) == pytest.approx((0.5 + 0.5 + 0) / 3)
+    assert tuning.RecallAtK(k=2).evaluate(frame.limit(0)) == 0 and tuning.RecallAtK().isLargerBetter()
+
+
+def test_tuning_with_spark_and_saving(data, tmp_path):
+    ranking = tuning.RankingALS(k=5, maxIter=2)
+    grid = ParamGridBuilder().addGrid(ranking.rank, [2, 4]).build()
+    split = TrainValidationSplit(estimator=ranking, estimatorParamMaps=grid, evaluator=tuning.RecallAtK(k=5), trainRatio=0.7, seed=3, parallelism=2)
+    model = split.fit(data["train"])
+    assert len(model.validationMetrics) == 2 and model.bestModel.getOrDefault("rank") in (2, 4)
+    model.write().overwrite().save(str(tmp_path / "split"))
+    again = TrainValidationSplitModel.load(str(tmp_path / "split"))
+    assert again.validationMetrics == model.validationMetrics and again.getEvaluator().getOrDefault("k") == 5
+    rows = [sorted(map(str, m.transform(data["test"]).collect())) for m in (model, again)]
+    assert rows[0] == rows[1]
+    assert again.bestModel.transform(data["test"]).filter(F.col("place") > 5).count() == 0
+
+
+def test_jobs_run_together_and_keep_their_order(spark):
+    most, now, lock = [0], [0], threading.Lock()
+
+    def job(i):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        found = spark.range(1000 * (i + 1)).agg(F.sum("id")).first()[0]
+        with lock:
+            now[0] -= 1
+        return found
+
+    made = run_together(spark, [lambda i=i: job(i) for i in range(12)], threads=3)
+    assert made == [sum(range(1000 * (i + 1))) for i in range(12)] and 1 <= most[0] <= 3
+    assert run_together(spark, []) == []
+
+
+def test_a_failure_cancels_the_other_jobs(spark):
+    def slow():
+        rows = spark.range(0, 8, 1, 8).select(F.udf(lambda x: time.sleep(15) or x, "long")("id").alias("x"))
+        return rows.agg(F.sum("x")).first()
+
+    def fails():
+        time.sleep(3)
+        raise KeyError("this one")
+
+    begun = time.time()
+    with pytest.raises(KeyError, match="this one"):
+        run_together(spark, [slow, fails, slow, slow], threads=2)
+    assert time.time() - begun < 40
+    assert spark.range(5).count() == 5
