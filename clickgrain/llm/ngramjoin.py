@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from clickgrain.llm.components import components
 from clickgrain.llm.samples import aside
-from clickgrain.llm.urlrules import _bits, build_filter
+from clickgrain.llm.urlrules import _bits, build_filter, may_hold
 from clickgrain.llm.words import U, lists, mix, sequence_hash, sequence_sums, signed, window_hashes, word_hashes, words
-from clickgrain.session import park
+from clickgrain.session import discard, park
 
 GROWTH = 1.5
 RARE = 1e-6
@@ -287,7 +287,12 @@ class Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Compares the sets of ``pairs`` (a, b) and joins the components of linked ones."""
-        linked = park(verified(pairs.select("a", "b"), self.members, self.percent), "linked")
+        pairs = pairs.select("a", "b")
+        names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
+        # Only the sets of these pairs are shuffled, besides a few that the filter lets through.
+        filled = build_filter(names, "name")
+        needed = self.members.filter(may_hold(pairs.sparkSession, filled, F.col("name")))
+        linked = park(verified(pairs, needed, self.percent), "linked")
         if linked.isEmpty():
             return
         raised = components(self.apart(linked).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
@@ -408,6 +413,8 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labelled = links.labelled(classes.select("name", "least"), "name", "label")
     roots = labelled.groupBy("label").agg(F.min("least").alias("root"))
     named = park(labelled.join(roots, "label").select(F.col("name").alias("c_name"), "root"), "roots")
+    for superseded in (keys, shared, links.members):
+        discard(superseded)
     joined = sets.select("doc_id", "n_shingles", "name").join(named, F.col("name") == F.col("c_name"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), "name")
