@@ -119,7 +119,8 @@ def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     spark = docs.sparkSession
     # Taken from the text before the explode, which would take it along and hash it for every line.
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), long_keys(F.col("text"), least).alias("keys"))
-    each = texts.select("doc_id", "text_hash", F.explode("keys").alias("key")).withColumn("hash", F.xxhash64("key"))
+    # Outer, as Spark would test the others for empty lists first and make all keys twice for it.
+    each = texts.select("doc_id", "text_hash", F.explode_outer("keys").alias("key")).filter("key IS NOT NULL").withColumn("hash", F.xxhash64("key"))
     suspects = park(each.filter(may_hold(spark, twice_seen(docs, least), F.col("hash"))), "suspects")
     held = suspects.groupBy("hash", "key").agg(
         F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named")
