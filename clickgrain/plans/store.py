@@ -189,10 +189,22 @@ def materialise(table: DataFrame, path: str, views: Sequence[FeatureView] = VIEW
     """The latest tables of all views as Parquet; returns the folder per view."""
     folders = {view.name: f"{path}/{view.name}" for view in views}
     for view in views:
-        latest(table, view, months).write.mode("overwrite").parquet(folders[view.name])
+        write_for_lookup(latest(table, view, months), view, folders[view.name])
     return folders
 
 
+def write_for_lookup(rows: DataFrame, view: FeatureView, path: str) -> None:
+    """Writes one row per key so that a lookup of a few keys reads a few row groups.
+
+    Files hold ranges of the first key and are sorted by the keys, so the bounds in the footers rule out
+    all row groups but about one a key; Bloom filters do the same for the other keys of a view.
+    """
+    ordered = rows.repartitionByRange(*view.keys).sortWithinPartitions(*view.keys).write.mode("overwrite")
+    for key in view.keys:
+        ordered = ordered.option(f"parquet.bloom.filter.enabled#{key}", "true")
+    ordered.parquet(path)
+
+
 def lookup(
     keys: DataFrame,
     tables: Mapping[str, DataFrame],
