@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ RARE = 1e-6
 SKETCH = 512
 PER_TASK = 256
 CENTRES = 16
+#: Pairs are verified in rounds, so that the sets under way fill no more than a part of the disk.
+PAIRS_PER_ROUND = 25_000
+MOST_ROUNDS = 8
 
 
 def _log_choose(m: int, d: int) -> float:
@@ -287,12 +291,16 @@ class Links:
 
     def test(self, pairs: DataFrame) -> None:
         """Compares the sets of ``pairs`` (a, b) and joins the components of linked ones."""
-        pairs = pairs.select("a", "b")
-        names = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
-        # Only the sets of these pairs are shuffled, besides a few that the filter lets through.
-        filled = build_filter(names, "name")
-        needed = self.members.filter(may_hold(pairs.sparkSession, filled, F.col("name")))
-        linked = park(verified(pairs, needed, self.percent), "linked")
+        pairs, spark = pairs.select("a", "b"), pairs.sparkSession
+        rounds = min(MOST_ROUNDS, max(1, math.ceil(pairs.count() / PAIRS_PER_ROUND)))
+        parts = []
+        for i in range(rounds):  # Shuffled sets of one round are deleted before the next.
+            some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(rounds)) == i)
+            names = some.select(F.col("a").alias("name")).unionByName(some.select(F.col("b").alias("name"))).distinct()
+            # Only the sets of these pairs are shuffled, besides a few that the filter lets through.
+            needed = self.members.filter(may_hold(spark, build_filter(names, "name"), F.col("name")))
+            parts.append(park(verified(some, needed, self.percent), "linked"))
+        linked = reduce(DataFrame.unionByName, parts)
         if linked.isEmpty():
             return
         raised = components(self.apart(linked).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")))
