@@ -7,9 +7,9 @@ at once. Nothing is sorted or collected; the driver sees one row per node and le
 
 Dimensions are language, source and size, each spread over 20 bits (names by their CRC, sizes by
 their logarithm). The other 40 bits of a key are a hash of the text, so a cut inside one value is
-still exact, and equal texts stay in one shard. A group of equal texts that is heavier than
-``1/SPLIT`` of a shard is dealt over parts of that weight by doc_id, so hot groups do not unbalance
-the shards.
+still exact, and equal texts stay in one shard. Only a group of equal texts that is heavier than a
+shard, which no shard can hold whole, is dealt over parts of ``1/SPLIT`` of a shard by doc_id. Sizes
+are equal up to the heaviest group near a cut.
 
 Nulls: a null text has no bytes (size 1), a null language or source is a value of its own. Rows
 repeated exactly are kept. Without rows the result is empty.
@@ -52,11 +52,11 @@ def shard_table(docs: DataFrame, shards: int | None = None, target_bytes: int |
     )
     total = base.agg(F.sum("size")).first()[0] or 0
     shards = shards or max(1, -(-total // (target_bytes or 1 << 30)))
-    limit = max(1, total // shards // SPLIT)
+    whole = max(1, -(-total // shards))
     groups = base.groupBy("h1", "h2").agg(F.sum("size").alias("weight"), F.min("lang").alias("g_lang"), F.min("source").alias("g_source"))
     joined = base.join(groups, ["h1", "h2"])
-    parts = F.ceil(F.col("weight") / F.lit(limit))
-    part = F.when(parts > 1, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0)
+    parts = F.ceil(F.col("weight") * SPLIT / F.lit(whole))
+    part = F.when(F.col("weight") > whole, F.pmod(F.xxhash64("doc_id"), parts)).otherwise(0)
     unit = F.shiftrightunsigned(F.xxhash64("h1", "h2", part), 64 - HASH_BITS)
     values = {
         "lang": _named("g_lang"),
