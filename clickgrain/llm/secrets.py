@@ -9,8 +9,11 @@ holds at least two kinds of characters is a span of kind ``guess``.
 Texts are scanned in map tasks without a shuffle. Bytes decide which texts can hold a credential word,
 so the expressions only run on those. Offsets are code points, ends exclusive.
 
-Nulls: a null text is empty. Segments are at most ``LONGEST`` characters long, so the cost of a very
-long value grows in proportion to its length; brute force spans join to cover any length.
+Repeats and walks have any length: they start anywhere and end where they cannot go on (walks also
+after ``SHORT_WALK`` characters or fewer). How far they go is known for all characters from one pass
+from the end, so the time for a very long value grows in proportion to its length.
+
+Nulls: a null text is empty. Rows repeated exactly are scanned each; without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -42,7 +45,7 @@ HEX = np.zeros(256, bool)
 HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
 LEAST_COST = 10.0
-LONGEST = 32
+SHORT_WALK = 32
 COMMON = (
     "password", "passwd", "qwerty", "letmein", "welcome", "admin", "administrator", "login", "master", "monkey", "dragon", "football", "baseball",
     "iloveyou", "sunshine", "princess", "shadow", "superman", "batman", "trustno", "secret", "token", "change", "changeme", "default", "example",
@@ -51,6 +54,8 @@ COMMON = (
     "service", "system", "manager", "internet", "computer", "pass", "word", "key", "api", "your", "none", "null", "true", "false", "undefined", "here",
 )
 RANK = {word: i + 1 for i, word in enumerate(COMMON)}
+LONGEST_WORD = max(map(len, COMMON))
+BLOCKS = (1, 2, 3, 4)
 LEET = str.maketrans("4301$57@", "aeoissta")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 PLACES = {c: (y, x + y / 2) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -76,12 +81,24 @@ def guess_cost(value: str) -> float:
     plain = low.translate(LEET)
     n = len(value)
     best = [0.0] + [math.inf] * n
+    # The walk from i reaches walks[i]; turned[i] counts changes of the keyboard row up to character i.
+    # The characters from i on that equal the ones a block later are same[block][i].
+    walks, turned = list(range(1, n + 1)), [0] * n
+    same = {block: [0] * (n + 1) for block in BLOCKS}
+    for i in range(n - 2, -1, -1):
+        if _near(low[i], low[i + 1]):
+            walks[i] = walks[i + 1]
+        for block in BLOCKS:
+            if i + block < n and low[i] == low[i + block]:
+                same[block][i] = same[block][i + 1] + 1
+    for i in range(1, n):
+        turned[i] = turned[i - 1] + (PLACES.get(low[i], (0,))[0] != PLACES.get(low[i - 1], (0,))[0])
     # A brute force span is paid character by character; each other segment also pays for being chosen.
     for i in range(n):
         here = best[i]
         best[i + 1] = min(best[i + 1], here + _brute(value[i]))
         here += 0.3
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
+        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             rank = RANK.get(plain[i:j])
             if rank:
                 cost = math.log10(rank + 1) + 0.3 * (plain[i:j] != low[i:j]) + 0.3 * (value[i:j] != low[i:j])
@@ -90,19 +107,14 @@ def guess_cost(value: str) -> float:
         if found:
             j = found.end()
             best[j] = min(best[j], here + (LOG_YEAR if j - i == 4 else LOG_DAY))
-        j, turns = i + 1, 0
-        while j < min(n, i + LONGEST) and _near(low[j - 1], low[j]):
-            turns += j - i >= 2 and PLACES[low[j]][0] != PLACES[low[j - 1]][0]
-            j += 1
+        for j in {*range(i + 3, min(walks[i], i + SHORT_WALK) + 1), walks[i]}:
             if j - i >= 3:
-                best[j] = min(best[j], here + math.log10(47 * (j - i)) + 0.6 * turns)
-        for block in (1, 2, 3, 4):
-            unit = low[i : i + block]
-            j = i + block
-            while len(unit) == block and j - i < LONGEST and low[j : j + block] == unit:
-                j += block
-            if j > i + block and j - i >= 3:
-                cost = sum(_brute(c) for c in unit) + math.log10((j - i) // block)
+                best[j] = min(best[j], here + math.log10(47 * (j - i)) + 0.6 * (turned[j - 1] - turned[i + 1]))
+        for block in BLOCKS:
+            times = 1 + same[block][i] // block
+            j = i + times * block
+            if times > 1 and j - i >= 3:
+                cost = sum(_brute(c) for c in low[i : i + block]) + math.log10(times)
                 best[j] = min(best[j], here + cost)
     return best[n]
 
