@@ -190,10 +190,16 @@ def fit(texts: list[str], languages: list[str], per_text: int = 8, epochs: int =
 
 
 def train(docs: DataFrame, allowed: Column | None = None, per_language: int = 300, max_chars: int = 20_000, **options) -> Network:
-    """Fits on a sample of the documents (doc_id, text, lang) that are ``allowed``."""
+    """Fits on a sample of the documents (doc_id, text, lang) that are ``allowed``.
+
+    Rows are drawn by id and text, and equal ones count once, so null or repeated ids neither come
+    together nor fill the driver. Without rows to learn from, all predictions are ``und``. Of
+    languages with equal probabilities the first by name is taken.
+    """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     known = (known.filter(allowed) if allowed is not None else known).select("doc_id", "text", "lang")
-    rows = share_of_values(known, "lang", "doc_id", per_language).toPandas().sort_values("doc_id", kind="stable")
+    drawn = share_of_values(known, "lang", ("doc_id", "text"), per_language).select("doc_id", "text", "lang").distinct()
+    rows = drawn.toPandas().sort_values(["doc_id", "text", "lang"], kind="stable")
     return fit(rows["text"].tolist(), rows["lang"].tolist(), **options)
 
 

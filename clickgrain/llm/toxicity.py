@@ -183,10 +183,15 @@ def distinct_texts(codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return keep
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Model:
-    """Trains on labelled texts by gradient ascent (Adam) on the chains' log likelihood."""
+def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: float = 0.25, decay: float = 1e-3, weights_of_rows: list[float] | None = None) -> Model:
+    """Trains on labelled texts by gradient ascent (Adam) on the chains' log likelihood.
+
+    ``weights_of_rows`` say how many labelled documents each text stands for. The curve that turns
+    marginals into scores is fitted with them, so scores do not move with the share of the sample.
+    """
     toxic = np.array(labels, bool)
-    share = float(toxic.mean()) if toxic.size else 0.0
+    stands_for = np.ones(toxic.size) if weights_of_rows is None else np.array(weights_of_rows, float)
+    share = float(np.average(toxic, weights=stands_for)) if toxic.size else 0.0
     size = 1 << TABLE_BITS
     model = Model(np.zeros(size, np.float32), np.zeros(size, np.uint32), np.zeros((2, 2)), 0.0, np.zeros(3))
     if share in (0.0, 1.0):
@@ -244,33 +249,39 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 60, rate: floa
     final = chains.spread(np.exp(emissions(model, hashes)))
     forward, backward = forward_backward(final, chains.valid, model.transitions, model.start)
     word_odds = np.log(np.maximum((forward * backward)[chains.step, chains.lane], 1e-300))
-    model.curve = _logistic(summaries(word_odds, first), toxic.astype(float))
+    model.curve = _logistic(summaries(word_odds, first), toxic.astype(float), stands_for / stands_for.mean())
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, decay: float = 1.0) -> np.ndarray:
-    """Logistic regression with intercept by Newton steps; only the slopes are held small."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, decay: float = 1.0) -> np.ndarray:
+    """Weighted logistic regression with intercept by Newton steps; only the slopes are held small."""
     x = np.column_stack([np.ones(len(x)), x])
     held = decay * np.diag(np.r_[1e-3, np.ones(x.shape[1] - 1)])
     beta = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (y - p) - held @ beta
-        bend = (x * (p * (1 - p))[:, None]).T @ x + held
+        slope = x.T @ (weights * (y - p)) - held @ beta
+        bend = (x * (weights * p * (1 - p))[:, None]).T @ x + held
         step = np.linalg.solve(bend, slope)
         beta = beta + step * min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
     return beta
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, per_class: int = 800, max_chars: int = 6_000) -> Model:
-    """Fits on a sample of the labelled documents (doc_id, text; doc_id, toxic) that are ``allowed``."""
+    """Fits on a sample of the labelled documents (doc_id, text; doc_id, toxic) that are ``allowed``.
+
+    A sampled document stands for as many labelled ones as its class has for each of its sample. Where
+    ids repeat, labels and texts are taken once per id: the larger label, the first text by order.
+    """
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(allowed) if allowed is not None else known
-    chosen = share_of_values(known, "toxic", "doc_id", per_class).select(F.col("doc_id").alias("labelled"), "toxic")
+    chosen = share_of_values(known, "toxic", ("doc_id",), per_class).select(F.col("doc_id").alias("labelled"), "toxic", "n_value")
     short = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
     # About 2 * per_class ids, so no text but the sample's leaves the scan.
-    rows = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic").toPandas().sort_values("doc_id", kind="stable")
-    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist())
+    drawn = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled")).groupBy("doc_id", "toxic", "n_value").agg(F.min("text").alias("text"))
+    rows = drawn.toPandas().sort_values("doc_id", kind="stable")
+    stands_for = rows["n_value"] / rows.groupby("toxic")["toxic"].transform("size")
+    return fit(rows["text"].tolist(), rows["toxic"].astype(int).tolist(), weights_of_rows=stands_for.tolist())
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
