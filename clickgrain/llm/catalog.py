@@ -12,7 +12,7 @@ from clickgrain.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Queries over pages besides op3_url_filter, and their SQL. Apart, as the ones above give a row a document.
+#: The query over pages and its SQL. Apart, as the ones above give a row a document.
 PAGE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 PAGE_ORACLES: dict[str, str] = {}
 
@@ -37,25 +37,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op3_url_filter", urlrules.SQL)
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four rules, and the listed hosts' URLs where no rule fits."""
-    pages = table(spark, sf_dir, "pages")
-    listed = urlrules.hosts_with_label(pages, urlrules.LISTED_LABELS)
-    judged = urlrules.filter_pages(pages, urlrules.rule_table(spark, urlrules.RULES), listed)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
-
-
-def op3_url_filter_any_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same rules, and the URLs of hosts with a bad label anywhere, listed from that label on."""
+    """Four rules; where none fits, the URLs of hosts with a bad label anywhere, listed from that label on."""
     pages = table(spark, sf_dir, "pages")
     listed = urlrules.hosts_below_label(pages, urlrules.BAD_LABELS)
     judged = urlrules.filter_pages(pages, urlrules.rule_table(spark, urlrules.RULES), listed)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
-PAGE_QUERIES["op3_url_filter_any_label"] = op3_url_filter_any_label
-PAGE_ORACLES["op3_url_filter_any_label"] = urlrules.SQL_ANY_LABEL
+PAGE_QUERIES["op3_url_filter"] = op3_url_filter
+PAGE_ORACLES["op3_url_filter"] = urlrules.SQL
 
 
 @query("op5_kd_sharding")

@@ -96,38 +96,52 @@ def may_hold(spark: SparkSession, filled: np.ndarray, hashes: Column) -> Column:
     return test(hashes)
 
 
-def judge(urls: DataFrame, listed: DataFrame) -> DataFrame:
-    """``urls`` (url) against ``listed`` (host, path, verdict): one row per distinct non-null URL.
+def _found(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """Per distinct non-null URL of ``urls``: url, host, path and the best entry of each kind of ``listed``.
 
-    Columns: url, host, path, rule, verdict; the last two are null where no entry fits. The entry with
-    the longest text wins, of those as long the one with the longer host. Listed twice with different
-    verdicts, the smaller verdict counts.
+    ``listed`` has host, path, verdict and kind; ``best`` maps a kind to n, n_host, rule and verdict of
+    its longest fitting entry. Keys are made only for host and path lengths that entries have, so a URL
+    of any length makes no more keys than there are pairs of such lengths.
     """
     spark = urls.sparkSession
-    entries = listed.filter(F.col("host").isNotNull()).groupBy(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"))
+    entries = listed.filter(F.col("host").isNotNull()).groupBy(lower_ascii(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "kind")
     entries = entries.agg(F.min("verdict").alias("verdict"))
-    entries = park(entries.select(F.concat("host", "path").alias("rule"), F.length("host").alias("n_host"), "verdict", F.xxhash64("host", "path").alias("hash"), F.length("path").alias("n_path")), "listed")
-    # One number per path length: no more than the longest listed path has characters.
-    lengths = [r[0] for r in entries.select("n_path").distinct().collect()]
+    sizes = (F.length("host").alias("n_host"), F.length("path").alias("n_path"))
+    entries = park(entries.select(F.concat("host", "path").alias("rule"), "verdict", "kind", F.xxhash64("host", "path").alias("hash"), *sizes), "listed")
+    # One number per length: no more than the longest listed host and path have characters.
+    hosts, paths = ([r[0] for r in entries.select(n).distinct().collect()] for n in ("n_host", "n_path"))
     distinct = urls.filter(F.col("url").isNotNull()).select("url").distinct()
     split = distinct.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if not lengths:
-        return split.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    if not hosts:
+        return split.withColumn("best", F.lit(None).cast("map<string, struct<n: int, n_host: int, rule: string, verdict: string>>"))
     filled = build_filter(entries)
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    whole = F.length("host") == F.col("n_suffix")
     keys = (
         split.filter(F.col("host") != "")
-        .select("url", "path", F.explode(suffixes).alias("suffix"))
-        .select("url", "suffix", "path", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("n"))
+        .select("url", "host", "path", F.explode(F.array(*[F.lit(n) for n in hosts])).alias("n_suffix"))
+        .filter(whole | F.expr("length(host) > n_suffix AND substring(host, length(host) - n_suffix, 1) = '.'"))
+        .select("url", "path", "n_suffix", F.expr("right(host, n_suffix)").alias("suffix"))
+        .select("url", "suffix", "n_suffix", "path", F.explode(F.array(*[F.lit(n) for n in paths])).alias("n"))
         .filter(F.length("path") >= F.col("n"))
         .withColumn("prefix", F.expr("left(path, n)"))
-        .select("url", F.concat("suffix", "prefix").alias("text"), F.length("suffix").alias("n_suffix"), F.xxhash64("suffix", "prefix").alias("key"))
+        .select("url", F.concat("suffix", "prefix").alias("text"), "n_suffix", F.xxhash64("suffix", "prefix").alias("key"))
     )
     passed = keys.filter(may_hold(spark, filled, F.col("key")))
     exact = passed.join(entries, (F.col("key") == F.col("hash")) & (F.col("text") == F.col("rule")) & (F.col("n_suffix") == F.col("n_host")))
-    best = exact.groupBy(F.col("url").alias("judged")).agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "rule", "verdict")).alias("best"))
-    return split.join(best, F.col("url") == F.col("judged"), "left").select("url", "host", "path", "best.rule", "best.verdict")
+    best = exact.groupBy(F.col("url").alias("judged"), "kind").agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "rule", "verdict")).alias("top"))
+    best = best.groupBy("judged").agg(F.map_from_entries(F.collect_list(F.struct("kind", "top"))).alias("best"))
+    return split.join(best, F.col("url") == F.col("judged"), "left").select("url", "host", "path", "best")
+
+
+def judge(urls: DataFrame, listed: DataFrame) -> DataFrame:
+    """``urls`` (url) against ``listed`` (host, path, verdict): one row per distinct non-null URL.
+
+    Columns: url, host, path, rule, verdict; the last two are null where no entry fits. The entry with
+    the longest text wins, of those as long the one with the longer host. Listed twice with different
+    verdicts, the smaller verdict counts.
+    """
+    found = _found(urls, listed.select("host", "path", "verdict", F.lit("rule").alias("kind")))
+    return found.select("url", "host", "path", F.col("best")["rule"]["rule"].alias("rule"), F.col("best")["rule"]["verdict"].alias("verdict"))
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFrame:
@@ -136,12 +150,6 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str]]) -> DataFra
     return spark.createDataFrame(rows, "host string, path string, verdict string")
 
 
-def hosts_with_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Listed URLs from a table of pages: canonical form (host, path) of those whose first host label is listed."""
-    named = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    return named.filter(F.substring_index("host", ".", 1).isin(*labels)).distinct()
-
-
 def hosts_below_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Listed URLs from a table of pages: (host, path) of those with a listed label anywhere in the host.
 
@@ -149,8 +157,9 @@ def hosts_below_label(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
     the entry. A host with several listed labels makes an entry for each.
     """
     named = pages.select(F.split(host_of(F.col("url")), r"\.", -1).alias("labels"), path_of(F.col("url")).alias("path"))
-    each = named.select("labels", "path", F.posexplode("labels").alias("i", "label")).filter(F.col("label").isin(*labels))
-    return each.select(F.array_join(F.slice("labels", F.col("i") + 1, F.size("labels")), ".").alias("host"), "path").distinct()
+    places = F.filter(F.transform("labels", lambda label, i: F.when(label.isin(*labels), i + 1)), lambda i: i.isNotNull())
+    each = named.select("labels", "path", F.explode(places).alias("i"))
+    return each.select(F.array_join(F.slice("labels", F.col("i"), F.size("labels")), ".").alias("host"), "path").distinct()
 
 
 def filter_pages(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
@@ -160,11 +169,11 @@ def filter_pages(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataF
     URLs, without query and fragment, and what lies below them) is blocked and every other allowed.
     Rules and list share one filter: a listed URL is an entry whose verdict is ``listed``.
     """
-    marked = listed.select("host", "path", F.lit("listed").alias("verdict"))
+    entries = rules.select("host", "path", "verdict", F.lit("rule").alias("kind"))
+    entries = entries.unionByName(listed.select("host", "path", F.lit("listed").alias("verdict"), F.lit("list").alias("kind")))
     pages = pages.select("page_id", "url")
-    by_rule = judge(pages, rules).select(F.col("url").alias("r_url"), "rule", F.col("verdict").alias("r_verdict"))
-    by_list = judge(pages, marked).select(F.col("url").alias("l_url"), F.col("rule").alias("listed_url"))
-    found = by_rule.join(by_list, F.col("r_url") == F.col("l_url"))
+    rule, entry = F.col("best")["rule"], F.col("best")["list"]
+    found = _found(pages, entries).select(F.col("url").alias("r_url"), rule["rule"].alias("rule"), rule["verdict"].alias("r_verdict"), entry["rule"].alias("listed_url"))
     verdict = F.coalesce("r_verdict", F.when(F.col("listed_url").isNotNull(), "block").otherwise("allow"))
     joined = pages.join(found, F.col("url") == F.col("r_url"), "left")
     return joined.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule", "listed_url", verdict.alias("verdict"))
@@ -172,8 +181,6 @@ def filter_pages(pages: DataFrame, rules: DataFrame, listed: DataFrame) -> DataF
 
 #: The rules of the query. Fixed values.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: First host labels whose pages are listed for blocking.
-LISTED_LABELS = ("free-bets", "adult-x")
 #: Labels whose pages are listed for blocking wherever they stand in the host.
 BAD_LABELS = ("free-bets", "adult-x", "casino-win")
 
@@ -184,26 +191,6 @@ split AS (
   SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
-listed AS (SELECT DISTINCT host, path FROM split WHERE split_part(host, '.', 1) IN ('free-bets', 'adult-x')),
-hit AS (
-  SELECT s.url, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
-  FROM (SELECT DISTINCT url, host, path FROM split) s
-  JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path) GROUP BY s.url),
-bad AS (
-  SELECT DISTINCT s.url FROM (SELECT DISTINCT url, host, path FROM split) s
-  JOIN listed l ON (s.host = l.host OR ends_with(s.host, '.' || l.host)) AND starts_with(s.path, l.path))
-SELECT s.page_id, s.host, s.path, h.rule, coalesce(h.verdict, CASE WHEN b.url IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM split s LEFT JOIN hit h ON s.url = h.url LEFT JOIN bad b ON s.url = b.url
-"""
-
-#: The same with ``BAD_LABELS``, at any place of the host.
-SQL_ANY_LABEL = r"""
-WITH cut AS (
-  SELECT page_id, url, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-split AS (
-  SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 bad_labels(label) AS (VALUES ('free-bets'), ('adult-x'), ('casino-win')),
 listed AS (
   SELECT DISTINCT substr(s.host, p.at) AS host, s.path
