@@ -130,11 +130,13 @@ class Sets:
         return np.packbits((counts & 1).astype(np.uint8).reshape(texts, SKETCH), axis=1, bitorder="little").view(U)
 
     def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) for the parts of each set in its own band and in that of smaller partners."""
+        """(text, key) for the parts of each set in its own band and in all of smaller partners."""
         sizes = self.sizes()
-        own, below = bands.of(sizes), bands.below(sizes)
+        own, least = bands.of(sizes), np.maximum(bands.below(sizes), 0)
         texts, keys = [], []
-        for band, some in ((own, own >= 0), (below, (below >= 0) & (below != own))):
+        for down in range(int((own - least).max(initial=-1)) + 1):
+            band = own - down
+            some = band >= least
             mine = np.flatnonzero(some[self.owner])
             if not mine.size:
                 continue
@@ -171,16 +173,18 @@ def _scan(docs: DataFrame, n: int, columns: list[str], make, types: str) -> Data
 
 
 def set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, name of the set and its sketch s0 ..."""
+    """Per row of ``docs`` (doc_id, text): doc_id, a hash of the text, n_shingles, name of the set and its sketch s0 ..."""
     sketch = [f"s{i}" for i in range(SKETCH // 64)]
 
     def make(batch, w, sets):
         bits = sets.parity()
         made = [pa.array(sets.sizes()), pa.array(signed(sets.names())), *[pa.array(signed(np.ascontiguousarray(bits[:, i]))) for i in range(len(sketch))]]
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(w.rows.start, len(w)), *made], ["doc_id", "n_shingles", "name", *sketch])
+        kept = [batch.column(i).slice(w.rows.start, len(w)) for i in range(2)]
+        return pa.RecordBatch.from_arrays([*kept, *made], ["doc_id", "text_hash", "n_shingles", "name", *sketch])
 
     id_type = dict(docs.dtypes)["doc_id"]
-    return _scan(docs, n, ["doc_id", "text"], make, f"doc_id {id_type}, n_shingles long, name long, " + ", ".join(f"{s} long" for s in sketch))
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return _scan(hashed, n, ["doc_id", "text_hash", "text"], make, f"doc_id {id_type}, text_hash long, n_shingles long, name long, " + ", ".join(f"{s} long" for s in sketch))
 
 
 def key_rows(docs: DataFrame, n: int, bands: Bands, filled: np.ndarray | None = None) -> DataFrame:
@@ -398,7 +402,11 @@ def _by_prefix(links: Links, names: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, name of its set."""
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, name of its set.
+
+    Besides, ``text_hash`` and ``label``: a number of its component, null for an empty set. Where one
+    doc_id has several texts, components that share their smallest doc_id differ in the label.
+    """
     bands = Bands(percent)
     docs = docs.select("doc_id", "text")
     sets = park(set_rows(docs, n), "sets")
@@ -420,24 +428,29 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     _others(links, shared.select("key", "name"), classes)
     labelled = links.labelled(classes.select("name", "least"), "name", "label")
     roots = labelled.groupBy("label").agg(F.min("least").alias("root"))
-    named = park(labelled.join(roots, "label").select(F.col("name").alias("c_name"), "root"), "roots")
+    named = park(labelled.join(roots, "label").select(F.col("name").alias("c_name"), "root", "label"), "roots")
     for superseded in (keys, shared, links.members):
         discard(superseded)
-    joined = sets.select("doc_id", "n_shingles", "name").join(named, F.col("name") == F.col("c_name"), "left")
+    joined = sets.select("doc_id", "text_hash", "n_shingles", "name").join(named, F.col("name") == F.col("c_name"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "name")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), "name", "text_hash", "label")
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their component; of rows that share it one.
+    """One row of ``docs`` for each component: that of the smallest doc_id, then of the smallest hash of the text.
 
-    Rows without doc_id or without words are in no component and stay.
+    Of rows equal in both, the one whose other columns have the smallest hash. Texts that share a doc_id
+    but are not linked are in different components, so each has a row. Rows without doc_id or without
+    words are in no component and stay.
     """
-    linked = link_documents(docs, n, percent)
-    roots = linked.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0))
-    roots = park(roots.groupBy(F.col("doc_id").alias("root")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    linked = link_documents(docs, n, percent).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
+    counted = linked.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("top"))
+    roots = park(first.select(F.col("top.doc_id").alias("root"), F.col("top.text_hash").alias("root_hash"), F.col("top.n").alias("n")), "kept")
     in_one = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = aside(docs, id=F.col("doc_id"), in_one=in_one)
-    single = rows.filter("in_one").join(roots.filter("n = 1"), F.col("id") == F.col("root"), "left_semi")
-    repeated = rows.filter("in_one").join(roots.filter("n > 1"), F.col("id") == F.col("root"), "left_semi").dropDuplicates(["id"])
-    return rows.filter("NOT in_one").unionByName(single).unionByName(repeated).select("kept_row.*")
+    rows = aside(docs, id=F.col("doc_id"), text_hash=F.xxhash64("text"), in_one=in_one)
+    same = (F.col("id") == F.col("root")) & (F.col("text_hash") == F.col("root_hash"))
+    single = rows.filter("in_one").join(roots.filter("n = 1"), same, "left_semi").select("kept_row")
+    several = rows.filter("in_one").join(roots.filter("n > 1"), same, "left_semi")
+    repeated = several.groupBy("id", "text_hash").agg(F.min_by("kept_row", F.xxhash64(F.to_json("kept_row"))).alias("kept_row"))
+    return rows.filter("NOT in_one").select("kept_row").unionByName(single).unionByName(repeated.select("kept_row")).select("kept_row.*")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import connect, difference
+from pyspark.sql import functions as F
 
 from clickgrain.llm import decontaminate, kdsearch, language, mixing, ngramjoin, secrets, sharding, substrings, thresholds, toxicity, urlrules
 from clickgrain.llm.catalog import ORACLES, QUERIES
@@ -77,9 +78,17 @@ def test_shards_are_even_and_gapless(docs, texts):
     assert set(sizes) == set(range(8))
     assert max(sizes.values()) - min(sizes.values()) < 0.2 * sum(sizes.values()) / 8
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    small = sum(sizes.values()) / 8 / sharding.SPLIT
-    groups = Counter(t or "" for t in texts.values())
-    assert all(len(s) == 1 for t, s in of_text.items() if groups[t.decode()] * (len(t) + 1) <= small)
+    assert all(len(s) == 1 for s in of_text.values())
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.1"])
+def test_shards_keep_equal_texts_together(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    made = sharding.shard_table(docs, shards=8)
+    torn = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).join(made, "doc_id").groupBy("t").agg(F.countDistinct("shard").alias("n"))
+    assert torn.filter("n > 1").isEmpty()
+    sizes = [r.s for r in made.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 8 and max(sizes) - min(sizes) < 0.3 * sum(sizes) / 8
 
 
 def test_shards_split_a_hot_text(spark):
@@ -137,6 +146,31 @@ def test_ngram_join_finds_every_link_in_groups(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == brute_components(texts, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [40, 50, 60, 66])
+def test_ngram_join_at_low_similarity(spark, percent):
+    """Pairs alone whose sizes lie up to three bands apart."""
+    rng = np.random.default_rng(percent)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    texts = {}
+    for size in (3, 7, 12, 20, 31, 47, 60, 95, 140):
+        for share in (percent / 100, percent / 100 + 0.01, percent / 100 + 0.1, 0.97):
+            base = fresh(size + 3)
+            texts[len(texts)] = " ".join(base)
+            texts[len(texts)] = " ".join(base + fresh(max(1, int(size / share) - size)))
+    made = ngramjoin.link_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), percent=percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == brute_components(texts, 4, percent)
+
+
+def test_one_of_each_where_ids_repeat(spark):
+    one, two, three = ("a b c d e f g h", "q r s t u v w x", "k l m n o p q r")
+    rows = [(1, one, "x"), (1, two, "x"), (1, one, "y"), (2, one, "x"), (2, three, "x"), (3, two, "x"), (None, one, "x"), (4, "", "x"), (4, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    kept = [tuple(r) for r in ngramjoin.one_of_each(docs).collect()]
+    assert sorted((i, t) for i, t, _ in kept if i and t) == [(1, one), (1, two), (2, three)]
+    assert sum(i is None for i, *_ in kept) == 1 and sum(i == 4 for i, *_ in kept) == 2
+    assert sorted(kept, key=str) == sorted(map(tuple, ngramjoin.one_of_each(docs.repartition(5)).collect()), key=str)
+
+
 def test_parity_bounds_the_difference():
     from clickgrain.llm.words import words
     import pyarrow as pa
@@ -202,6 +236,56 @@ def test_guess_costs():
     assert [s[:3] for s in spans] == [("guess", 7, 19)]
 
 
+@pytest.mark.parametrize("times", [2, 10, 20, 60, 20_000])
+def test_long_repeats_and_walks_stay_cheap(times):
+    assert secrets.guess_cost("ab1" * times) < secrets.LEAST_COST
+    assert secrets.guess_cost("7" * times) < secrets.LEAST_COST
+    assert not secrets.text_spans("password: " + "ab1" * times, [])[1:]
+    assert secrets.guess_cost("qwertyuiop" + "x9Kq2vLm8Zt4" + "ab1" * times) > secrets.LEAST_COST
+
+
+def brute_cost(value):
+    """Every segmentation of ``value``; repeats and walks are followed character by character."""
+    from functools import cache
+    from math import log10
+
+    low, plain, n = value.lower(), value.lower().translate(secrets.LEET), len(value)
+
+    def segments(i):
+        yield i + 1, secrets._brute(value[i])
+        for j in range(i + 3, n + 1):
+            if plain[i:j] in secrets.RANK:
+                yield j, 0.3 + log10(secrets.RANK[plain[i:j]] + 1) + 0.3 * (plain[i:j] != low[i:j]) + 0.3 * (value[i:j] != low[i:j])
+        if found := secrets.DATE.match(low, i):
+            yield found.end(), 0.3 + (secrets.LOG_YEAR if found.end() - i == 4 else secrets.LOG_DAY)
+        j = i + 1
+        while j < n and secrets._near(low[j - 1], low[j]):
+            j += 1
+            rows = [secrets.PLACES[c][0] for c in low[i:j]]
+            if j - i >= 3:
+                yield j, 0.3 + log10(47 * (j - i)) + 0.6 * sum(a != b for a, b in zip(rows[1:], rows[2:]))
+        for block in (1, 2, 3, 4):
+            times = 1
+            while low[i + times * block : i + (times + 1) * block] == low[i : i + block] and i + (times + 1) * block <= n:
+                times += 1
+            if times > 1 and times * block >= 3:
+                yield i + times * block, 0.3 + sum(map(secrets._brute, low[i : i + block])) + log10(times)
+
+    @cache
+    def cheapest(i):
+        return 0.0 if i == n else min(cost + cheapest(j) for j, cost in segments(i))
+
+    return cheapest(0)
+
+
+def test_guess_cost_equals_all_segmentations():
+    rng = np.random.default_rng(9)
+    parts = ["password", "P4ssw0rd", "qwer", "asdfgh", "zaqxsw", "2019-04-01", "1999", "aaa", "abab", "xyzxyz", "7", "K", "!", "m", "1q2w"]
+    for _ in range(300):
+        value = "".join(rng.choice(parts, int(rng.integers(1, 6))))[:28]
+        assert secrets.guess_cost(value) == pytest.approx(brute_cost(value))
+
+
 def test_languages_held_out(spark, sf_dir):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang").collect()}
     rows = QUERIES["op10_language"](spark, sf_dir).collect()
@@ -209,6 +293,15 @@ def test_languages_held_out(spark, sf_dir):
     assert held and sum(r.lang_pred == truth[r.doc_id] for r in held) >= 0.9 * len(held)
 
 
+def test_language_sample_is_bounded_where_ids_are_null_or_repeat(spark, monkeypatch):
+    """A third of the rows is one row, the others have no id."""
+    rows = [(7, "the same text", "en")] * 400 + [(None, f"text number {i} without an id", "en") for i in range(800)]
+    taken = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs: taken.extend(texts))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=60)
+    assert 15 <= len(taken) <= 120 and len(set(taken)) == len(taken)
+
+
 def test_network_slopes():
     """Backpropagation against finite differences, at points where no gate is at its end."""
     rng = np.random.default_rng(2)
@@ -236,6 +329,17 @@ def test_toxicity_held_out(spark):
     assert np.mean([r.predicted for r in clean]) <= 0.03
 
 
+def test_toxic_curve_does_not_move_with_the_sample():
+    """The curve of half the clean rows, each standing for two, is near that of all; unweighted it isn't."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(0, 1, (2000, 2)), rng.normal(1, 1, (200, 2))])
+    y = np.repeat([0.0, 1.0], [2000, 200])
+    some = np.concatenate([np.arange(0, 2000, 10), np.arange(2000, 2200)])
+    weights = np.where(y[some] == 0, 10.0, 1.0)
+    whole, part, plain = (toxicity._logistic(x[i], y[i], w) for i, w in ((slice(None), np.ones(2200)), (some, weights), (some, np.ones(some.size))))
+    assert abs(part[0] - whole[0]) < 0.5 < abs(plain[0] - whole[0])
+
+
 def test_marginals_equal_enumeration():
     from itertools import product
 

@@ -48,3 +48,13 @@ def test_odd_and_no_rows(spark, sf_dir, tmp_path, name):
     pages.limit(0).write.parquet(str(tmp_path / "none" / "pages.parquet"))
     assert len(PAGE_QUERIES[name](spark, str(tmp_path / "odd")).collect()) == pages.count() + 2
     assert PAGE_QUERIES[name](spark, str(tmp_path / "none")).collect() == []
+
+
+def test_very_long_urls(spark):
+    """60,000 labels before a listed host, and as many that are on the list themselves."""
+    long = "a." * 60_000
+    urls = [f"http://{long}casino-win.example.com/a/b", f"http://{long}example.com/a", f"http://casino-win.{long}org/x", f"http://h.com/{'p/' * 60_000}"]
+    pages = spark.createDataFrame(list(enumerate([*urls, "http://www.casino-win.example.com/a/b/c"])), "page_id long, url string")
+    listed = urlrules.hosts_below_label(pages, urlrules.BAD_LABELS)
+    made = {r.page_id: (r.rule, r.verdict) for r in urlrules.filter_pages(pages, urlrules.rule_table(spark, urlrules.RULES), listed).collect()}
+    assert made == {0: (None, "block"), 1: (None, "allow"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
