@@ -147,6 +147,46 @@ def io8(spark, sf_dir):
     )
 
 
+INDEXES = [f"{c}_index" for c in mlprep.INDEXED_COLUMNS]
+
+
+def indexes_sql(split: str) -> str:
+    """Rows of a part with the indexes that the train part gives their labels."""
+    columns = ", ".join(f"coalesce(idx_{c}.index, (SELECT count(*) FROM idx_{c})::DOUBLE) AS {c}_index" for c in mlprep.INDEXED_COLUMNS)
+    joins = " ".join(f"LEFT JOIN idx_{c} ON t.{c} = idx_{c}.label" for c in mlprep.INDEXED_COLUMNS)
+    numbered = [
+        f"""idx_{c} AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS DOUBLE) AS index
+FROM (SELECT {c} AS label, count(*) AS n FROM parts WHERE split = 'train' AND {c} IS NOT NULL GROUP BY {c}))"""
+        for c in mlprep.INDEXED_COLUMNS
+    ]
+    source = "events_of AS (SELECT user_id, product_id, event_time AS event_timestamp FROM clean)"
+    parts = split_sql("events_of", [("train", 0.8)], 10, "user_id, product_id, event_timestamp", "event_timestamp")
+    return with_log(f"SELECT t.event_timestamp, {columns} FROM parts t {joins} WHERE split IN ({split})", source, parts, *numbered)
+
+
+@query("io8_indexes_of_saved_transform", indexes_sql("'test'"))
+def io8_indexes(spark, sf_dir):
+    """Indexes that a transform gives the test part after it was saved and loaded."""
+    parts = feature_parts(spark, sf_dir)
+    return saved_transform(spark, parts["train"]).transform(parts["test"]).select("event_timestamp", *INDEXES)
+
+
+@query("ml9_indexes_of_training_rows", indexes_sql("'train', 'test'"))
+def ml9_indexes(spark, sf_dir):
+    """Indexes of the train and test rows that go into the model."""
+    parts = feature_parts(spark, sf_dir)
+    fitted = mlprep.FeatureTransform.fit(parts["train"])
+    both = fitted.training_rows(parts["train"]).unionByName(fitted.training_rows(parts["test"]))
+    return both.select("event_timestamp", *INDEXES)
+
+
+@query("ml10_indexes_of_inference_rows", indexes_sql("'test'"))
+def ml10_indexes(spark, sf_dir):
+    """Indexes of the rows to be scored, by a loaded transform."""
+    parts = feature_parts(spark, sf_dir)
+    return saved_transform(spark, parts["train"]).inference_rows(parts["test"]).select("event_timestamp", *INDEXES)
+
+
 # Recommendations --------------------------------------------------------------------------------
 
 
