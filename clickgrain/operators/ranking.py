@@ -123,6 +123,16 @@ def user_metrics(
     )
 
 
+def user_recall(truth_rows: DataFrame, lists: DataFrame, user: str, item: str) -> DataFrame:
+    """(user, recall) of users with a true item and a list; ``lists`` has (user, pred_items), once per user.
+
+    The recall of ``user_metrics`` without repeats, for lists short enough to be arrays: only the true
+    rows meet them, one join by user. ``truth_rows`` has a (user, item) once; a null item is no hit.
+    """
+    hit = F.when(F.array_contains("pred_items", F.col(item)), 1.0).otherwise(0.0)
+    return truth_rows.join(lists, user).groupBy(user).agg(F.avg(hit).alias("recall"))
+
+
 def mean_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.agg(
         F.avg("recall").alias("avg_recall_at_k"),

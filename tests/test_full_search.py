@@ -9,6 +9,7 @@ from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValid
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.learning import ratings
+from clickgrain.operators import ranking
 from clickgrain.plans import recommend, tuning
 from clickgrain.plans.together import run_together
 
@@ -96,3 +97,27 @@ def test_a_failure_cancels_the_other_jobs(spark):
         run_together(spark, [slow, fails, slow, slow], threads=2)
     assert time.time() - begun < 40
     assert spark.range(5).count() == 5
+
+
+def test_recall_of_lists_equals_the_join_of_places(spark):
+    truth = spark.createDataFrame([(1, 10, 2), (1, 11, 1), (1, 12, 1), (2, 10, 1), (3, 10, 1), (4, None, 1), (4, 5, 1)], "u int, i int, times long")
+    lists = spark.createDataFrame([(1, [12, 9, 10]), (2, [7]), (4, [5]), (9, [10])], "u int, pred_items array<int>")
+    places = lists.select("u", F.posexplode("pred_items").alias("at", "i")).select("u", "i", (F.col("at") + 1).alias("place"))
+    got = {r.u: r.recall for r in ranking.user_recall(truth, lists, "u", "i").collect()}
+    want = {r.u: r.recall for r in ranking.user_metrics(truth, places, "u", "i", 3, repeats=False).collect()}
+    assert got == want and got == {1: pytest.approx(2 / 3), 2: 0.0, 4: 0.5}
+
+
+def test_evaluation_makes_each_list_once_and_never_as_rows(data, spark, monkeypatch):
+    """Lists of 100 places for 90,000 users are 9 million rows a model; they were made twice and shuffled."""
+    truth = ranking.truth(data["test"], recommend.USER, recommend.ITEM)
+    odd = truth.limit(1).select(F.lit(0.5).alias(recommend.USER), recommend.ITEM, "times")
+    models = {i: recommend.fit(data["train"], rank=4, maxIter=1, alpha=a) for i, a in ((3, 1.0), (8, 40.0))}
+    plans, collect = [], type(truth).collect
+    monkeypatch.setattr(type(truth), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    got = recommend.evaluate_all(truth.unionByName(odd), models, 5)
+    monkeypatch.undo()
+    assert len(plans) == 1 and "Generate" not in plans[0] and plans[0].count("MapPartitions") <= 3 * len(models)
+    for i, model in models.items():
+        assert got[i] == pytest.approx(recommend.evaluate(data["test"], model, 5).first()["avg_recall_at_k"])
+    assert recommend.evaluate_all(truth.limit(0), models, 5) == {3: 0.0, 8: 0.0}
