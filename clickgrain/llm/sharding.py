@@ -68,25 +68,27 @@ def shard_table(docs: DataFrame, shards: int | None = None, target_bytes: int |
         joined.select("doc_id", "size", "text_crc32", "chunk", "h1", *[v.alias(k) for k, v in keys.items()], F.lit(0).alias("first"), F.lit(shards).alias("leaves")),
         "points",
     )
-    while not (open_rows := rows.filter(F.col("leaves") > 1)).isEmpty():
-        rows = park(_cut_level(rows, open_rows), "level")
+    for _ in range((shards - 1).bit_length()):  # Every cut leaves half of the leaves, rounded up, at most.
+        rows = park(_cut_level(rows, rows.filter(F.col("leaves") > 1)), "level")
     return number_slots(rows.withColumn("shard", F.col("first").cast("int")))
 
 
 def _cut_level(rows: DataFrame, open_rows: DataFrame) -> DataFrame:
     """Cuts every node that has more than one leaf to come."""
     span = [F.max(f"k_{d}").alias(f"high_{d}") for d in DIMENSIONS] + [F.min(f"k_{d}").alias(f"low_{d}") for d in DIMENSIONS]
-    nodes = open_rows.groupBy("first", "leaves").agg(F.sum("size").alias("weight"), *span)
+    nodes = open_rows.groupBy("first", "leaves").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), *span)
     widths = [F.col(f"high_{d}") - F.col(f"low_{d}") for d in DIMENSIONS]
     widest = F.array_position(F.array(*widths), F.greatest(*widths)).cast("int")
     left = F.floor(F.col("leaves") / 2)
+    budget = (F.col("weight") * left / F.col("leaves")).alias("budget")
+    low, high, key = (F.element_at(F.array(*[F.col(f"{c}_{d}") for d in DIMENSIONS]), F.col("dimension")) for c in ("low", "high", "k"))
+    nodes = nodes.withColumn("dimension", widest)
     nodes = park(
-        nodes.select(F.col("first").alias("grp"), widest.alias("dimension"), (F.col("weight") * left / F.col("leaves")).alias("budget"), left.cast("int").alias("left")),
+        nodes.select(F.col("first").alias("grp"), "dimension", budget, left.cast("int").alias("left"), low.alias("low"), high.alias("high"), "n"),
         "nodes",
     )
-    key = F.element_at(F.array(*[F.col(f"k_{d}") for d in DIMENSIONS]), F.col("dimension"))
     placed = open_rows.join(nodes.select(F.col("grp"), "dimension"), F.col("first") == F.col("grp"))
-    cuts = cut_points(placed.select("grp", key.alias("key"), F.col("size").alias("weight")), nodes.select("grp", "budget"))
+    cuts = cut_points(placed.select("grp", key.alias("key"), F.col("size").alias("weight")), nodes.select("grp", "budget", "low", "high", "n"))
     tree = nodes.join(cuts.select("grp", "cut"), "grp")
     joined = rows.join(tree, F.col("first") == F.col("grp"), "left")
     below, open_node = key < F.col("cut"), F.col("cut").isNotNull()

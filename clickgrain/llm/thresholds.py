@@ -1,9 +1,10 @@
 """Thresholds that cut every group of rows at a given weight, found without a sort.
 
-Rows carry a key of 60 bits. Weights are summed by group and bucket of the key (1,024 buckets), the
-bucket in which a group's budget is passed is divided into 1,024 again, and so on until it holds one
-key value. Every round is one aggregate with map-side sums over the rows still in question; what is
-shuffled has at most 1,024 rows a group and task.
+Rows carry a key of 60 bits. Weights are summed by group and bucket of the key (at most 1,024
+buckets), the bucket in which a group's budget is passed is divided between its lowest and its
+highest key into 1,024 again, and so on until it holds one key value. A bucket of no more than 1,024
+rows is divided by its key values at once. Every round is one aggregate with map-side sums over the
+rows still in question; what is shuffled has at most 1,024 rows a group and task.
 """
 
 from __future__ import annotations
@@ -26,20 +27,22 @@ def cut_points(rows: DataFrame, budgets: DataFrame) -> DataFrame:
 
     The rows with ``key < cut`` weigh ``below``: of all such sums the nearest to the budget, the
     smaller one in a tie. Rows of one key value stay together, so nested budgets take nested rows.
-    Pass written tables: ``rows`` is read once a round. Groups without rows are left out.
+    Pass written tables: ``rows`` is read once a round. Groups without rows are left out. Where
+    ``budgets`` has the columns low, high (a group's lowest and highest key) and n (its rows), the
+    first round begins between them.
     """
-    state = budgets.select(
-        "grp", F.col("budget").cast("double").alias("budget"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("below")
-    )
+    whole = {"low": F.lit(0), "high": F.lit((1 << KEY_BITS) - 1), "n": F.lit(1 << KEY_BITS)}
+    span = [F.col(c) if c in budgets.columns else whole[c].cast("long").alias(c) for c in whole]
+    state = _divided(budgets.select("grp", F.col("budget").cast("double"), F.lit(0).cast("long").alias("below"), *span))
     done = None
     by_bucket = Window.partitionBy("grp").orderBy("bucket")
-    for shift in range(KEY_BITS - STEP, -1, -STEP):
-        bucket = F.shiftright(F.col("key") - F.col("base"), shift)
+    while True:
+        bucket = F.expr("shiftright(key - base, shift)")
         sums = (
             rows.join(state, "grp")
-            .filter((F.col("key") >= F.col("base")) & (bucket < (1 << STEP)))
-            .groupBy("grp", "budget", "base", "below", bucket.alias("bucket"))
-            .agg(F.sum("weight").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"))
+            .filter(F.col("key").between(F.col("base"), F.col("top")))
+            .groupBy("grp", "budget", "below", bucket.alias("bucket"))
+            .agg(F.sum("weight").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n"))
         )
         reached = F.col("below") + F.sum("weight").over(by_bucket)
         here = (
@@ -59,9 +62,14 @@ def cut_points(rows: DataFrame, budgets: DataFrame) -> DataFrame:
             F.when(F.col("take"), F.col("reached")).otherwise(F.col("before")).cast("long").alias("below"),
         )
         done = ended if done is None else done.unionByName(ended)
-        state = here.filter(~F.col("single")).select(
-            "grp", "budget", (F.col("base") + F.shiftleft(F.col("bucket"), shift)).alias("base"), F.col("before").cast("long").alias("below")
-        )
+        state = _divided(here.filter(~F.col("single")).select("grp", "budget", F.col("before").cast("long").alias("below"), "low", "high", "n"))
         if state.isEmpty():
             break
     return done
+
+
+def _divided(groups: DataFrame) -> DataFrame:
+    """``groups`` (grp, budget, below, low, high, n) with the shift that makes buckets of the keys from low to high."""
+    bits = F.length(F.bin(F.col("high") - F.col("low")))
+    shift = F.when(F.col("n") <= (1 << STEP), 0).otherwise(F.greatest(bits - STEP, F.lit(0)))
+    return groups.select("grp", "budget", "below", F.col("low").alias("base"), F.col("high").alias("top"), shift.alias("shift"))

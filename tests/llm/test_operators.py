@@ -51,6 +51,22 @@ def test_cut_points_are_nearest(spark):
         assert found[group].below == best == sum(w for g, k, w in rows if g == group and k < found[group].cut)
 
 
+@pytest.mark.parametrize("known", [False, True])
+def test_cut_points_divide_between_the_keys_there_are(spark, monkeypatch, known):
+    """Close keys with nothing around them take few rounds, each of which is a query with plans and threads on the driver."""
+    written, park = [], thresholds.park
+    monkeypatch.setattr(thresholds, "park", lambda df, label: written.append(label) or park(df, label))
+    start = 123 << 45
+    rows = spark.range(1500).selectExpr("id % 2 AS grp", f"CAST({start} AS BIGINT) + 3 * id AS key", "1L AS weight")
+    rows = rows.unionByName(rows.filter("grp = 1")).unionByName(spark.createDataFrame([(2, 9, 5)], "grp long, key long, weight long"))
+    budgets = spark.createDataFrame([(0, 300.0), (1, 601.2), (2, 1.0)], "grp long, budget double")
+    if known:
+        budgets = budgets.join(rows.groupBy("grp").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("key").alias("n")), "grp")
+    found = {r.grp: (r.cut, r.below) for r in thresholds.cut_points(rows, budgets).collect()}
+    assert found == {0: (start + 3 * 600, 300), 1: (start + 3 * 601 + 1, 602), 2: (9, 0)}
+    assert len(written) <= (2 if known else 3)
+
+
 def test_mix_takes_near_its_targets(spark, docs):
     rows = mixing.mix_sources(docs).collect()
     by_source = defaultdict(list)
@@ -81,6 +97,18 @@ def test_shards_are_even_and_gapless(docs, texts):
     assert all(len(s) == 1 for s in of_text.values())
 
 
+def test_shards_take_few_queries(spark, monkeypatch):
+    written = []
+    for module in (sharding, thresholds):
+        monkeypatch.setattr(module, "park", lambda df, label, park=module.park: written.append(label) or park(df, label))
+    docs = spark.range(500).selectExpr("id AS doc_id", "repeat('w ', CAST(id % 90 AS INT)) || id AS text", "IF(id % 3 = 0, 'de', 'en') AS lang", "IF(id % 7 < 5, 'a', 'b') AS source")
+    sizes = Counter()
+    for r in sharding.shard_table(docs, shards=8).collect():
+        sizes[r.shard] += r.size
+    assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) < 0.1 * sum(sizes.values())
+    assert Counter(written) == {"sizes": 1, "points": 1, "nodes": 3, "boundary": 3, "level": 3}
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.1"])
 def test_shards_keep_equal_texts_together(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
