@@ -8,11 +8,16 @@ sketches, and a join on (size band, part, sketch) finds every link. ``m`` is lar
 practically never has ``m - D`` empty parts; a set that has joins on its empty parts as well (its
 partner then has as many), so nothing is lost.
 
+A set needs no more than ``D + 1`` of its keys in a band: two linked sets have all but ``D`` of them in
+common, so the rarest key they share is among the ``D + 1`` rarest of each, and the others, which are
+those of common passages, are left out.
+
 A group of sets with one key is never expanded into pairs: each member is first tested with the
 smallest member. Of members that are in different components afterwards, up to ``CENTRES`` of a key
 are tested with the rest of it; the sets of keys with more are joined by their rarest shingles. Before
 the sets of a pair are compared, a parity sketch of 512 bits is: its Hamming distance is at most the
-number of differing shingles.
+number of differing shingles. Sets of more than 512 shingles have a second sketch, of at least one bit
+a shingle, as 512 bits tell nothing about sets that may differ in as many.
 
 Equal sets are one class and tested once. Links are exact up to equal 64-bit hashes.
 
@@ -129,11 +134,27 @@ class Sets:
         counts = np.bincount(self.owner * SKETCH + (self.hashes & U(SKETCH - 1)).astype(np.int64), minlength=texts * SKETCH)
         return np.packbits((counts & 1).astype(np.uint8).reshape(texts, SKETCH), axis=1, bitorder="little").view(U)
 
-    def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-        """(text, key) for the parts of each set in its own band and in all of smaller partners."""
+    def long_parity(self, texts: np.ndarray) -> list[bytes | None]:
+        """Of each of ``texts`` with more than SKETCH shingles: a power of two of bits, one toggled for each shingle."""
+        out = []
+        for i in texts:
+            own = self.hashes[self.first[i] : self.first[i + 1]]
+            if own.size <= SKETCH:
+                out.append(None)
+                continue
+            bits = 1 << int(own.size - 1).bit_length()
+            counts = np.bincount((own & U(bits - 1)).astype(np.int64), minlength=bits)
+            out.append(np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes())
+        return out
+
+    def keys(self, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, key, band, spare) for the parts of each set in its own band and in all of smaller partners.
+
+        ``spare`` of a text's keys in the band may be left out, by an order that is the same for all texts.
+        """
         sizes = self.sizes()
         own, least = bands.of(sizes), np.maximum(bands.below(sizes), 0)
-        texts, keys = [], []
+        texts, keys, of, spare = [], [], [], []
         for down in range(int((own - least).max(initial=-1)) + 1):
             band = own - down
             some = band >= least
@@ -147,13 +168,17 @@ class Sets:
             texts.append(text)
             keys.append(_key(band[text], place, np.bitwise_xor.reduceat(hashes, start)))
             filled = np.bincount(text, minlength=sizes.size)
+            of.append(band[text])
+            spare.append(np.maximum(filled - bands.most[np.maximum(band, 0)] - 1, 0)[text])
             for i in np.flatnonzero(some & (filled <= bands.most[np.maximum(band, 0)])):
                 empty = np.setdiff1d(np.arange(bands.parts[band[i]]), place[text == i])
                 texts.append(np.full(empty.size, i))
                 keys.append(_key(np.full(empty.size, band[i]), empty, np.zeros(empty.size, U)))
+                of.append(np.full(empty.size, band[i]))
+                spare.append(np.zeros(empty.size, np.int64))  # its partner may have no key for an empty part
         if not texts:
-            return np.zeros(0, np.int64), np.zeros(0, U)
-        return np.concatenate(texts), np.concatenate(keys)
+            return np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(texts), np.concatenate(keys), np.concatenate(of), np.concatenate(spare)
 
 
 def _key(band: np.ndarray, part: np.ndarray, sketch: np.ndarray) -> np.ndarray:
@@ -188,23 +213,42 @@ def set_rows(docs: DataFrame, n: int) -> DataFrame:
 
 
 def key_rows(docs: DataFrame, n: int, bands: Bands, filled: np.ndarray | None = None) -> DataFrame:
-    """(key, name) of all sets; with a filter, of the keys it may hold."""
+    """(key, name) of all sets; with a filter, (key, name, band, spare) of the keys it may hold."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)  # None or at most 8 MB
 
     def make(batch, w, sets):
-        text, key = sets.keys(bands)
+        text, key, band, spare = sets.keys(bands)
         table = sent.value
-        if table is not None and key.size:
+        if table is None:
+            return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(sets.names()[text]))], ["key", "name"])
+        if key.size:
             place, masks = _bits(key, table.shape[0])
             some = ((table[place] & masks) == masks).all(axis=1)
-            text, key = text[some], key[some]
-        return pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(sets.names()[text]))], ["key", "name"])
+            text, key, band, spare = text[some], key[some], band[some], spare[some]
+        made = [signed(key), signed(sets.names()[text]), band.astype(np.int16), spare.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "name", "band", "spare"])
+
+    return _scan(docs, n, ["text"], make, "key long, name long" + (", band short, spare int" if filled is not None else ""))
 
-    return _scan(docs, n, ["text"], make, "key long, name long")
+
+def shared_keys(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """(key, centre, name) of the keys of two sets or more, each set with all but its most frequent ones.
+
+    The rows a key has in the table order the keys, the same way for all sets; ``centre`` is its smallest name.
+    """
+    held = key_rows(docs, n, bands).groupBy("key").agg(F.min("name").alias("least"), F.max("name").alias("last"), F.count(F.lit(1)).alias("holders"))
+    held = park(held.filter("least <> last").select("key", "holders"), "keys")
+    rows = key_rows(docs, n, bands, build_filter(held, "key")).join(held, "key")
+    rows = rows.groupBy("key", "name", "band").agg(F.first("spare").alias("spare"), F.first("holders").alias("holders"))
+    frequent = F.row_number().over(Window.partitionBy("name", "band").orderBy(F.col("holders").desc(), "key"))
+    rare = park(rows.withColumn("frequent", frequent).filter("frequent > spare").select("key", "name"), "rare-keys")
+    discard(held)
+    centres = rare.groupBy("key").agg(F.min("name").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return park(rare.join(centres.select("key", "centre"), "key").select("key", "centre", "name"), "shared")
 
 
 def set_members(docs: DataFrame, n: int, filled: np.ndarray) -> DataFrame:
-    """(name, members) of the sets whose name the filter may hold, once per name."""
+    """(name, n, long_sketch, members) of the sets whose name the filter may hold, once per name."""
     sent = docs.sparkSession.sparkContext.broadcast(filled)
 
     def make(batch, w, sets):
@@ -212,14 +256,17 @@ def set_members(docs: DataFrame, n: int, filled: np.ndarray) -> DataFrame:
         place, masks = _bits(names, sent.value.shape[0])
         some = np.flatnonzero(((sent.value[place] & masks) == masks).all(axis=1) & (sets.sizes() > 0))
         members = [sets.hashes[sets.first[i] : sets.first[i + 1]].tobytes() for i in some]
-        return pa.RecordBatch.from_arrays([pa.array(signed(names[some])), pa.array(members, pa.binary())], ["name", "members"])
+        made = [pa.array(signed(names[some])), pa.array(sets.sizes()[some]), pa.array(sets.long_parity(some), pa.binary()), pa.array(members, pa.binary())]
+        return pa.RecordBatch.from_arrays(made, ["name", "n", "long_sketch", "members"])
 
-    return _scan(docs, n, ["text"], make, "name long, members binary").groupBy("name").agg(F.first("members").alias("members"))
+    rows = _scan(docs, n, ["text"], make, "name long, n long, long_sketch binary, members binary")
+    return rows.groupBy("name").agg(*[F.first(c).alias(c) for c in ("n", "long_sketch", "members")])
 
 
 def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The linked ones of ``pairs`` (a, b). The set of ``a`` goes once to each group of about PER_TASK partners."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_TASK).alias("groups"))
+    members = members.select("name", "members")
     dealt = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("grp"))
     partners = dealt.join(members, F.col("b") == F.col("name")).select("a", "grp", "b", "members")
     heads = dealt.select("a", "grp").distinct().join(members, F.col("a") == F.col("name")).select("a", "grp", F.lit(None).cast("long").alias("b"), "members")
@@ -268,6 +315,30 @@ def _promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.filter(_alike("a", "b", "n", sketch, percent)).select(*pairs.columns)
 
 
+def _near(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Without the pairs (a, b) of large sets whose long sketches differ too much to link."""
+    columns = pairs.columns
+    sides = [members.select(F.col("name").alias(s), F.col("n").alias(f"{s}_n"), F.col("long_sketch").alias(f"{s}_long")) for s in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b").select(*columns, "a_n", "a_long", "b_n", "b_long")
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, long_n, m, long_m = (batch.column(len(columns) + i) for i in range(4))
+            kept = [
+                x is None or y is None or _distance(x, y) * (100 + percent) <= (i + j) * (100 - percent)
+                for i, x, j, y in zip(n.to_pylist(), long_n.to_pylist(), m.to_pylist(), long_m.to_pylist())
+            ]
+            yield batch.select(columns).filter(pa.array(kept, pa.bool_()))
+
+    return rows.mapInArrow(part, pairs.schema)
+
+
+def _distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two long sketches; the longer one is folded to the bits of the other."""
+    one, other = sorted((np.frombuffer(x, U), np.frombuffer(y, U)), key=len)
+    return int(np.bitwise_count(one ^ np.bitwise_xor.reduce(other.reshape(-1, one.size), axis=0)).sum())
+
+
 class Links:
     """Labels of the classes found linked so far."""
 
@@ -289,7 +360,8 @@ class Links:
 
     def test_promising(self, pairs: DataFrame, classes: DataFrame) -> None:
         """Tests those of ``pairs`` that are apart and whose sketches allow a link."""
-        open_pairs = park(_promising(self.apart(pairs).select("a", "b"), classes, self.percent), "pairs")
+        open_pairs = park(_promising(self.apart(pairs).select("a", "b"), classes, self.percent), "promising")
+        open_pairs = park(_near(open_pairs, self.members, self.percent), "pairs")
         if not open_pairs.isEmpty():
             self.test(open_pairs)
 
@@ -413,14 +485,12 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     sketch = _sketch_of(sets)
     classes = sets.filter("n_shingles > 0").groupBy("name").agg(F.min("doc_id").alias("least"), F.min("n_shingles").alias("n_shingles"), *[F.min(c).alias(c) for c in sketch])
     classes = park(classes, "classes")
-    keys = key_rows(docs, n, bands).groupBy("key").agg(F.min("name").alias("centre"), F.max("name").alias("last")).filter("centre <> last")
-    keys = park(keys.select("key", "centre"), "keys")
-    shared = key_rows(docs, n, bands, build_filter(keys, "key")).join(keys, "key").groupBy("key", "centre", "name").agg(F.count(F.lit(1)).alias("n"))
-    shared = park(shared.select("key", "centre", "name"), "shared")
-    stars = shared.filter("centre <> name").groupBy(F.col("centre").alias("a"), F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("agreed"))
-    stars = park(_promising(stars, classes, percent), "stars")
+    shared = shared_keys(docs, n, bands)
     wanted = shared.select("name").distinct()
     links = Links(park(set_members(docs, n, build_filter(wanted, "name")), "members"), percent)
+    stars = shared.filter("centre <> name").groupBy(F.col("centre").alias("a"), F.col("name").alias("b")).agg(F.count(F.lit(1)).alias("agreed"))
+    stars = park(_promising(stars, classes, percent), "promising")
+    stars = park(_near(stars, links.members, percent), "stars")
     # First every set with the centre it agrees with most; then what is still apart.
     best = stars.groupBy("b").agg(F.max(F.struct("agreed", "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
     links.test(best)
@@ -429,7 +499,7 @@ def link_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     labelled = links.labelled(classes.select("name", "least"), "name", "label")
     roots = labelled.groupBy("label").agg(F.min("least").alias("root"))
     named = park(labelled.join(roots, "label").select(F.col("name").alias("c_name"), "root", "label"), "roots")
-    for superseded in (keys, shared, links.members):
+    for superseded in (shared, links.members):
         discard(superseded)
     joined = sets.select("doc_id", "text_hash", "n_shingles", "name").join(named, F.col("name") == F.col("c_name"), "left")
     component = F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id"))

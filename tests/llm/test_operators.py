@@ -213,6 +213,38 @@ def test_parity_bounds_the_difference():
         assert bands.most[band] >= 15 * size // 85 and bands.parts[band] > bands.most[band]
 
 
+def test_long_sketches_bound_the_difference():
+    """Also of sets whose sketches have different lengths; unrelated sets of any size are told apart."""
+    import pyarrow as pa
+
+    from clickgrain.llm.words import words
+
+    base, other = [f"w{i}" for i in range(1100)], [f"x{i}" for i in range(1100)]
+    texts = [base, base[:1000], base[:980] + other[:60], base[:550] + other[:550], other, base[:300]]
+    sets = ngramjoin.Sets.of(next(words(pa.array([" ".join(t) for t in texts]), lower=True)), 4)
+    long, own = sets.long_parity(np.arange(6)), [set(sets.hashes[sets.first[i] : sets.first[i + 1]].tolist()) for i in range(6)]
+    assert [x and 8 * len(x) for x in long] == [2048, 1024, 2048, 2048, 2048, None]
+    for i in range(5):
+        for j in range(5):
+            assert ngramjoin._distance(long[i], long[j]) <= len(own[i] ^ own[j])
+    allowed = 15 * (len(own[0]) + len(own[4])) // 185
+    assert ngramjoin._distance(long[0], long[4]) > 2 * allowed and ngramjoin._distance(long[0], long[3]) > allowed
+
+
+def test_ngram_join_leaves_out_keys_of_common_passages(spark, monkeypatch):
+    """Texts that share a passage only never meet; linked ones among them do."""
+    rng = np.random.default_rng(8)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [passage + [f"f{x}" for x in rng.integers(0, 10**9, 100 + i % 15)] for i in range(160)]
+    rows += [rows[i][:150] + ["changed"] * (i % 7) + rows[i][150 + i % 7 :] for i in range(0, 40, 3)] + [rows[5][:200], rows[6][:180]]
+    texts = {i: " ".join(r) for i, r in enumerate(rows)}
+    joined, by_prefix = [], ngramjoin._by_prefix
+    monkeypatch.setattr(ngramjoin, "_by_prefix", lambda *a: joined.append(a) or by_prefix(*a))
+    made = ngramjoin.link_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in made.collect()} == brute_components(texts, 4, 85)
+    assert not joined
+
+
 def brute_repeats(texts, window):
     words = {i: WORD.findall(t or "") for i, t in texts.items()}
     counts = Counter(tuple(w[j : j + window]) for w in words.values() for j in range(len(w) - window + 1))
