@@ -7,6 +7,7 @@ slices add up to is carried in from a table with one row per key and slice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from clickgrain.operators.skew import Hot, mark_hot
 from clickgrain.session import park
 
+# Rows that a slice may well hold: a task sorts and scans them in seconds.
+SLICE_ROWS = 500_000
+
 
 @dataclass(frozen=True)
 class Running:
@@ -105,6 +109,17 @@ def in_slices(
     return joined.select(*kept, *[s.out for s in specs])
 
 
+def slices_of(hot: Hot, partitions: int) -> int:
+    """How many slices the rows of hot keys are cut into.
+
+    Two per share of a hot key, as ranges drawn from a sample are not all of one size; but a share may be
+    a few rows and the keys many, and a slice is a task and a file. So no more than a shuffle has
+    partitions, unless slices of ``SLICE_ROWS`` need more. A slice holds rows of many keys where those are small.
+    """
+    needed = math.ceil(getattr(hot, "rows", 0) / SLICE_ROWS)
+    return max(2, min(2 * sum(hot.values()), max(partitions, needed)))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -123,8 +138,8 @@ def running(
     marked = mark_hot(df, keys, hot)
     cold = marked.filter(F.col("hot_parts").isNull()).drop("hot_parts")
     large = marked.filter(F.col("hot_parts").isNotNull()).drop("hot_parts")
-    # Two slices per share of a hot key, as ranges drawn from a sample are not all of one size.
-    return plain(cold).unionByName(in_slices(large, keys, order, specs, slices=max(2, 2 * sum(hot.values()))))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plain(cold).unionByName(in_slices(large, keys, order, specs, slices_of(hot, partitions)))
 
 
 def global_number(df: DataFrame, order: Sequence[Column], out: str, slices: int | None = None) -> DataFrame:

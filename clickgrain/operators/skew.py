@@ -22,13 +22,19 @@ SAMPLE_ROWS = 20_000_000
 Hot = Mapping[int, int]
 
 
+class HotKeys(dict[int, int]):
+    """A ``Hot`` that knows how many rows its keys have together, as far as the thinned copy tells."""
+
+    rows: float = 0.0
+
+
 def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
 def find_hot(
     df: DataFrame, keysets: Mapping[str, Sequence[str]], min_rows: int | None = None, slots: int = HOT_SLOTS
-) -> dict[str, dict[int, int]]:
+) -> dict[str, HotKeys]:
     """Per key set: hash of each hot key and the number of tasks its rows should be spread over.
 
     A key is hot when it holds more than ``min_rows`` rows. The caller says so: without it no key is
@@ -38,11 +44,11 @@ def find_hot(
     key may be ends the search there. All key sets share one narrow scan. At most ``slots`` keys can
     hold more than 1/slots of the rows, so the lists have a fixed bound.
     """
+    found = {name: HotKeys() for name in keysets}
     if min_rows is None:
-        return {name: {} for name in keysets}
+        return found
     rows = df.count()
     limit = max(min_rows, rows / slots)
-    found: dict[str, dict[int, int]] = {name: {} for name in keysets}
     if rows <= limit:
         return found
     share = min(1.0, SAMPLE_ROWS / rows)
@@ -58,6 +64,7 @@ def find_hot(
     )
     for place, hashed, n in counted.collect():
         found[names[place]][hashed] = math.ceil(n / share / limit)
+        found[names[place]].rows += n / share
     return found
 
 

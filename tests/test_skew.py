@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from clickgrain.operators.ordered import Running, global_number, in_slices, running, sort_rows
-from clickgrain.operators.skew import find_hot, left_join
+from clickgrain.operators import ordered
+from clickgrain.operators.ordered import Running, global_number, in_slices, running, slices_of, sort_rows
+from clickgrain.operators.skew import HotKeys, find_hot, left_join
 from clickgrain.operators.splits import ranked_history, split_history, train_flag
 from clickgrain.operators.visits import views_before_purchase, with_session_purchase, with_time_diff
 from clickgrain.plans.features import feature_table
@@ -99,6 +100,26 @@ def test_slices_of_any_number_give_the_same(events, slices):
     assert found == brute_force([tuple(r) for r in events.collect()])
 
 
+def test_many_small_hot_keys_make_few_slices(events, monkeypatch):
+    """A slice is a task and a file: with some rows a share there were more of them than rows."""
+    hot, made = find_hot(events, {"key": ["key"]}, min_rows=2)["key"], []
+    cut = ordered.in_slices
+    monkeypatch.setattr(ordered, "in_slices", lambda *a: made.append(a[-1]) or cut(*a))
+    scanned = running(events, ["key"], [F.col("at"), F.col("id")], SPECS, hot)
+    found = {r["id"]: (r["number"], r["total"], r["last"], r["previous"]) for r in scanned.collect()}
+    assert made == [4] and hot.rows == 600 and sum(hot.values()) >= 300
+    assert found == brute_force([tuple(r) for r in events.collect()])
+
+
+def test_large_hot_keys_keep_their_slices():
+    hot = HotKeys({1: 3, 2: 40})
+    hot.rows = 43 * 1_000_000
+    assert slices_of(hot, 4) == slices_of(hot, 200) == 86
+    hot.rows = 3 * ordered.SLICE_ROWS
+    assert slices_of(hot, 2) == 3 and slices_of(hot, 20) == 20
+    assert slices_of({1: 1}, 200) == 2 and slices_of({1: 500}, 200) == 200
+
+
 def test_global_number_and_sort(events):
     numbered = global_number(events, [F.desc("at"), F.col("id")], "n", slices=7)
     found = [r["id"] for r in numbered.orderBy("n").collect()]
