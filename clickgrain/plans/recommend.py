@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial, reduce
 
 from pyspark.ml.recommendation import ALS, ALSModel
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickgrain.operators import ranking
-from clickgrain.plans import together
+from clickgrain.plans import rounds, together
 from clickgrain.session import park
 
 USER, ITEM, SCORE = "user_id_index", "product_id_index", "interaction_score"
@@ -92,6 +92,10 @@ def evaluate_all(truth: DataFrame, models: Mapping[int, ALSModel], k: int) -> di
 RATINGS_PER_BLOCK = 1_000_000
 
 
+#: Parameters whose settings can share rounds; with any other in the grid every setting is a fit of Spark's own.
+SHARED = {"rank", "maxIter", "regParam", "alpha"}
+
+
 def grid_search(
     train: DataFrame,
     test: DataFrame,
@@ -102,33 +106,80 @@ def grid_search(
 ) -> DataFrame:
     """One row per setting with its recall@k, numbered in the order of the grid.
 
-    Every fit is distributed, and ``threads`` of them run at a time; the inputs are written once. One
-    job evaluates the models of a ``batch`` for the users of the test table, while the next batch is
-    fitted; then the models are let go, so memory follows the batch and not the grid.
+    Every fit is distributed, and ``threads`` of them run at a time; the inputs are written once. Settings
+    that differ in ``maxIter`` alone are one chain of rounds, evaluated at each of their numbers of rounds.
     """
     grid = grid or FULL_GRID
     ratings = park(rated(train), "ratings")
     truth = park(ranking.truth(test, USER, ITEM), "held-out")
     blocks = max(1, math.ceil(ratings.count() / RATINGS_PER_BLOCK))
     settings = list(itertools.product(*grid.values()))
-    recalls: dict[int, float] = {}
+    named = [dict(zip(grid, values)) for values in settings]
+    fit_one = partial(fit, ratings, numUserBlocks=blocks, numItemBlocks=blocks)
+    if set(grid) <= SHARED:
+        recalls = _search_by_rounds(ratings, truth, fit_one, named, blocks, k, threads)
+    else:
+        recalls = _search_by_fits(truth, fit_one, named, k, threads, batch)
+    tried = [(i, *[float(v) for v in values], float(recalls[i] or 0.0)) for i, values in enumerate(settings)]
+    columns = ", ".join(f"{name} double" for name in grid)
+    return train.sparkSession.createDataFrame(tried, f"setting int, {columns}, recall double")
 
-    def fit_one(values: tuple) -> ALSModel:
-        return fit(ratings, numUserBlocks=blocks, numItemBlocks=blocks, **dict(zip(grid, values)))
 
+def _search_by_rounds(
+    ratings: DataFrame, truth: DataFrame, fit_one: Callable, named: Sequence[Mapping], blocks: int, k: int, threads: int
+) -> dict[int, float]:
+    """Recall by setting. A chain's factors are let go round by round, so memory follows the threads."""
+    spark, usual = ratings.sparkSession, als()
+
+    def chosen(setting: Mapping) -> tuple:
+        rank, stop, reg, alpha = (setting.get(n, usual.getOrDefault(n)) for n in ("rank", "maxIter", "regParam", "alpha"))
+        return (int(rank), reg, alpha), int(stop)
+
+    stops: dict[tuple, set[int]] = {}
+    for chain, stop in map(chosen, named):
+        stops.setdefault(chain, set()).add(stop)
+    ranks = sorted({rank for rank, _, _ in stops}, reverse=True)
+    models = together.run_together(spark, [partial(fit_one, rank=rank, maxIter=0) for rank in ranks], threads)
+    shared = rounds.Rounds(ratings, truth, USER, ITEM, SCORE, blocks)
+    begun = {rank: shared.start(model) for rank, model in zip(ranks, models)}
+    # Settings of one rank and the same stops go together, as far as that leaves a chain for each thread.
+    alike: dict[tuple, list[tuple]] = {}
+    for (rank, reg, alpha), some in stops.items():
+        alike.setdefault((rank, tuple(sorted(some))), []).append((reg, alpha))
+    most = math.ceil(len(stops) / threads)
+    bundles = []
+    # The longest chains first, so that none of them is left for the end.
+    for (rank, some), weights in sorted(alike.items(), key=lambda a: (a[0][0], a[0][1][-1]), reverse=True):
+        size = math.ceil(len(weights) / math.ceil(len(weights) / min(most, shared.bundle(rank))))
+        bundles += [(rank, some, weights[at : at + size]) for at in range(0, len(weights), size)]
+    calls = [
+        partial(shared.chain, begun[rank], some, weights, partial(shared.recall, k=k, rank=rank))
+        for rank, some, weights in bundles
+    ]
+    found = {}
+    for (rank, _, weights), recalls in zip(bundles, together.run_together(spark, calls, threads)):
+        found |= {((rank, *w), stop): values[i] for stop, values in recalls.items() for i, w in enumerate(weights)}
+    shared.release()
+    return {i: found[setting] for i, setting in enumerate(map(chosen, named))}
+
+
+def _search_by_fits(
+    truth: DataFrame, fit_one: Callable, named: Sequence[Mapping], k: int, threads: int, batch: int
+) -> dict[int, float]:
+    """Recall by setting. One job evaluates the models of a ``batch`` for the users of the test table, while
+    the next batch is fitted; then the models are let go, so memory follows the batch and not the grid.
+    """
+    recalls: dict[int, float] = {}
     fitted: dict[int, ALSModel] = {}
-    for begin in range(0, len(settings) + batch, batch):
-        some = settings[begin : begin + batch]
-        calls = [partial(fit_one, values) for values in some]
+    for begin in range(0, len(named) + batch, batch):
+        calls = [partial(fit_one, **setting) for setting in named[begin : begin + batch]]
         if fitted:
             calls.insert(0, partial(evaluate_all, truth, fitted, k))
-        done = together.run_together(train.sparkSession, calls, threads)
+        done = together.run_together(truth.sparkSession, calls, threads)
         if fitted:
             recalls |= done.pop(0)
         fitted = dict(enumerate(done, begin))
-    tried = [(i, *[float(v) for v in values], float(recalls[i] or 0.0)) for i, values in enumerate(settings)]
-    columns = ", ".join(f"{name} double" for name in grid)
-    return train.sparkSession.createDataFrame(tried, f"setting int, {columns}, recall double")
+    return recalls
 
 
 def best_setting(tried: DataFrame) -> DataFrame:

@@ -1,16 +1,18 @@
 """The evaluator and the grid search: real fits on the small tables, and the jobs they run together."""
 
 import itertools
+import random
 import threading
 import time
 
+import numpy as np
 import pytest
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit, TrainValidationSplitModel
 from pyspark.sql import functions as F
 
 from clickgrain.catalog.learning import ratings
 from clickgrain.operators import ranking
-from clickgrain.plans import recommend, tuning
+from clickgrain.plans import recommend, rounds, tuning
 from clickgrain.plans.together import run_together
 
 
@@ -121,3 +123,66 @@ def test_evaluation_makes_each_list_once_and_never_as_rows(data, spark, monkeypa
     for i, model in models.items():
         assert got[i] == pytest.approx(recommend.evaluate(data["test"], model, 5).first()["avg_recall_at_k"])
     assert recommend.evaluate_all(truth.limit(0), models, 5) == {3: 0.0, 8: 0.0}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Ratings with repeats, zeros and values below zero, and true items nobody has rated, or without a number."""
+    rng = random.Random(5)
+    rated = [(float(rng.randrange(200)), float(int(rng.random() ** 2 * 150)), float(rng.choice([1, 2, 3, 5, -1, 0]))) for _ in range(4000)]
+    true = {(float(rng.randrange(230)), rng.choice([float(rng.randrange(170)), None, 2.5])) for _ in range(900)}
+    user, item = f"{recommend.USER} double", f"{recommend.ITEM} double"
+    ratings = spark.createDataFrame(rated, f"{user}, {item}, {recommend.SCORE} double").repartition(3)
+    return ratings, spark.createDataFrame([(u, i, 1) for u, i in sorted(true, key=str)], f"{user}, {item}, times long")
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_a_chain_passes_through_the_fits_of_spark(odd, blocks, monkeypatch):
+    ratings, truth = odd
+    shared = rounds.Rounds(ratings, truth, recommend.USER, recommend.ITEM, recommend.SCORE, blocks)
+    many = {"numUserBlocks": blocks, "numItemBlocks": blocks}
+    start = shared.start(recommend.fit(ratings, rank=8, maxIter=0, **many))
+    monkeypatch.setattr(rounds, "ITEM_NUMBERS", 1)  # the blocks of items come to the users one after the other
+
+    def look(users, items):
+        return [np.concatenate(side.collect(), 1) for side in (users, items)], shared.recall(users, items, 10, 8)
+
+    weights = [(0.1, 1.0), (0.001, 200.0)]
+    found = shared.chain(start, (1, 4), weights, look)
+    for stop, (i, (reg, alpha)) in itertools.product((1, 4), enumerate(weights)):
+        model = recommend.fit(ratings, rank=8, maxIter=stop, regParam=reg, alpha=alpha, **many)
+        for side, frame in zip(found[stop][0], (model.userFactors, model.itemFactors)):
+            rows = sorted(frame.collect(), key=lambda r: (r.id % blocks, r.id))
+            assert np.allclose(side[i], [r.features for r in rows], rtol=1e-3, atol=1e-5)
+        assert found[stop][1][i] == pytest.approx(recommend.evaluate_all(truth, {0: model}, 10)[0])
+    shared.release()
+
+
+def test_settings_that_differ_in_rounds_alone_share_them(odd, monkeypatch):
+    """Rounds are most of the time: with 5, 10, 15 and 20 of them a setting had 50 made, not 20."""
+    fits, halves = [], []
+    fit, half = recommend.fit, rounds.Rounds.half
+    monkeypatch.setattr(recommend, "fit", lambda *a, **b: fits.append(b["maxIter"]) or fit(*a, **b))
+    monkeypatch.setattr(rounds.Rounds, "half", lambda *a: halves.append(1) or half(*a))
+    grid = {"rank": (2, 3), "maxIter": (1, 2, 3), "regParam": (0.1, 0.01)}
+    ratings, truth = odd
+    tried = recommend.grid_search(ratings, truth.drop("times"), grid, k=5, threads=2).collect()
+    assert len(tried) == 12 and fits == [0, 0] and len(halves) == 2 * 2 * 3
+    other = recommend.grid_search(ratings, truth.drop("times"), {"maxIter": (1, 3), "rank": (2,), "seed": (1,)}, k=5).collect()
+    assert fits == [0, 0, 1, 3] and [r.recall for r in other] == pytest.approx([tried[0].recall, tried[4].recall])
+
+
+def test_rows_in_chunks_and_long_rows_in_spans_give_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 1, 3, 3, 50, 700])
+    block = rounds.Block(0, np.arange(6), np.concatenate([[0], np.cumsum(counts)]), rng.integers(0, 20, 757), rng.integers(-1, 5, 757).astype(np.float32), np.arange(20))
+    near, gram = rng.standard_normal((20, 4)).astype(np.float32), np.eye(4)
+    whole = rounds.solved(block, near, gram, 0.1, 3.0)
+    monkeypatch.setattr(rounds, "CHUNK", 16)
+    monkeypatch.setattr(rounds, "SPAN", 7)
+    assert np.allclose(rounds.solved(block, near, gram, 0.1, 3.0), whole, rtol=1e-5, atol=1e-7)
+    users, items, ids = rng.standard_normal((9, 4)), rng.standard_normal((30, 4)), np.arange(30, dtype=np.int32)
+    lists = np.empty((9, 0), np.int32), np.empty((9, 0))
+    for some in (slice(0, 2), slice(2, 19), slice(19, 30)):
+        lists = rounds._longer(*lists, users, ids[some], items[some], 6)
+    assert np.array_equal(np.sort(lists[0], 1), np.sort(np.argsort(-users @ items.T, axis=1)[:, :6], 1))
